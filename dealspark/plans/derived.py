@@ -121,7 +121,8 @@ NEEDS = {"entity": ["company", "investor", "employer", "school", "person", "deal
 
 def sql(body: str, *names: str) -> str:
     """body after a WITH of the derived tables named, and of what they are made of."""
+    if not names:
+        return body
     wanted = list(dict.fromkeys(x for n in names for x in [*NEEDS.get(n, []), n]))
     ctes = ", ".join(f"{n} AS ({SQL[n]})" for n in wanted)
-    head, rest = ("WITH " + ctes, body)
-    return f"{head}, {rest[5:]}" if rest.startswith("WITH ") else f"{head} {rest}" if wanted else body
+    return f"WITH {ctes}, {body[5:]}" if body.startswith("WITH ") else f"WITH {ctes} {body}"
