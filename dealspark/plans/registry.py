@@ -190,31 +190,31 @@ def status_log(t: Tables) -> DataFrame:
     return t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "skipped").otherwise(F.col("event_type")).alias("status"), F.col("event_type").alias("source"), F.col("ts").alias("at"), (F.col("value") / 10000).cast("decimal(10,5)").alias("usd"))
 
 
-LOG = "lg AS (SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'skipped' ELSE event_type END AS status, event_type AS source, ts AS at, CAST(value / 10000 AS DECIMAL(10, 5)) AS usd FROM events)"
+LOG = "lg AS (SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'skipped' ELSE event_type END AS status, event_type AS source, ts AS tm, CAST(value / 10000 AS DECIMAL(10, 5)) AS usd FROM events)"
 
 
-@query(f"WITH {LOG} SELECT status, count(*) AS n, CAST(min(at) AS DATE)::VARCHAR AS oldest, CAST(max(at) AS DATE)::VARCHAR AS newest FROM lg GROUP BY status")
+@query(f"WITH {LOG} SELECT status, count(*) AS n, CAST(min(tm) AS DATE)::VARCHAR AS oldest, CAST(max(tm) AS DATE)::VARCHAR AS newest FROM lg GROUP BY status")
 def pipeline_status(t):
     df = gold.pipeline_status(status_log(t))
     return df.select("status", "n", F.to_date("oldest").cast("string").alias("oldest"), F.to_date("newest").cast("string").alias("newest"))
 
 
-@query(f"WITH {LOG} SELECT CAST(CAST(at AS DATE) AS VARCHAR) AS day, CAST(sum(usd) AS DOUBLE) AS spent, sum(usd) >= 1.5 AS exceeded FROM lg GROUP BY 1")
+@query(f"WITH {LOG} SELECT CAST(CAST(tm AS DATE) AS VARCHAR) AS day, CAST(sum(usd) AS DOUBLE) AS spent, sum(usd) >= 1.5 AS exceeded FROM lg GROUP BY 1")
 def spend_by_day(t):
     return gold.spend_by_day(status_log(t), 1.5).select(F.col("day").cast("string").alias("day"), F.col("spent").cast("double").alias("spent"), "exceeded")
 
 
-@query(f"WITH {LOG} SELECT id FROM (SELECT id, sum(usd) OVER (PARTITION BY CAST(at AS DATE) ORDER BY at, id ROWS UNBOUNDED PRECEDING) AS running FROM lg) WHERE running <= 1.5")
+@query(f"WITH {LOG} SELECT id FROM (SELECT id, sum(usd) OVER (PARTITION BY CAST(tm AS DATE) ORDER BY tm, id ROWS UNBOUNDED PRECEDING) AS running FROM lg) WHERE running <= 1.5")
 def budget_admit(t):
     return gold.budget_admit(status_log(t), 1.5).select("id")
 
 
-@query(f"WITH {LOG} SELECT source, count(*) AS n, round(count(*) FILTER (status = 'skipped') / count(*), 4) AS skip_rate, DATE '2024-02-10' - CAST(max(at) AS DATE) AS age_days FROM lg GROUP BY source")
+@query(f"WITH {LOG} SELECT source, count(*) AS n, round(count(*) FILTER (status = 'skipped') / count(*), 4) AS skip_rate, DATE '2024-02-10' - CAST(max(tm) AS DATE) AS age_days FROM lg GROUP BY source")
 def ops_metrics(t):
     return gold.ops_metrics(status_log(t), "2024-02-10")
 
 
-@query(f"WITH {LOG} SELECT id, 'preprocess' AS next_stage FROM (SELECT id, at, CASE WHEN source = 'view' THEN 'normalized' ELSE source END AS st FROM lg) WHERE st = 'normalized' AND at < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 20 MINUTES ORDER BY at, id LIMIT 500")
+@query(f"WITH {LOG} SELECT id, 'preprocess' AS next_stage FROM (SELECT id, tm, CASE WHEN source = 'view' THEN 'normalized' ELSE source END AS st FROM lg) WHERE st = 'normalized' AND tm < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 20 MINUTES ORDER BY tm, id LIMIT 500")
 def stuck_items(t):
     log = status_log(t).withColumn("status", F.when(F.col("source") == "view", "normalized").otherwise(F.col("source")))
     return streams.stuck_items(log, "2024-01-20 00:00:00").select("id", "next_stage")
