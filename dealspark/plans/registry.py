@@ -187,10 +187,10 @@ def inbox(t):
 
 # Operations ---------------------------------------------------------------------------------------------------------
 def status_log(t: Tables) -> DataFrame:
-    return t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "skipped").otherwise(F.col("event_type")).alias("status"), F.col("event_type").alias("source"), F.col("ts").alias("at"), (F.col("value") / 10000).cast("decimal(10,5)").alias("usd"))
+    return t.events.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "skipped").otherwise(F.col("event_type")).alias("status"), F.col("event_type").alias("source"), F.col("ts").alias("at"), (F.col("value") / 10000).cast("decimal(12,6)").alias("usd"))
 
 
-LOG = "lg AS (SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'skipped' ELSE event_type END AS status, event_type AS source, ts AS tm, CAST(value / 10000 AS DECIMAL(10, 5)) AS usd FROM events)"
+LOG = "lg AS (SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'skipped' ELSE event_type END AS status, event_type AS source, ts AS tm, CAST(value / 10000 AS DECIMAL(12, 6)) AS usd FROM events)"
 
 
 @query(f"WITH {LOG} SELECT status, count(*) AS n, CAST(min(tm) AS DATE)::VARCHAR AS oldest, CAST(max(tm) AS DATE)::VARCHAR AS newest FROM lg GROUP BY status")
