@@ -91,37 +91,86 @@ def feature_map(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (c[:, t[:, 0]] * ALPHABET + c[:, t[:, 1]]) * ALPHABET + c[:, t[:, 2]], DECAY ** (t[:, 2] - t[:, 0] + 1.0)
 
 
-def against(words: list[str], tensor: np.ndarray) -> np.ndarray:
-    """Normalised kernel sums of the words against each column of a tensor of subsequence weights [ALPHABET^3, m]."""
-    out = np.zeros((len(words), tensor.shape[1]), dtype=np.float64)
+def against(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """Normalised sums of the words' subsequences, each by its weight [ALPHABET^3]."""
+    out = np.zeros(len(words))
     for at, c in by_length(words):
-        norm = np.sqrt(self_kernel(c))
-        if tensor.shape[1] == 1:
-            n, flat, total = c.shape[1], tensor[:, 0], np.zeros(len(c))
-            cols = np.ascontiguousarray(c.T)
-            spans = np.zeros((n + 1, len(c)), dtype=np.float32)  # summed by length, decayed at the end
-            for i in range(n - 2):
-                for j in range(i + 1, n - 1):
-                    pair = (cols[i] * ALPHABET + cols[j]) * ALPHABET
-                    spans[j + 2 - i : n + 1 - i] += flat[pair + cols[j + 1 :]]
-            total = (DECAY ** np.arange(n + 1.0)) @ spans
-            out[at, 0] = total / norm
-        else:
-            ids, decay = feature_map(c)
-            for r in range(0, len(c), 256):
-                out[at[r : r + 256]] = np.einsum("btm,t->bm", tensor[ids[r : r + 256]], decay) / norm[r : r + 256, None]
+        n, cols = c.shape[1], np.ascontiguousarray(c.T)
+        spans = np.zeros((n + 1, len(c)), dtype=np.float32)  # summed by length, decayed at the end
+        for i in range(n - 2):
+            for j in range(i + 1, n - 1):
+                pair = (cols[i] * ALPHABET + cols[j]) * ALPHABET
+                spans[j + 2 - i : n + 1 - i] += weights[pair + cols[j + 1 :]]
+        out[at] = (DECAY ** np.arange(n + 1.0)) @ spans / np.sqrt(self_kernel(c))
     return out
 
 
+class Kernel:
+    """The kernel between words met so far and landmarks, each value computed once; a landmark is kept as the few
+    subsequences that it has, so memory stays with words times landmarks."""
+
+    def __init__(self) -> None:
+        self.marks: list[str] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.at: dict[str, int] = {}
+        self.values = np.zeros((0, 0), dtype=np.float32)
+
+    def block(self, words: list[str], parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out, flat = np.zeros((len(words), len(parts)), dtype=np.float32), np.zeros(ALPHABET**3, dtype=np.float32)
+        for at, c in by_length(words):
+            ids, decay = feature_map(c)
+            decay = decay.astype(np.float32)
+            norm = np.sqrt(self_kernel(c))
+            for j, (own, weight) in enumerate(parts):
+                flat[own] = weight
+                out[at, j] = flat[ids] @ decay / norm
+                flat[own] = 0
+        return out
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if w not in self.at]
+        if new:
+            new = list(dict.fromkeys(new))
+            known = len(self.at)
+            self.at.update((w, known + i) for i, w in enumerate(new))
+            self.values = np.concatenate([self.values, self.block(new, self.parts)])
+        return self.values[[self.at[w] for w in words]]
+
+    def add(self, marks: list[str]) -> None:
+        parts = []
+        for u in marks:
+            c = codes([u], len(u))
+            ids, decay = feature_map(c)
+            own, place = np.unique(ids[0], return_inverse=True)
+            parts.append((own, np.bincount(place, decay) / np.sqrt(self_kernel(c)[0])))
+        self.values = np.concatenate([self.values, self.block(list(self.at), parts)], axis=1)
+        self.marks += marks
+        self.parts += parts
+
+    def half_inverse(self) -> np.ndarray:
+        """The inverse root of the kernel among the landmarks, without its least directions."""
+        gram = self.rows(self.marks).astype(np.float64)
+        value, vector = np.linalg.eigh((gram + gram.T) / 2)
+        ok = value > FLOOR
+        return vector[:, ok] / np.sqrt(value[ok])
+
+    def folded(self, beta: np.ndarray) -> np.ndarray:
+        """One weight per subsequence: the landmarks' sum by beta."""
+        out = np.zeros(ALPHABET**3)
+        for b, (own, weight) in zip(beta, self.parts, strict=True):
+            out[own] += b * weight
+        return out.astype(np.float32)
+
+
 @dataclass
 class Model:
-    tensor: np.ndarray  # the machine's weight of each subsequence: sum of beta * landmark
+    weights: np.ndarray  # the machine's weight of each subsequence: sum of beta * landmark
     bias: float
     slope: float
     shift: float
 
     def margins(self, words: list[str]) -> np.ndarray:
-        return against(words, self.tensor)[:, 0] + self.bias if words else np.empty(0)
+        return against(words, self.weights) + self.bias if words else np.empty(0)
 
     def score(self, best: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -30, 30))))
@@ -130,19 +179,6 @@ class Model:
 NO_UNIT = -3.0
 
 
-def _landmarks(marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The landmarks' normalised subsequence weights, and the inverse root of the kernel among them."""
-    tensor = np.zeros((ALPHABET**3, len(marks)), dtype=np.float32)
-    for i, u in enumerate(marks):
-        c = codes([u], len(u))
-        ids, decay = feature_map(c)
-        np.add.at(tensor[:, i], ids[0], decay / np.sqrt(self_kernel(c)[0]))
-    gram = against(marks, tensor)
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    ok = value > FLOOR
-    return tensor, vector[:, ok] / np.sqrt(value[ok])
-
-
 def variants(unit: str, rng: np.random.Generator, n: int = 6) -> list[str]:
     """The unit with a letter put in, doubled or left out, so that the machine learns to bear such changes."""
     out = []
@@ -182,36 +218,35 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, seed: int = 5)
         return None
     marks = list(dict.fromkeys([*sure, *strong]))[:landmarks]
     marks += [u for u in (clean[i] for i in rng.permutation(len(clean))[: landmarks // 4]) if u not in marks]
-    tensor, half_inverse = _landmarks(marks)
+    kernel = Kernel()
+    kernel.add(marks)
+    half_inverse = kernel.half_inverse()
     # Positives: one unit per toxic text; negatives: clean units, those nearest to toxic ones among them.
     near = {u[:4] for u in strong[: 4 * landmarks]}
     some = [clean[i] for i in rng.permutation(len(clean))[:6_000]]
     close = [u for u in clean if u[:4] in near]
     negative = sorted({*some, *(close[i] for i in rng.permutation(len(close))[:3_000])})
-    z0 = against(negative, tensor) @ half_inverse
     witness = [max((u for u in us if u in lift), key=lambda u: (lift[u] * np.log1p(seen[1][u]), u), default=None) for us, c in zip(texts, y, strict=True) if c]
     toxic_texts, clean_texts = [us for us, c in zip(texts, y, strict=True) if c], [us for us, c in zip(texts, y, strict=True) if not c]
     varied = {v for u in sure if seen[1][u] >= 0.1 * n1 for v in variants(u, rng)} - {*clean}
     w, b = np.zeros(half_inverse.shape[1]), 0.0
     for step in range(5):
         positive = sorted({u for u in witness if u} | set(sure) | varied)
-        z1 = against(positive, tensor) @ half_inverse
+        z0, z1 = kernel.rows(negative) @ half_inverse, kernel.rows(positive) @ half_inverse
         z, s = np.concatenate([z0, z1]), np.concatenate([-np.ones(len(z0)), np.ones(len(z1))])
         cost = np.where(s > 0, len(z) / (2 * len(z1)), len(z) / (2 * len(z0))) / len(z)
         w, b = _squared_hinge(z, s, cost)
         beta = half_inverse @ w
-        model = Model((tensor @ beta)[:, None].astype(np.float32), float(b), 1.0, 0.0)
+        model = Model(kernel.folded(beta), float(b), 1.0, 0.0)
         margins = _margins(model, toxic_texts)
         witness = [us[int(m.argmax())] if len(us) else None for us, m in zip(toxic_texts, margins, strict=True)]
         # All of a clean text is clean: its units of the greatest margins are learnt as such.
+        found = _margins(model, clean_texts)
         if step < 4:  # the hardest of them become landmarks too
-            worst = sorted(((m[i], us[i]) for us, m in zip(clean_texts, _margins(model, clean_texts), strict=True) if len(us) for i in [int(m.argmax())]), reverse=True)
-            marks += [u for u in dict.fromkeys(u for _, u in worst) if u not in marks][: landmarks // 2]
-            tensor, half_inverse = _landmarks(marks)
-            z0 = against(negative, tensor) @ half_inverse
-        hard = {us[i] for us, m in zip(clean_texts, _margins(model, clean_texts), strict=True) for i in np.argsort(-m)[:3]} - {*negative}
-        negative += sorted(hard)
-        z0 = np.concatenate([z0, against(sorted(hard), tensor) @ half_inverse]) if hard else z0
+            worst = sorted(((m.max(), us[int(m.argmax())]) for us, m in zip(clean_texts, found, strict=True) if len(us)), reverse=True)
+            kernel.add([u for u in dict.fromkeys(u for _, u in worst) if u not in kernel.marks][: landmarks // 2])
+            half_inverse = kernel.half_inverse()
+        negative += sorted({us[i] for us, m in zip(clean_texts, found, strict=True) for i in np.argsort(-m)[:3]} - {*negative})
     best = np.array([m.max() if len(m) else NO_UNIT for m in _margins(model, texts)])
     model.slope, model.shift = _calibrate(best, y)
     return model
