@@ -63,13 +63,22 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             yield batch.slice(start), values[start:]
 
 
+def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About n rows of df (all, if there are fewer): those whose hash of the key is under n / count, twice n at most.
+
+    A count and a filter, so no task sorts or gathers more than it keeps; the same rows each time."""
+    part = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40))
+    count = df.count()
+    return df.where(part < int((1 << 40) * n / count)).limit(2 * n) if count > n else df
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most per_class texts of each class for fitting, never of held-out ids, chosen by a hash of doc_id.
+    """About per_class texts of each class for fitting, never of held-out ids, chosen by a hash of doc_id.
 
     Rows with a null id or label, or a text of more than max_chars, are not used. The bound makes the ids safe to
     broadcast and the texts safe to fetch."""
     rows = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & ~held_out("_id"))
-    parts = [rows.where(F.col("_y") == y).distinct().orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
+    parts = [hash_sample(rows.where(F.col("_y") == y), "_id", per_class).distinct() for y in (0, 1)]
     ids = parts[0].unionByName(parts[1])
     own = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.length("_text").between(1, max_chars))
     got = own.join(F.broadcast(ids), "_id").select("_id", "_text", "_y").limit(8 * per_class).collect()
