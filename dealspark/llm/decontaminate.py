@@ -150,8 +150,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, drop_
 
     Columns stay as they are; other texts are unchanged byte by byte. Null texts stay.
     """
-    names = documents.columns
-    found = scan(documents, benchmark, n)
+    rest = F.struct(F.lit(0).alias("_"), *[c for c in documents.columns if c != "text"])  # packed, so that no name clashes
+    found = scan(documents.select("text", rest.alias("doc")), benchmark, n)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,10 +162,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, drop_
                 gone = sum(b - a for a, b in spans)
                 keep.append(not gone or gone < drop_share * k)
                 texts.append(cut(t, spans) if gone and keep[-1] else t)
-            cols["text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), cols["doc"]], ["text", "doc"]).filter(pa.array(keep, pa.bool_()))
 
-    return found.mapInArrow(run, documents.schema)
+    out = found.mapInArrow(run, found.select("text", "doc").schema)
+    return out.select(*["text" if c == "text" else F.col(f"doc.{c}") for c in documents.columns])
 
 
 ORACLE = r"""

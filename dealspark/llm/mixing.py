@@ -99,10 +99,11 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
 def mixed_documents(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of documents that the mix takes, with `copies`, how often; one filter over documents, no shuffle of texts
-    while the sources are few enough to broadcast."""
+    while the sources are few enough to broadcast. A column `copies` of documents is replaced."""
     state, small = thresholds(sizes(documents), weights, share, most)
-    out = by_source(documents, state.select("source", "whole", "threshold"), small)
-    return out.withColumn("copies", copies(doc_hash())).where("copies > 0").select(*documents.columns, "copies")
+    packed = documents.select(F.struct(*documents.columns).alias("doc"), "source", doc_hash().alias("h"))  # so that no name clashes
+    out = by_source(packed, state.select("source", "whole", "threshold"), small).withColumn("copies", copies(F.col("h"))).where("copies > 0")
+    return out.select(*[F.col(f"doc.{c}") for c in documents.columns if c != "copies"], "copies")
 
 
 ORACLE = r"""

@@ -201,7 +201,8 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     firsts = prints.join(found.hint("merge"), F.col("_fp") == F.col("_f")).groupBy("_root").agg(F.min(order).alias("o"))
     firsts = stored(firsts.select(F.col("o.doc_id").alias("_id"), F.col("o._row").alias("_r")), "firsts")
-    # One row per component is left; equal rows are thinned among the kept ones only.
-    kept = documents.withColumn("_row", F.xxhash64(*names)).join(firsts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")), "left_semi")
+    # One row per component is left; equal rows are thinned among the kept ones only. The rows are packed, so no name clashes.
+    packed = documents.select(F.struct(*names).alias("doc"), "doc_id", F.xxhash64(*names).alias("_row"))
+    kept = packed.join(firsts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")), "left_semi")
     first = Window.partitionBy("doc_id", "_row").orderBy(F.lit(1))
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*names)
+    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("doc.*")
