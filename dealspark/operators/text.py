@@ -65,7 +65,7 @@ def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> D
     A first top-k by query and a salt of the row's hash leaves k rows of each of 64 parts, which a second one ranks; the
     queries are literals of the plan."""
     q = F.array(*[F.struct(F.lit(i).alias("query_id"), F.array(*[F.lit(float(x)) for x in v]).alias("q")) for i, v in queries])
-    d = vectors.select("vec_id", "embedding", F.explode(q).alias("x")).select("vec_id", F.col("x.query_id").alias("query_id"), F.round(1 - cosine("embedding", "x.q"), 3).alias("distance"))
+    d = vectors.select("vec_id", "embedding", F.explode(q).alias("x")).select("vec_id", F.col("x.query_id").alias("query_id"), (F.round(1 - cosine("embedding", "x.q"), 3) + 0.0).alias("distance"))
     salted = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("distance", "vec_id")
     few = d.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k)
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k).select("query_id", "vec_id", "distance", "rank")
