@@ -48,6 +48,16 @@ DEAL_TERMS = (
 )
 # Prior score of each source.
 PRIORS = {"calendar": 0.6, "dashboard": 0.9, "pdf": 0.7, "drive_doc": 0.5, "gmail": 0.3, "whatsapp": 0.4}
+# Words that mark a stand-in for a person.
+PLACEHOLDER = r"(?i)\b(founder|co-?founder|ceo|cfo|cto|coo|cmo|cxo|chairman|investor|advisor|partner|principal|associate|analyst|team|deals?|mentions?|unknown|active|dormant|hr|hrops|operations|finance|sales|marketing|admin|accounts?|legal|promoters?)\b"
+# Country codes and names.
+COUNTRIES = {
+    "IN": "India", "US": "United States", "GB": "United Kingdom", "SG": "Singapore", "AE": "United Arab Emirates", "CA": "Canada", "AU": "Australia",
+    "DE": "Germany", "FR": "France", "NL": "Netherlands", "CH": "Switzerland", "JP": "Japan", "CN": "China", "HK": "Hong Kong", "ID": "Indonesia",
+    "MY": "Malaysia", "PH": "Philippines", "TH": "Thailand", "VN": "Vietnam", "BD": "Bangladesh", "PK": "Pakistan", "LK": "Sri Lanka", "NP": "Nepal",
+    "SA": "Saudi Arabia", "IL": "Israel", "IE": "Ireland", "SE": "Sweden", "ES": "Spain", "IT": "Italy", "BR": "Brazil", "ZA": "South Africa",
+    "NZ": "New Zealand", "KR": "South Korea",
+}
 # Mail patterns.
 CALL_NOTE = r"(?i)\b(call notes?|meeting notes?|mom|minutes of meeting|notes from|debrief|intro(duction)? (call|to)|recap)\b"
 DEAL_SUBJECT = r"(?i)\b(pitch|deck|teaser|cim|one[- ]pager|opportunity|mandate|raising|fundrais|investment|term sheet|data ?room|due diligence)\b"

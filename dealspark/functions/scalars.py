@@ -95,8 +95,8 @@ def canon_stage(c) -> Column:
 
 def sectors_of(c) -> Column:
     """A text of several sectors as the distinct canonical ones, in order."""
-    parts = F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"[,/]| and "), F.trim), lambda x: x != "")
-    return F.array_distinct(F.transform(parts, canon_sector))
+    parts = F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"[,/]| and "), lambda x: F.trim(x)), lambda x: x != "")
+    return F.array_distinct(F.transform(parts, lambda x: canon_sector(x)))
 
 
 def entity_type(sector, name, summary) -> Column:
@@ -247,7 +247,7 @@ def primary_sector(c) -> Column:
 
 
 def split_list(c, sep: str = ";") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_person(c) -> Column:

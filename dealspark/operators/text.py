@@ -26,7 +26,7 @@ def pack(text: Column, size: int = 1800, sep: str = "\n\n") -> Column:
 
     done = F.aggregate(F.split(F.coalesce(text, F.lit("")), sep, -1), start, step)
     parts = F.concat(done["out"], F.when(F.trim(done["buf"]) != "", F.array(done["buf"])).otherwise(none))
-    return F.transform(parts, F.trim)
+    return F.transform(parts, lambda x: F.trim(x))
 
 
 def chunk(df: DataFrame, text: str = "text", size: int = 1800, sep: str = "\n\n") -> DataFrame:

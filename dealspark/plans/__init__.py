@@ -1 +1,5 @@
-"""Part of the deal-flow library; see the modules."""
+"""The registered queries; importing the package registers all of them."""
+
+from . import landing, profiles, registry
+
+__all__ = ["landing", "profiles", "registry"]
