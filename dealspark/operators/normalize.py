@@ -119,13 +119,20 @@ def redact(df: DataFrame, reason="reason", body="body_clean") -> DataFrame:
     return df.withColumn(body, F.when(~secret, F.col(body))).withColumn("signal_score", F.when(secret, 0.0).otherwise(F.col("signal_score")))
 
 
-def mentions(docs: DataFrame, spine: DataFrame, least: int = 4) -> DataFrame:
+def mentions(docs: DataFrame, spine: DataFrame, least: int = 4, small: int = 4096) -> DataFrame:
     """(doc_id, id): documents whose text holds a spine name (id, canonical) of at least `least` characters, in any case.
 
-    Blocked by the name's first `least` characters: only the distinct prefixes of a text meet the names, on an equi join
-    that carries ids and places but no text; the text is then read once more to verify the candidates."""
+    Blocked by the name's first `least` characters. Up to `small` names (counted) are broadcast and the texts are read once,
+    without a shuffle; beyond that the distinct windows of the texts meet the names on an equi join that carries ids but no
+    text, and the texts are read once more to verify the candidates."""
     names = spine.where(F.length("canonical") >= least).select("id", F.lower("canonical").alias("name")).withColumn("key", F.substring("name", 1, least))
     low = docs.select("doc_id", F.lower("text").alias("text")).where(F.length("text") >= least)
-    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - least + 1), lambda i: F.substring(F.col("text"), i, least)))
-    pairs = low.select("doc_id", F.explode(places).alias("key")).join(names.hint("merge"), "key").select("doc_id", "id", "name")
-    return pairs.join(low.hint("merge"), "doc_id").where(F.contains("text", F.col("name"))).select("doc_id", "id").distinct()
+    windows = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{least}}}))"), F.lit(1))
+    keys = [r["key"] for r in names.select("key").limit(small + 1).collect()]
+    if len(keys) <= small:
+        own = F.array(*[F.lit(k) for k in sorted(set(keys))]).cast("array<string>")
+        pairs = low.withColumn("key", F.explode(F.array_intersect(own, windows))).join(F.broadcast(names), "key")
+    else:
+        met = low.select("doc_id", F.explode(F.array_distinct(windows)).alias("key")).join(names.hint("merge"), "key").select("doc_id", "id", "name")
+        pairs = met.join(low.hint("merge"), "doc_id")
+    return pairs.where(F.contains("text", F.col("name"))).select("doc_id", "id").distinct()

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from dealspark.functions import scalars as S
-from dealspark.operators import profiles, text, views
+from dealspark.operators import normalize, profiles, text, views
 
 
 def test_lists_keep_digits(spark):
@@ -70,3 +70,15 @@ def test_empty_tables(spark):
     p = profiles.parse_profile(none, "id")
     assert profiles.profile_edges(p, "id", spark.createDataFrame([], "company_name string, id string")).count() == 0
     assert profiles.flatten_company(none).count() == 0
+
+
+def test_mentions_both_ways(spark):
+    texts = ["Great Acme\nco here", "acme", "", None, "x😀Zed One😀", "zed on", "ACME CO"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = {"a": "Acme\nCo", "b": "zed one", "c": "abc", "d": "acme", "e": "acme", "f": None, "g": "😀zed"}
+    spine = spark.createDataFrame(list(names.items()), "id string, canonical string")
+    want = {(i, k) for i, t in enumerate(texts) for k, n in names.items() if t and n and len(n) >= 4 and n.lower() in t.lower()}
+    for small in (4096, 0):
+        got = [(r["doc_id"], r["id"]) for r in normalize.mentions(docs, spine, small=small).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert normalize.mentions(docs, spine.where("false")).count() == 0
