@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: ASCII white space separates words.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
 _own_dir: list[str] = []
 
 
@@ -48,6 +50,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of about BATCH_BYTES: a worker and the JVM each hold a few of them, so that rows of any
+    length cost the same memory. The limit is the session's, lowered for it and never raised."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(key, "")
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches with about `most` bytes of text, or one longer row, and the texts as bytes (null: empty)."""
     for batch in batches:

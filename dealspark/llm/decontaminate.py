@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, map_texts
 
 #: Bytes of lower-cased UTF-8: digits, letters a to z and all that isn't ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -104,7 +104,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
                 cols["_items"] = pa.array([sorted({*p, *f}) for p, f in zip(before_i, found, strict=True)], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-        df = df.mapInArrow(run, schema)
+        df = map_texts(df, run, schema)
     return df
 
 
@@ -164,7 +164,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, drop_
                 texts.append(cut(t, spans) if gone and keep[-1] else t)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), cols["doc"]], ["text", "doc"]).filter(pa.array(keep, pa.bool_()))
 
-    out = found.mapInArrow(run, found.select("text", "doc").schema)
+    out = map_texts(found, run, found.select("text", "doc").schema)
     return out.select(*["text" if c == "text" else F.col(f"doc.{c}") for c in documents.columns])
 
 

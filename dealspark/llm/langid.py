@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out
+from .common import blocks, held_out, map_texts
 
 BUCKETS, DIM, LONGEST, EPOCHS, RATE, SEGMENT = 1 << 16, 16, 3, 4, 0.5, 240
 #: Of each language, about so many documents of at most so many characters are fetched for fitting.
@@ -126,4 +126,4 @@ def identify(documents: DataFrame, model: Model, reject: float = REJECT) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), pa.array([s < reject for _, s in got])], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return map_texts(documents.select("doc_id", held_out().alias("held_out"), "text"), run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, held_out, labelled_sample
+from .common import blocks, held_out, labelled_sample, map_texts
 
 PASSAGE, BUCKETS, HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 64, 256, 24, 12, 8, 32, 3e-3
 PER_CLASS, MAX_CHARS, PREDICT_AT = 1500, 100_000, 0.3
@@ -133,4 +133,4 @@ def score_quality(documents: DataFrame, model: Model | None, at: float = PREDICT
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= at) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_texts(documents.select("doc_id", held_out().alias("held_out"), "text"), run, f"doc_id {kind}, held_out boolean, score double, predicted int")

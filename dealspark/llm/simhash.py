@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, stored
+from .common import blocks, map_texts, stored
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 #: Fingerprints of one bucket that meet in one task; a larger bucket is cut into blocks, and all pairs of blocks meet.
@@ -43,7 +43,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(fp)], [*names, "_fp"])
 
     schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names), "_fp long"])
-    return documents.mapInArrow(run, schema)
+    return map_texts(documents, run, schema)
 
 
 def masks(radius: int = RADIUS) -> list[int]:

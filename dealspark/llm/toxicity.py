@@ -11,10 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, held_out, labelled_sample
+from .common import blocks, held_out, labelled_sample, map_texts
 
 #: Subsequences of three characters, each decayed by DECAY for every character from its first to its last.
-DECAY, UNIT, ALPHABET, LANDMARKS, CACHE = 0.7, 16, 64, 160, 500_000
+DECAY, UNIT, ALPHABET, LANDMARKS, CACHE = 0.7, 16, 64, 160, 200_000
 #: Least eigenvalue of the landmarks' kernel that is used; ridge of the machine.
 FLOOR, RIDGE = 3e-2, 1e-4
 PER_CLASS, MAX_CHARS, PREDICT_AT = 800, 50_000, 0.5
@@ -349,7 +349,7 @@ def score_toxicity(documents: DataFrame, model: Model | None, at: float = PREDIC
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= at) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_texts(documents.select("doc_id", held_out().alias("held_out"), "text"), run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(documents: DataFrame, model: Model | None, at: float = PREDICT_AT) -> DataFrame:
@@ -361,4 +361,4 @@ def drop_toxic(documents: DataFrame, model: Model | None, at: float = PREDICT_AT
         for batch, texts in blocks(batches, "text"):
             yield batch.filter(pa.array([x < at for x in score(texts)], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_texts(documents, run, documents.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import map_texts, new_path, stored
 
 LEVEL, CHUNK, MAX_BROADCAST_ROWS = 4, 1 << 20, 200_000
 DATE = "2000-01-01T00:00:00Z"
@@ -113,7 +113,7 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n": pa.array([n], pa.int64())})
 
-    return stored(df.mapInArrow(run, "path string, n long"), "monolithic")
+    return stored(map_texts(df, run, "path string, n long"), "monolithic")
 
 
 def spread(manifest: DataFrame) -> DataFrame:
