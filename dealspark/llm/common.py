@@ -52,10 +52,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow with batches of about BATCH_BYTES: a worker and the JVM each hold a few of them, so that rows of any
-    length cost the same memory. The limit is the session's, lowered for it and never raised."""
+    length cost the same memory. The limit is the session's; a lower one given in bytes stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = conf.get(key, "")
-    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
+    held = (conf.get(key) or "").removesuffix("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
