@@ -19,10 +19,11 @@ Span = tuple[str, int, int]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 CHAIN, CARD, PHONE, DIGIT = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile(r"[0-9](?:[\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), re.compile(r"[0-9]")
-#: Tokens that may take part in a span; segments hold up to LONGEST tokens, a region ends after GAP tokens of no such kind.
-TRIGGER = re.compile(r"\S*[0-9@]\S*|[(\[{<]?(?:at|dot|arroba|chez)[)\]}>]", re.I)
+#: What makes a token a trigger. A span holds one at least and up to LONGEST tokens; up to GAP others may stand between two of a region.
+SPELT = r"[(\[{<]?(?:at|dot|arroba|chez)[)\]}>]"
+MARK, TRIGGER = re.compile("@|" + SPELT, re.I), re.compile("[0-9@]|" + SPELT, re.I)
 TOKEN, TRIM = re.compile(r"\S+"), ".,;:!?\"'"
-LONGEST, GAP, MAX_REGION = 5, 1, 64
+LONGEST, GAP = 5, 1
 FIT_DOCS, FIT_CHARS, EPOCHS, RATE = 1500, 20_000, 4, 0.15
 
 
@@ -69,40 +70,47 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str, taken: list[Span]) -> Iterator[list[tuple[int, int, bool]]]:
-    """Runs of tokens (start, end, trigger) around trigger tokens, without tokens that touch a span already taken."""
-    spans = sorted((a, b) for _, a, b in taken)
-    run: list[tuple[int, int, bool]] = []
-    quiet, k, last = 0, 0, -1
-    for t in TRIGGER.finditer(text):
-        a, b = t.span()
-        while a and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        if a <= last:
-            continue
-        while k < len(spans) and spans[k][1] <= a:
-            k += 1
-        blocked = k < len(spans) and spans[k][0] < b
-        between = [m.span() for m in TOKEN.finditer(text, last, a)] if run and a - last < 40 else None
-        if run and (between is None or len(between) > GAP or blocked or len(run) >= MAX_REGION or any(x < e and s < a for s, e in spans[max(0, k - 1) : k + 1] for x, _ in between)):
-            yield run
-            run = []
-        elif run:
-            run += [(x, y, False) for x, y in between]
-        if not blocked:
-            if not run and not DIGIT.search(text, a, b) and "@" not in text[a:b]:  # a spelt mark belongs to the word before it
-                e = len(text[:a].rstrip()) if a < 2 or text[a - 2].isspace() else a - 1
-                before = max(text.rfind(c, max(0, e - 64), e) for c in " \t\n") + 1
-                if last <= before < e and e - before < 64 and not any(x < e and before < y for x, y in spans[max(0, k - 1) : k + 1]):
-                    run.append((before, e, False))
-            run.append((a, b, True))
-        last = b
-    if run:
-        yield run
-
-
-N_FEATURES = 40
+    """Runs of tokens (start, end, trigger) around trigger tokens, without tokens that touch a span already taken.
+
+    An @ or a spelt mark brings the token before it and the LONGEST - 1 after it; digits bring none, as what is made of
+    them begins and ends with one."""
+    t = TRIGGER.search(text)
+    if not t:
+        return
+    tokens = [m.span() for m in TOKEN.finditer(text)]
+    n, i, last = len(tokens), 0, -GAP - 2
+    near, trigger = bytearray(n), bytearray(n)
+    while t:
+        while tokens[i][1] <= t.start():
+            i += 1
+        a, b = tokens[i]
+        begin, end = (max(0, i - 1), min(n, i + LONGEST)) if MARK.search(text, a, b) else (i, i + 1)
+        begin = last if i - last <= GAP + 1 else begin
+        near[begin:end] = b"\1" * (end - begin)
+        trigger[i], last = 1, i
+        t = TRIGGER.search(text, b)
+    i = 0
+    for a, b in sorted((a, b) for _, a, b in taken):
+        while i < n and tokens[i][1] <= a:
+            i += 1
+        while i < n and tokens[i][0] < b:
+            near[i] = 0
+            i += 1
+        i = max(0, i - 1)
+    i = near.find(1)
+    while i >= 0:
+        j = near.find(0, i)
+        j = n if j < 0 else j
+        if trigger.find(1, i, j) >= 0:
+            yield [(*tokens[x], bool(trigger[x])) for x in range(i, j)]
+        i = near.find(1, j)
+
+
+N_FEATURES = 52
+#: A whole spelt address; a bracketed mark that ends before, or begins at, a place.
+AT, DOT = r"\s*(?:@|[(\[{<]\s*(?:at|arroba|chez)\s*[)\]}>])\s*", r"\s*[(\[{<]\s*(?:dot|punto|point|punkt|\.)\s*[)\]}>]\s*"
+ADDRESS = re.compile(rf"[\w.%+-]+(?:{DOT}[\w.%+-]+)*{AT}[\w-]+(?:(?:{DOT}|\.)[\w-]+)+", re.I)
+MARK_END, MARK_BEGIN = re.compile(rf"(?:{AT}|{DOT})$", re.I), re.compile(rf"{AT}|{DOT}", re.I)
 
 
 def features(text: str, a: int, b: int, n: int) -> list[int]:
@@ -132,9 +140,27 @@ def features(text: str, a: int, b: int, n: int) -> list[int]:
     f += [36] if spelt_dot and len(groups) == 4 and not spelt_at else []
     f += [37] if d == 0 else []
     f += [38] if len(s) < 6 else []
+    if "@" in s or spelt_at or spelt_dot:
+        f += [39] if ADDRESS.fullmatch(s) else [40]
+        f += [41] if MARK_BEGIN.match(s) or MARK_END.search(s[-16:]) else []
+        f += [42] if MARK_END.search(text[max(0, a - 16) : a]) or MARK_BEGIN.match(text[b : b + 16]) else []
+    f += [43 + min(max(n - 5, 0), 6)] if n > 5 else []
+    if d:
+        f += [50] if text[max(0, a - 2) : a].strip()[-1:].isdigit() and s[0].isdigit() else []
+        f += [51] if text[b : b + 2].strip()[:1].isdigit() and s[-1].isdigit() else []
     return f
 
 
+def trimmed(text: str, run: list[tuple[int, int, bool]], i: int, j: int) -> tuple[int, int]:
+    """The ends of tokens i to j without marks of the sentence."""
+    a, b = run[i][0], run[j - 1][1]
+    while a < b and text[a] in TRIM:
+        a += 1
+    while b > a and text[b - 1] in TRIM:
+        b -= 1
+    return a, b
+
+
 @dataclass
 class Model:
     """Weights of (kind, feature), of a change of kinds (0: begin), and of a token outside of spans."""
@@ -143,48 +169,49 @@ class Model:
     change: np.ndarray
     outside: float = 0.0
 
-    def lattice(self, text: str, run: list[tuple[int, int, bool]]) -> list[list[tuple[int, int, int, list[int], np.ndarray]]]:
-        """For each end: (begin, a, b, features, scores by kind) of every candidate of up to LONGEST tokens."""
-        out = [[] for _ in range(len(run) + 1)]
-        for i in range(len(run)):
-            for j in range(i + 1, min(len(run), i + LONGEST) + 1):
-                a, b = run[i][0], run[j - 1][1]
-                while a < b and text[a] in TRIM:
-                    a += 1
-                while b > a and text[b - 1] in TRIM:
-                    b -= 1
-                if a < b and (run[i][2] or "(at)" in text[a:b].lower() or "[at]" in text[a:b].lower()):
+    def ends(self, text: str, run: list[tuple[int, int, bool]]) -> Iterator[list[tuple[int, int, int, list[int], np.ndarray]]]:
+        """For each end: (begin, a, b, features, scores by kind) of every candidate of up to LONGEST tokens with a trigger."""
+        yield []
+        last = -1
+        for j in range(1, len(run) + 1):
+            last, out = j - 1 if run[j - 1][2] else last, []
+            for i in range(max(0, j - LONGEST), last + 1):
+                a, b = trimmed(text, run, i, j)
+                if a < b:
                     f = features(text, a, b, j - i)
-                    out[j].append((i, a, b, f, self.w[:, f].sum(axis=1)))
-        return out
+                    out.append((i, a, b, f, self.w[:, f].sum(axis=1)))
+            yield out
 
     def best(self, text: str, run: list[tuple[int, int, bool]]) -> list[Span]:
-        """The jointly best segmentation by dynamic programming over ends and the kind of the last span."""
-        k, lattice = len(KINDS), self.lattice(text, run)
-        score = np.full((len(run) + 1, k + 1), -np.inf)
+        """The jointly best segmentation by dynamic programming over ends and the kind of the last span. Candidates are
+        made end by end, so a run may have any length."""
+        k, n = len(KINDS), len(run)
+        score = np.full((n + 1, k + 1), -np.inf)
         score[0, 0] = 0
-        back: dict = {}
-        for j in range(1, len(run) + 1):
-            score[j] = score[j - 1] + self.outside
-            for c in range(k + 1):
-                back[j, c] = (j - 1, c, None)
-            for i, a, b, _, s in lattice[j]:
+        begin, before = np.full((n + 1, k + 1), -1, dtype=np.int32), np.zeros((n + 1, k + 1), dtype=np.int8)
+        for j, found in enumerate(self.ends(text, run)):
+            if j:
+                score[j] = score[j - 1] + self.outside
+            for i, _, _, _, s in found:
                 by = score[i][:, None] + self.change
                 came = by.argmax(axis=0)
                 for c in range(k):
                     v = by[came[c], c] + s[c]
                     if v > score[j, c + 1]:
-                        score[j, c + 1] = v
-                        back[j, c + 1] = (i, int(came[c]), (KINDS[c], a, b))
-        j, c, out = len(run), int(score[-1].argmax()), []
+                        score[j, c + 1], begin[j, c + 1], before[j, c + 1] = v, i, came[c]
+        j, c, out = n, int(score[-1].argmax()), []
         while j:
-            j, c, span = back[j, c]
-            out += [span] if span else []
+            i = int(begin[j, c])
+            if i < 0:
+                j -= 1
+            else:
+                out.append((KINDS[c - 1], *trimmed(text, run, i, j)))
+                j, c = i, int(before[j, c])
         return out[::-1]
 
     def learn(self, text: str, run: list[tuple[int, int, bool]], gold: list[Span], rate: float) -> None:
         """A step up the log-likelihood of the gold segmentation: forward and backward sums over all segmentations."""
-        k, n, lattice = len(KINDS), len(run), self.lattice(text, run)
+        k, n, lattice = len(KINDS), len(run), list(self.ends(text, run))
         want = {(a, b): KINDS.index(c) for c, a, b in gold}
         fw, bw = np.full((n + 1, k + 1), -np.inf), np.zeros((n + 1, k + 1))
         fw[0, 0] = 0
@@ -247,7 +274,8 @@ def fit(texts: list[str], seed: int = 3) -> Model:
             a, b = run[0][0], run[-1][1]
             data.append((text[a:b], []))
         for span in gold[:4]:
-            left, right = text[max(0, span[1] - 30) : span[1]].split(" ")[-3:-1], text[span[2] : span[2] + 30].split(" ")[1:3]
+            begin, end = max([span[1] - 40, 0, *(b for _, _, b in gold if b <= span[1])]), min([span[2] + 80, *(a for _, a, _ in gold if a >= span[2])])
+            left, right = text[begin : span[1]].split()[-3:], text[span[2] : end].split()[: LONGEST - 1]
             for plain in (True, False, False):
                 item = text[span[1] : span[2]] if plain else altered(text, span, rng)[0]
                 head = " ".join([*left, ""])
@@ -266,15 +294,15 @@ def fit(texts: list[str], seed: int = 3) -> Model:
 
 
 def train(documents: DataFrame, docs: int = FIT_DOCS, max_chars: int = FIT_CHARS) -> Model:
-    """Fit on about `docs` texts of up to max_chars characters that hold a digit or an @, chosen by a hash of the text."""
-    own = documents.select("text").where(F.length("text").between(1, max_chars) & F.col("text").rlike("[0-9@]"))
+    """Fit on about `docs` texts of up to max_chars characters that hold a trigger, chosen by a hash of the text."""
+    own = documents.select("text").where(F.length("text").between(1, max_chars) & F.col("text").rlike("(?i)" + TRIGGER.pattern))
     return fit(sorted({r["text"] for r in hash_sample(own, "text", docs).distinct().collect()}))
 
 
 def find_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans; both by kind as listed, then by start. Added spans touch no base span."""
     base = base_spans(text)
-    added = [s for run in regions(text, base) for s in model.best(text, run)] if "@" in text or DIGIT.search(text) else []
+    added = [s for run in regions(text, base) for s in model.best(text, run)]
     added = [s for s in added if not any(s[1] < b and a < s[2] for _, a, b in base)]
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 

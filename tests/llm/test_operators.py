@@ -239,6 +239,19 @@ def test_pii_field_adds_spans_and_keeps_base():
     assert pii.find_spans(say(500), model) == ([], [])
 
 
+def pii_texts() -> list[str]:
+    rng = random.Random(3)
+    return [f"{say(8)} {w}.{i}@mail{i % 9}.example.com {say(5)} +1 ({200 + i}) 555-{1000 + i} {say(6)} 10.{i % 200}.3.{i % 90} {say(4)} version 3.{i % 5}. CC 4.0. {w}@example.org {say(9)}" for i, w in enumerate(rng.choices(WORDS, k=200))]
+
+
+def test_pii_spelt_addresses_without_digits():
+    model = pii.fit(pii_texts())
+    for address in ("jo.do (at) mail.example.com", "jo(at)mail(dot)example(dot)com", "jo (at) example (dot) com", "jo.do [at] mail.example.org"):
+        text = f"write to {address} in the morning or never"
+        assert pii.find_spans(text, model) == ([], [("email", 9, 9 + len(address))]), address
+    assert pii.find_spans("so (let's chat) of a dot) or two in the morning", model) == ([], [])
+
+
 def test_toxicity_learns_and_bears_inserted_letters():
     rng = random.Random(5)
     vocab = ["".join(rng.choice(["ka", "lo", "mi", "te", "su", "ra", "ne", "po"]) for _ in range(rng.randint(1, 4))) for _ in range(1500)]
