@@ -23,8 +23,9 @@ CHAIN, CARD, PHONE, DIGIT = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile(r"[0-
 SPELT = r"[(\[{<]?(?:at|dot|arroba|chez)[)\]}>]"
 MARK, TRIGGER = re.compile("@|" + SPELT, re.I), re.compile("[0-9@]|" + SPELT, re.I)
 TOKEN, TRIM = re.compile(r"\S+"), ".,;:!?\"'"
-LONGEST, GAP = 5, 1
-FIT_DOCS, FIT_CHARS, EPOCHS, RATE = 1500, 20_000, 4, 0.15
+LONGEST, GAP = 11, 1
+#: About FIT_DOCS texts are fetched, and of what they hold EXAMPLES examples of up to PIECE tokens are learnt from.
+FIT_DOCS, FIT_CHARS, EXAMPLES, PIECE, EPOCHS, RATE = 1500, 20_000, 4000, 64, 4, 0.15
 
 
 def luhn(digits: str) -> bool:
@@ -161,6 +162,42 @@ def trimmed(text: str, run: list[tuple[int, int, bool]], i: int, j: int) -> tupl
     return a, b
 
 
+def candidates(text: str, run: list[tuple[int, int, bool]]) -> Iterator[list[tuple[int, int, int, list[int]]]]:
+    """For each end: (begin, a, b, features) of every candidate of up to LONGEST tokens with a trigger."""
+    yield []
+    last = -1
+    for j in range(1, len(run) + 1):
+        last, out = j - 1 if run[j - 1][2] else last, []
+        for i in range(max(0, j - LONGEST), last + 1):
+            a, b = trimmed(text, run, i, j)
+            if a < b:
+                out.append((i, a, b, features(text, a, b, j - i)))
+        yield out
+
+
+@dataclass
+class Example:
+    """A run's candidates in order of their ends; gold: (place, kind) of the true ones, which take `inside` tokens."""
+
+    tokens: int
+    begin: np.ndarray
+    end: np.ndarray
+    features: np.ndarray
+    gold: list[tuple[int, int]]
+    inside: int
+
+
+def example(text: str, run: list[tuple[int, int, bool]], gold: list[Span]) -> Example:
+    all_of = [(i, j, a, b, f) for j, found in enumerate(candidates(text, run)) for i, a, b, f in found]
+    want = {(a, b): KINDS.index(c) for c, a, b in gold}
+    x = np.zeros((len(all_of), N_FEATURES), dtype=bool)
+    for row, (*_, f) in zip(x, all_of, strict=True):
+        row[f] = True
+    true = [(at, want.pop((a, b))) for at, (_, _, a, b, _) in enumerate(all_of) if (a, b) in want]
+    places = np.array([c[:2] for c in all_of], dtype=np.int64).reshape(-1, 2)
+    return Example(len(run), places[:, 0], places[:, 1], x, true, sum(len(TOKEN.findall(text[a:b])) for _, a, b in gold))
+
+
 @dataclass
 class Model:
     """Weights of (kind, feature), of a change of kinds (0: begin), and of a token outside of spans."""
@@ -169,19 +206,6 @@ class Model:
     change: np.ndarray
     outside: float = 0.0
 
-    def ends(self, text: str, run: list[tuple[int, int, bool]]) -> Iterator[list[tuple[int, int, int, list[int], np.ndarray]]]:
-        """For each end: (begin, a, b, features, scores by kind) of every candidate of up to LONGEST tokens with a trigger."""
-        yield []
-        last = -1
-        for j in range(1, len(run) + 1):
-            last, out = j - 1 if run[j - 1][2] else last, []
-            for i in range(max(0, j - LONGEST), last + 1):
-                a, b = trimmed(text, run, i, j)
-                if a < b:
-                    f = features(text, a, b, j - i)
-                    out.append((i, a, b, f, self.w[:, f].sum(axis=1)))
-            yield out
-
     def best(self, text: str, run: list[tuple[int, int, bool]]) -> list[Span]:
         """The jointly best segmentation by dynamic programming over ends and the kind of the last span. Candidates are
         made end by end, so a run may have any length."""
@@ -189,11 +213,11 @@ class Model:
         score = np.full((n + 1, k + 1), -np.inf)
         score[0, 0] = 0
         begin, before = np.full((n + 1, k + 1), -1, dtype=np.int32), np.zeros((n + 1, k + 1), dtype=np.int8)
-        for j, found in enumerate(self.ends(text, run)):
+        for j, found in enumerate(candidates(text, run)):
             if j:
                 score[j] = score[j - 1] + self.outside
-            for i, _, _, _, s in found:
-                by = score[i][:, None] + self.change
+            for i, _, _, f in found:
+                s, by = self.w[:, f].sum(axis=1), score[i][:, None] + self.change
                 came = by.argmax(axis=0)
                 for c in range(k):
                     v = by[came[c], c] + s[c]
@@ -209,85 +233,93 @@ class Model:
                 j, c = i, int(before[j, c])
         return out[::-1]
 
-    def learn(self, text: str, run: list[tuple[int, int, bool]], gold: list[Span], rate: float) -> None:
+    def learn(self, example: Example, rate: float) -> None:
         """A step up the log-likelihood of the gold segmentation: forward and backward sums over all segmentations."""
-        k, n, lattice = len(KINDS), len(run), list(self.ends(text, run))
-        want = {(a, b): KINDS.index(c) for c, a, b in gold}
+        k, n, begin, end, x = len(KINDS), example.tokens, example.begin, example.end, example.features.astype(np.float64)
+        s = x @ self.w.T
         fw, bw = np.full((n + 1, k + 1), -np.inf), np.zeros((n + 1, k + 1))
         fw[0, 0] = 0
         lse = lambda x, axis: np.logaddexp.reduce(x, axis=axis)
+        cuts = np.searchsorted(end, np.arange(n + 2))
         for j in range(1, n + 1):
             fw[j] = fw[j - 1] + self.outside
-            for i, _, _, _, s in lattice[j]:
-                fw[j, 1:] = np.logaddexp(fw[j, 1:], lse(fw[i][:, None] + self.change, 0) + s)
-        by_begin = [[] for _ in range(n + 1)]
-        for j in range(n + 1):
-            for x in lattice[j]:
-                by_begin[x[0]].append((j, x))
+            if cuts[j] < cuts[j + 1]:
+                own = slice(cuts[j], cuts[j + 1])
+                fw[j, 1:] = np.logaddexp(fw[j, 1:], lse(lse(fw[begin[own]][:, :, None] + self.change, 1) + s[own], 0))
+        order = np.argsort(begin, kind="stable")
+        cuts = np.searchsorted(begin[order], np.arange(n + 1))
         for i in range(n - 1, -1, -1):
             bw[i] = bw[i + 1] + self.outside
-            for j, (_, _, _, _, s) in by_begin[i]:
-                bw[i] = np.logaddexp(bw[i], lse(self.change + (s + bw[j, 1:])[None, :], 1))
+            if cuts[i] < cuts[i + 1]:
+                own = order[cuts[i] : cuts[i + 1]]
+                bw[i] = np.logaddexp(bw[i], lse(lse(self.change + (s[own] + bw[end[own], 1:])[:, None, :], 2), 0))
         z = lse(fw[n], 0)
-        gw, gc, found, prev = np.zeros_like(self.w), np.zeros_like(self.change), 0.0, 0
-        for j in range(1, n + 1):
-            for i, a, b, f, s in lattice[j]:
-                p = np.exp(fw[i][:, None] + self.change + (s + bw[j, 1:])[None, :] - z)
-                gc -= p
-                gw[:, f] -= p.sum(axis=0)[:, None]
-                c = want.pop((a, b), None)
-                if c is not None:
-                    gw[c, f] += 1
-                    gc[prev, c] += 1
-                    prev = c + 1
-        for j in range(n):  # tokens outside: expected and, with the rest, the gold's
-            found -= np.exp(lse(fw[j] + self.outside + bw[j + 1], 0) - z)
-        found += n - sum(len(TOKEN.findall(text[a:b])) for _, a, b in gold)
+        p = np.exp(fw[begin][:, :, None] + self.change + (s + bw[end, 1:])[:, None, :] - z)
+        gw, gc, prev = -p.sum(axis=1).T @ x, -p.sum(axis=0), 0
+        for at, c in example.gold:
+            gw[c] += x[at]
+            gc[prev, c] += 1
+            prev = c + 1
+        # Tokens outside: expected and, with the rest, the gold's.
+        found = n - example.inside - np.exp(lse(fw[:-1] + self.outside + bw[1:], 1) - z).sum()
         self.w += rate * gw - rate * 1e-3 * self.w
         self.change += rate * gc - rate * 1e-3 * self.change
         self.outside += 0.1 * rate * found
 
 
-def altered(text: str, span: Span, rng: np.random.Generator) -> tuple[str, int] | None:
-    """The found item in a form that the patterns miss, and the number of tokens it takes."""
+def altered(text: str, span: Span, rng: np.random.Generator) -> str:
+    """The found item in a form that the patterns miss, of up to LONGEST tokens."""
     kind, s = span[0], text[span[1] : span[2]]
     o, c = [("(", ")"), ("[", "]")][int(rng.integers(2))]
     if kind == "email":
-        s = s.replace("@", f" {o}at{c} ") if rng.random() < 0.7 else s.replace("@", f"{o}at{c}")
-        return (s.replace(".", f" {o}dot{c} ") if rng.random() < 0.3 and s.count(".") == 1 else s), 0
+        gap = " " if rng.random() < 0.7 else ""
+        s = s.replace("@", f"{gap}{o}at{c}{gap}")
+        if rng.random() < 0.5:
+            gap = gap if 2 * s.count(".") + 3 <= LONGEST else ""
+            s = s.replace(".", f"{gap}{o}dot{c}{gap}")
+        return s
     if kind == "ip":
-        return s.replace(".", f"{o}.{c}" if rng.random() < 0.5 else f"{o}dot{c}"), 0
-    if kind == "phone":
-        return (s.lstrip("+") if rng.random() < 0.5 else "00" + s.lstrip("+")), 0
+        return s.replace(".", f"{o}.{c}" if rng.random() < 0.5 else f"{o}dot{c}")
     digits = re.sub(r"\D", "", s)
-    return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), 0
+    if kind == "phone":
+        if rng.random() < 0.3:
+            digits += "".join(map(str, rng.integers(0, 10, max(0, int(rng.integers(9, 14)) - len(digits)))))  # numbers of any length
+            n = int(rng.integers(1, 4))
+            code, rest, m = digits[:n], digits[n:], int(rng.integers(2, 4))
+            groups = [rest[:m], *(rest[i : i + 2] for i in range(m, len(rest), 2))]
+            return " ".join([["00", code], ["00" + code], [code]][int(rng.integers(3))] + groups)
+        return s.lstrip("+") if rng.random() < 0.5 else "00" + s.lstrip("+")
+    return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
 
-def fit(texts: list[str], seed: int = 3) -> Model:
+def by_hash(items: list, key, most: int) -> list:
+    """Up to `most` of the items, those of the least hashes."""
+    return sorted(items, key=lambda x: (hashlib.blake2b(key(x).encode("utf-8", "replace"), digest_size=8).digest(), key(x)))[:most]
+
+
+def fit(texts: list[str], seed: int = 3, examples: int = EXAMPLES) -> Model:
     """Trained on regions of the texts: what the patterns find is gold, also rewritten into forms that they miss; every
-    other number, mark or word around is outside. So the field learns spans by their whole form, and what is no such span."""
+    other number, mark or word around is outside. So the field learns spans by their whole form, and what is no such span.
+
+    Of all the texts' regions (in pieces of PIECE tokens) a quarter of `examples` is taken, and of all their items a
+    quarter, each in three forms; both by a hash of the text and place."""
     rng = np.random.default_rng(seed)
-    data = []
-    for text in texts:
-        gold = base_spans(text)
-        for run in list(regions(text, gold))[:3]:
-            a, b = run[0][0], run[-1][1]
-            data.append((text[a:b], []))
-        for span in gold[:4]:
-            begin, end = max([span[1] - 40, 0, *(b for _, _, b in gold if b <= span[1])]), min([span[2] + 80, *(a for _, a, _ in gold if a >= span[2])])
-            left, right = text[begin : span[1]].split()[-3:], text[span[2] : end].split()[: LONGEST - 1]
-            for plain in (True, False, False):
-                item = text[span[1] : span[2]] if plain else altered(text, span, rng)[0]
-                head = " ".join([*left, ""])
-                data.append((head + item + " " + " ".join(right), [(span[0], len(head), len(head) + len(item))]))
+    golds = [base_spans(text) for text in texts]
+    pieces = [(n, run[i][0], run[min(i + PIECE, len(run)) - 1][1]) for n, gold in enumerate(golds) for run in regions(texts[n], gold) for i in range(0, len(run), PIECE)]
+    data = [(texts[n][a:b], []) for n, a, b in by_hash(pieces, lambda x: f"{x[1]} {texts[x[0]]}", examples // 4)]
+    for n, span in by_hash([(n, span) for n, gold in enumerate(golds) for span in gold], lambda x: f"{x[1][1]} {texts[x[0]]}", examples // 4):
+        text = texts[n]
+        begin, end = max([span[1] - 40, 0, *(b for _, _, b in golds[n] if b <= span[1])]), min([span[2] + 80, *(a for _, a, _ in golds[n] if a >= span[2])])
+        left, right = text[begin : span[1]].split()[-3:], text[span[2] : end].split()[: LONGEST - 1]
+        for plain in (True, False, False):
+            item = text[span[1] : span[2]] if plain else altered(text, span, rng)
+            head = " ".join([*left, ""])
+            data.append((head + item + " " + " ".join(right), [(span[0], len(head), len(head) + len(item))]))
     model = Model(np.zeros((len(KINDS), N_FEATURES)), np.zeros((len(KINDS) + 1, len(KINDS))))
-    data = data[:4000]
+    learnt = [example(text, run, [g for g in gold if run[0][0] <= g[1] and g[2] <= run[-1][1]]) for text, gold in data for run in regions(text, [])]
     for epoch in range(EPOCHS if any(g for _, g in data) else 0):
-        for i in rng.permutation(len(data)):
-            text, gold = data[i]
-            for run in regions(text, []):
-                own = [g for g in gold if run[0][0] <= g[1] and g[2] <= run[-1][1]]
-                model.learn(text, run, own, RATE / (1 + epoch))
+        for i in rng.permutation(len(learnt)):
+            model.learn(learnt[i], RATE / (1 + epoch))
     if not any(g for _, g in data):
         model.w[:, 0] = -10
     return model

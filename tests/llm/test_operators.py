@@ -252,6 +252,18 @@ def test_pii_spelt_addresses_without_digits():
     assert pii.find_spans("so (let's chat) of a dot) or two in the morning", model) == ([], [])
 
 
+def test_pii_spaced_forms_in_long_regions_and_examples_by_hash():
+    texts = pii_texts()
+    model = pii.fit(texts)
+    for item, kind in (("00 49 170 12 34 56 78", "phone"), ("jo (dot) do (at) example (dot) com", "email")):
+        assert (kind, 5, 5 + len(item)) in pii.find_spans(f"call {item} in the morning", model)[1], item
+    for n in (59, 61, 63, 64):  # wherever a window of 64 tokens would end
+        head = "x1 " * n
+        assert ("email", len(head), len(head) + 23) in pii.find_spans(head + "jo (at) mail.example.io x1 x1", model)[1], n
+    few, turned = pii.fit(texts, examples=120), pii.fit(texts[::-1], examples=120)
+    assert np.array_equal(few.w, turned.w) and not np.array_equal(few.w, pii.fit(texts[:30], examples=120).w)
+
+
 def test_toxicity_learns_and_bears_inserted_letters():
     rng = random.Random(5)
     vocab = ["".join(rng.choice(["ka", "lo", "mi", "te", "su", "ra", "ne", "po"]) for _ in range(rng.randint(1, 4))) for _ in range(1500)]
