@@ -476,8 +476,13 @@ def text_layer(t):
 
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5), d AS (SELECT query_id, vec_id, round(1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 3) + 0.0::DOUBLE AS distance FROM embeddings, q) SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 8")
 def knn(t):
-    q = [(r["vec_id"], r["embedding"]) for r in t.embeddings.where("vec_id < 5").collect()]
-    return text.knn(t.embeddings, q, 8)
+    return text.knn(t.embeddings, t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 8)
+
+
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id, round(1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 3) + 0.0::DOUBLE AS distance FROM embeddings, q) SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 8")
+def knn_hundredths(t):
+    """The whole search: every row whose id is divisible by 100 is a query."""
+    return text.knn(t.embeddings, t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 8)
 
 
 @query(None)
