@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_sample
+from .common import WORD
 
-BUCKETS, SMOOTHING, THRESHOLD, MAX_TARGET_DOCS = 1 << 14, 1.0, -0.1, 20_000
+BUCKETS, SMOOTHING, THRESHOLD, BROADCAST_IDS = 1 << 14, 1.0, -0.1, 200_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -25,25 +25,27 @@ def grams(words: Column, n: Column) -> Column:
     return F.when(n >= 2, F.concat(one, two)).otherwise(one)
 
 
-def log_ratios(documents: DataFrame, labels: DataFrame, max_target_docs: int = MAX_TARGET_DOCS) -> list[float]:
+def bucket_counts(documents: DataFrame) -> dict[int, int]:
+    words = documents.select(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("words")).withColumn("n", F.size("words"))
+    return dict(words.select(F.explode(grams(F.col("words"), F.col("n"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect())
+
+
+def log_ratios(documents: DataFrame, labels: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> list[float]:
     """log(p_target / p_raw) of every bucket.
 
-    Raw counts are over all of documents; the trusted target is those whose label quality is 1, about max_target_docs
-    of them by a hash of the id (so that the ids can be broadcast). BUCKETS numbers come to the driver whatever the input's size.
+    Raw counts are over all of documents; the trusted target is all of those whose label quality is 1. Up to broadcast_ids
+    counted ids are broadcast, more meet the documents in a shuffle; the counts are the same. BUCKETS numbers come to the
+    driver whatever the input's size.
     """
-    ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"))
-    ids = hash_sample(ids, "_id", max_target_docs).distinct().withColumn("_trusted", F.lit(1))
-    words = documents.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("words"))
-    words = words.join(F.broadcast(ids), words["doc_id"] == ids["_id"], "left").select("words", F.size("words").alias("n"), "_trusted")
-    hits = words.select("_trusted", F.explode(grams(F.col("words"), F.col("n"))).alias("bucket"))
-    got = hits.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("target")).collect()
-    raw, target = sum(r["raw"] for r in got), sum(r["target"] for r in got)
-    at = {r["bucket"]: r for r in got}
+    ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.limit(broadcast_ids + 1).count() <= broadcast_ids else ids.hint("merge")
+    raws, targets = bucket_counts(documents), bucket_counts(documents.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+    raw, target = sum(raws.values()), sum(targets.values())
     import math
 
     spread = SMOOTHING * BUCKETS
     ratio = lambda t, r: math.log((t + SMOOTHING) / (target + spread)) - math.log((r + SMOOTHING) / (raw + spread))
-    return [ratio(at[b]["target"], at[b]["raw"]) if b in at else 0.0 for b in range(BUCKETS)] if target else [0.0] * BUCKETS
+    return [ratio(targets.get(b, 0), raws[b]) if b in raws else 0.0 for b in range(BUCKETS)] if target else [0.0] * BUCKETS
 
 
 def repeat_words(hashes: Column) -> Column:
@@ -67,15 +69,15 @@ def repeat_words(hashes: Column) -> Column:
     return F.when(repeated, let(let(pairs, places), cover)).otherwise(0).cast("long")
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_target_docs: int = MAX_TARGET_DOCS) -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr) for every row.
 
     llr is the mean log-likelihood ratio of the text's unigrams and bigrams; a text is kept if it doesn't fail the base
     rules and llr >= threshold. Null and empty texts have no words, so they fail; without trusted documents every llr is
-    0, and the base rules alone decide. No shuffle of texts: counts are summed on the map side, and the table of ratios
-    (BUCKETS numbers) is a literal. Null or repeated ids: a row each. Extra columns are not read.
+    0, and the base rules alone decide. Counts are summed on the map side, and the table of ratios (BUCKETS numbers) is a
+    literal; texts are shuffled only to find the trusted ones among more than broadcast_ids labels. Null or repeated ids: a row each. Extra columns are not read.
     """
-    ratios = F.split(F.lit(",".join(map(repr, log_ratios(documents, labels, max_target_docs)))), ",").cast("array<double>")
+    ratios = F.split(F.lit(",".join(map(repr, log_ratios(documents, labels, broadcast_ids)))), ",").cast("array<double>")
     text = F.coalesce("text", F.lit(""))
     df = documents.select("doc_id", text.alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))

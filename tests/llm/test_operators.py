@@ -63,6 +63,17 @@ def test_quality_rules(docs, labels):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_quality_ratio_counts_every_trusted_label_and_rejects_other_words(spark):
+    rng = random.Random(4)
+    near, far = ([f"{c}{i}" for i in range(60)] for c in "uv")
+    rows = [(i, " ".join(rng.choices(far if i % 4 == 0 else near, k=80))) for i in range(200)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(200)], "doc_id long, quality int")
+    got = quality_rules.quality_rules(documents, trusted).collect()
+    assert not any(r["base_failed"] for r in got) and all(r["kept"] == (r["doc_id"] % 4 > 0) for r in got)
+    assert quality_rules.log_ratios(documents, trusted, 10) == quality_rules.log_ratios(documents, trusted)
+
+
 def test_mixing_targets_and_reruns(spark, docs):
     a, b = sorted(mixing.mix(docs).collect(), key=str), sorted(mixing.mix(docs.repartition(3)).collect(), key=str)
     assert a == b and len(a) == docs.count()
