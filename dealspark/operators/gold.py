@@ -140,12 +140,13 @@ def latest_non_empty(df: DataFrame, key: str, columns: list[str], order: str, id
     return df.groupBy(key).agg(*[F.max_by(c, F.when(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).isNotNull(), at)).alias(c) for c in columns])
 
 
-def merge_lists(df: DataFrame, key: str, column: str, order: str, ident: str, most: int = 10_000) -> DataFrame:
-    """Distinct list items of a key by first appearance; items are aggregated before the list is made."""
+def merge_lists(df: DataFrame, key: str, column: str, order: str, ident: str, size: int = 10_000) -> DataFrame:
+    """(key, block, column): all distinct list items of a key by first appearance, in lists of `size` numbered from 0, so that
+    no row grows with a key; items are aggregated before the lists are made."""
     items = df.select(key, F.explode(column).alias("item"), F.struct(order, ident).alias("at")).groupBy(key, "item").agg(F.min("at").alias("at"))
     n = F.row_number().over(Window.partitionBy(key).orderBy("at", "item"))
-    ranked = items.withColumn("n", n).where(F.col("n") <= most)
-    return ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias(column))
+    ranked = items.withColumn("n", n).withColumn("block", F.floor((F.col("n") - 1) / size))
+    return ranked.groupBy(key, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias(column))
 
 
 def merge_people(mentions: DataFrame) -> DataFrame:

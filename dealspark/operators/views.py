@@ -60,12 +60,14 @@ def summary_candidates(entities: DataFrame, edges: DataFrame, n: int, titles: in
     return top.join(text, "id", "left").withColumn("context", F.coalesce("context", F.lit("(none)")))
 
 
-def referrers(companies: DataFrame, most: int = 1000) -> DataFrame:
-    """(referrer, n, companies): who referred which companies (company, referrer); the list ends after `most` names, n counts all."""
+def referrers(companies: DataFrame, size: int = 1000) -> DataFrame:
+    """(referrer, block, n, companies): who referred which companies (company, referrer), all of them in lists of `size` names
+    numbered from 0; n counts all of a referrer."""
     rows = companies.where(S.blank_to_null("referrer").isNotNull()).select("referrer", "company").distinct()
     w = Window.partitionBy("referrer")
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy("company")))
-    return ranked.groupBy("referrer").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= most, F.col("company")))).alias("companies"))
+    ranked = rows.withColumn("block", F.floor((F.row_number().over(w.orderBy("company")) - 1) / size))
+    lists = ranked.groupBy("referrer", "block").agg(F.array_sort(F.collect_list("company")).alias("companies"))
+    return lists.join(rows.groupBy("referrer").agg(F.count("*").alias("n")), "referrer").select("referrer", "block", "n", "companies")
 
 
 def sector_sizes(companies: DataFrame) -> DataFrame:

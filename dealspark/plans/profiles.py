@@ -203,7 +203,7 @@ def summary_candidates(t):
 @query("SELECT 'n' || c_nationkey AS referrer, count(*) AS n, list_sort(list(c_name))[1] AS first FROM customer WHERE c_nationkey <> 3 GROUP BY 1")
 def referrers(t):
     rows = t.customer.select(F.when(F.col("c_nationkey") != 3, F.concat(F.lit("n"), "c_nationkey")).alias("referrer"), F.col("c_name").alias("company"))
-    return views.referrers(rows).select("referrer", "n", F.col("companies")[0].alias("first"))
+    return views.referrers(rows).where("block = 0").select("referrer", "n", F.col("companies")[0].alias("first"))
 
 
 @query("SELECT sector, count(*) AS n FROM company WHERE sector IS NOT NULL GROUP BY sector", "company")

@@ -1,6 +1,8 @@
 """What operators do beyond the sizes of the smallest tables."""
 
-from dealspark.operators import text
+from pyspark.sql import functions as F
+
+from dealspark.operators import gold, text, views
 
 
 def test_knn_takes_queries_as_rows_in_blocks(spark):
@@ -16,3 +18,12 @@ def test_knn_takes_queries_as_rows_in_blocks(spark):
             near = sorted((round(1 - dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5, 3) + 0.0, j) for j, b in rows[:300])[:4]
             want += [(i, n + 1, j, d) for n, (d, j) in enumerate(near)]
         assert got == want
+
+
+def test_lists_of_a_hot_key_are_whole(spark):
+    df = spark.range(25).select(F.lit("k").alias("key"), F.array(F.format_string("i%02d", "id")).alias("items"), "id", (-F.col("id")).alias("at"))
+    got = gold.merge_lists(df, "key", "items", "at", "id", 10).orderBy("block").collect()
+    assert [x for r in got for x in r["items"]] == [f"i{i:02d}" for i in range(24, -1, -1)] and [len(r["items"]) for r in got] == [10, 10, 5]
+    rows = df.select(F.col("key").alias("referrer"), F.col("items")[0].alias("company"))
+    got = views.referrers(rows.unionByName(rows), 10).orderBy("block").collect()
+    assert [x for r in got for x in r["companies"]] == [f"i{i:02d}" for i in range(25)] and {r["n"] for r in got} == {25}
