@@ -50,6 +50,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def typed(df: DataFrame, more: str = "") -> T.StructType:
+    """The schema of df, all nullable, and the fields of `more` (DDL): as an object, so that names may hold any character."""
+    extra = T.StructType.fromDDL(more).fields if more else []
+    return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema] + extra)
+
+
+def named(column: str):
+    """The column of just this name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def map_texts(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow with batches of about BATCH_BYTES: a worker and the JVM each hold a few of them, so that rows of any
     length cost the same memory. The limit is the session's; a lower one given in bytes stays."""
@@ -84,14 +95,16 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.where(part < int((1 << 40) * n / count)).limit(2 * n) if count > n else df
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """About per_class texts of each class for fitting, never of held-out ids, chosen by a hash of doc_id.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int | tuple[int, int], max_chars: int) -> list[tuple[str, int]]:
+    """About per_class texts of each class (one number, or one of each) for fitting, never of held-out ids, chosen by a
+    hash of doc_id.
 
     Rows with a null id or label, or a text of more than max_chars, are not used. The bound makes the ids safe to
     broadcast and the texts safe to fetch."""
     rows = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & ~held_out("_id"))
-    parts = [hash_sample(rows.where(F.col("_y") == y), "_id", per_class).distinct() for y in (0, 1)]
+    most = (per_class, per_class) if isinstance(per_class, int) else per_class
+    parts = [hash_sample(rows.where(F.col("_y") == y), "_id", most[y]).distinct() for y in (0, 1)]
     ids = parts[0].unionByName(parts[1])
     own = documents.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.length("_text").between(1, max_chars))
-    got = own.join(F.broadcast(ids), "_id").select("_id", "_text", "_y").limit(8 * per_class).collect()
+    got = own.join(F.broadcast(ids), "_id").select("_id", "_text", "_y").limit(4 * sum(most)).collect()
     return [(r["_text"], r["_y"]) for r in sorted(got, key=lambda r: (r["_id"], r["_y"], r["_text"]))]

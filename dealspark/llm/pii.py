@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, hash_sample, map_texts
+from .common import blocks, hash_sample, map_texts, typed
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -22,7 +22,7 @@ CHAIN, CARD, PHONE, DIGIT = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile(r"[0-
 #: What makes a token a trigger. A span holds one at least and up to LONGEST tokens; up to GAP others may stand between two of a region.
 SPELT = r"[(\[{<]?(?:at|dot|arroba|chez)[)\]}>]"
 MARK, TRIGGER = re.compile("@|" + SPELT, re.I), re.compile("[0-9@]|" + SPELT, re.I)
-TOKEN, TRIM = re.compile(r"\S+"), ".,;:!?\"'"
+TOKEN, TRIM = re.compile(r"\S+"), ".,;:!?\"'*#$&|<>~^"
 LONGEST, GAP = 11, 1
 #: About FIT_DOCS texts are fetched, and of what they hold EXAMPLES examples of up to PIECE tokens are learnt from.
 FIT_DOCS, FIT_CHARS, EXAMPLES, PIECE, EPOCHS, RATE = 1500, 20_000, 4000, 64, 4, 0.15
@@ -107,7 +107,7 @@ def regions(text: str, taken: list[Span]) -> Iterator[list[tuple[int, int, bool]
         i = near.find(1, j)
 
 
-N_FEATURES = 52
+N_FEATURES = 60
 #: A whole spelt address; a bracketed mark that ends before, or begins at, a place.
 AT, DOT = r"\s*(?:@|[(\[{<]\s*(?:at|arroba|chez)\s*[)\]}>])\s*", r"\s*[(\[{<]\s*(?:dot|punto|point|punkt|\.)\s*[)\]}>]\s*"
 ADDRESS = re.compile(rf"[\w.%+-]+(?:{DOT}[\w.%+-]+)*{AT}[\w-]+(?:(?:{DOT}|\.)[\w-]+)+", re.I)
@@ -147,6 +147,15 @@ def features(text: str, a: int, b: int, n: int) -> list[int]:
         f += [42] if MARK_END.search(text[max(0, a - 16) : a]) or MARK_BEGIN.match(text[b : b + 16]) else []
     f += [43 + min(max(n - 5, 0), 6)] if n > 5 else []
     if d:
+        sizes = [len(g) for g in groups]
+        f += [52] if letters and d > 6 and not (spelt_at or spelt_dot or "@" in s) else []
+        f += [53] if "," in s or ":" in s or "/" in s or "=" in s else []
+        f += [54] if len(groups) > 1 and sizes[-1] == 4 and sizes[-2] == 3 and not letters else []
+        f += [55] if any(re.fullmatch(r"(?:19|20)\d\d", g) for g in groups) and len(groups) in (3, 4) else []
+        f += [56] if sizes.count(1) > 1 else []
+        f += [57] if len(groups) > 1 and len(set(sizes)) == 1 and sizes[0] == 4 else []
+        f += [58] if d < 7 else []
+        f += [59] if s[0] not in "+(0123456789" or not s[-1].isdigit() else []
         f += [50] if text[max(0, a - 2) : a].strip()[-1:].isdigit() and s[0].isdigit() else []
         f += [51] if text[b : b + 2].strip()[:1].isdigit() and s[-1].isdigit() else []
     return f
@@ -157,7 +166,7 @@ def trimmed(text: str, run: list[tuple[int, int, bool]], i: int, j: int) -> tupl
     a, b = run[i][0], run[j - 1][1]
     while a < b and text[a] in TRIM:
         a += 1
-    while b > a and text[b - 1] in TRIM:
+    while b > a and (text[b - 1] in TRIM or text[b - 1] == "%"):
         b -= 1
     return a, b
 
@@ -282,7 +291,11 @@ def altered(text: str, span: Span, rng: np.random.Generator) -> str:
         return s.replace(".", f"{o}.{c}" if rng.random() < 0.5 else f"{o}dot{c}")
     digits = re.sub(r"\D", "", s)
     if kind == "phone":
-        if rng.random() < 0.3:
+        form = rng.random()
+        if form < 0.25 and len(digits) >= 10:
+            area, rest, mark = digits[-10:-7], digits[-7:], ["-", ".", " "][int(rng.integers(3))]
+            return (f"({area}) " if rng.random() < 0.3 else area + mark) + rest[:3] + (mark if mark != " " or rng.random() < 0.5 else "-") + rest[3:]
+        if form < 0.5:
             digits += "".join(map(str, rng.integers(0, 10, max(0, int(rng.integers(9, 14)) - len(digits)))))  # numbers of any length
             n = int(rng.integers(1, 4))
             code, rest, m = digits[:n], digits[n:], int(rng.integers(2, 4))
@@ -292,6 +305,19 @@ def altered(text: str, span: Span, rng: np.random.Generator) -> str:
     return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
 
+def numbers(rng: np.random.Generator) -> str:
+    """A few numbers of everyday text that are no personal data, with words between: dates, times, prices, versions, places
+    in books, book numbers, keys."""
+    n = lambda a, b: int(rng.integers(a, b))
+    forms = (
+        lambda: f"{n(1900, 2100)}-{n(1, 13):02}-{n(1, 29):02}", lambda: f"{n(1, 29)}/{n(1, 13)}/{n(1900, 2100)}", lambda: f"{n(0, 24):02}:{n(0, 60):02}", lambda: f"{n(1, 999)},{n(0, 1000):03}.{n(0, 100):02}",
+        lambda: f"{n(0, 20)}.{n(0, 20)}.{n(0, 20)}", lambda: f"{n(1, 99)}", lambda: f"{n(1, 9999)}", lambda: f"97{n(8, 10)}-{n(0, 10)}-{n(10, 99)}-{n(100000, 999999)}-{n(0, 10)}", lambda: f"{n(1, 400)}-{n(400, 999)}",
+        lambda: f"{n(1, 99)}.{n(0, 99)}%", lambda: f"{n(1, 1 << 31):08x}{n(1, 1 << 31):08x}", lambda: f"{n(1900, 2100)}-{n(1900, 2100)}", lambda: f"{n(1, 13):02}.{n(1, 29):02}.{n(1900, 2100)}",
+    )
+    word = lambda: "".join(chr(97 + n(0, 26)) for _ in range(n(1, 8)))
+    return " ".join(x for _ in range(n(1, 6)) for x in ([word()] if rng.random() < 0.5 else []) + [forms[n(0, len(forms))]() + ("," if rng.random() < 0.2 else "")])
+
+
 def by_hash(items: list, key, most: int) -> list:
     """Up to `most` of the items, those of the least hashes."""
     return sorted(items, key=lambda x: (hashlib.blake2b(key(x).encode("utf-8", "replace"), digest_size=8).digest(), key(x)))[:most]
@@ -302,7 +328,7 @@ def fit(texts: list[str], seed: int = 3, examples: int = EXAMPLES) -> Model:
     other number, mark or word around is outside. So the field learns spans by their whole form, and what is no such span.
 
     Of all the texts' regions (in pieces of PIECE tokens) a quarter of `examples` is taken, and of all their items a
-    quarter, each in three forms; both by a hash of the text and place."""
+    quarter, each in three forms; both by a hash of the text and place. An eighth more are everyday numbers made by rule."""
     rng = np.random.default_rng(seed)
     golds = [base_spans(text) for text in texts]
     pieces = [(n, run[i][0], run[min(i + PIECE, len(run)) - 1][1]) for n, gold in enumerate(golds) for run in regions(texts[n], gold) for i in range(0, len(run), PIECE)]
@@ -315,6 +341,7 @@ def fit(texts: list[str], seed: int = 3, examples: int = EXAMPLES) -> Model:
             item = text[span[1] : span[2]] if plain else altered(text, span, rng)
             head = " ".join([*left, ""])
             data.append((head + item + " " + " ".join(right), [(span[0], len(head), len(head) + len(item))]))
+    data += [(numbers(rng), []) for _ in range(min(examples // 8, len(data)))]
     model = Model(np.zeros((len(KINDS), N_FEATURES)), np.zeros((len(KINDS) + 1, len(KINDS))))
     learnt = [example(text, run, [g for g in gold if run[0][0] <= g[1] and g[2] <= run[-1][1]]) for text, gold in data for run in regions(text, [])]
     for epoch in range(EPOCHS if any(g for _, g in data) else 0):
@@ -358,8 +385,8 @@ def personal_data(documents: DataFrame, model: Model) -> DataFrame:
             sha = pa.array([hashlib.sha256(told(base).encode()).hexdigest() for base, _ in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, sha, pa.array([told(s) for _, s in found])], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_texts(documents.select("doc_id", "text"), run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    own = documents.select("doc_id", "text")
+    return map_texts(own, run, typed(own.select("doc_id"), "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"))
 
 
 def redacted(text: str, spans: list[Span]) -> str:

@@ -1,148 +1,204 @@
-"""Toxicity: a support vector machine over a gapped-subsequence string kernel with Nystroem landmarks."""
+"""Toxicity: a support vector machine over a gapped-subsequence string kernel with Nystroem landmarks.
+
+A text is a bag of sentences, a sentence a run of words, each begun by a mark that stands for the space before it. The
+kernel compares windows of a sentence (one to WORDS neighbouring words, marks included) with landmarks by their common
+subsequences of three characters, so letters put in, left out or parted by a space cost little.
+"""
 
 from __future__ import annotations
 
-import re
-import zlib
+import functools
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, held_out, labelled_sample, map_texts
-
-#: Subsequences of three characters, each decayed by DECAY for every character from its first to its last.
-DECAY, UNIT, ALPHABET, LANDMARKS, CACHE = 0.7, 16, 64, 160, 200_000
-#: Least eigenvalue of the landmarks' kernel that is used; ridge of the machine.
-FLOOR, RIDGE = 3e-2, 1e-4
-PER_CLASS, MAX_CHARS, PREDICT_AT = 800, 50_000, 0.5
-SENTENCE = re.compile(r"[^.!?\n]+")
-NOT_LETTER = re.compile(r"[\W_]+")
-#: Three or more single characters in a row are one unit.
-SPELLED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
-SINGLE = frozenset(chr(c) for c in range(0x250) if chr(c).isalpha() and chr(c).islower())
-
-
-def units(tokens: Iterable[str], text: str) -> list[str]:
-    """What is scored: tokens without their marks (so marks between letters do not hide a word), begun by ^, and spelled-out letters
-    of the text as one. Longer ones are cut into overlapping parts of UNIT characters. All in lower case already."""
-    return [u for token in [*tokens, *spelled(tokens, text)] for u in cut(token)]
-
-
-def spelled(tokens: Iterable[str], text: str) -> list[str]:
-    """Runs of single characters, joined; sought only where there are three different ones."""
-    return [m.replace(" ", "") for m in SPELLED.findall(" ".join(text.split()))] if len(SINGLE.intersection(tokens)) > 2 else []
-
+from .common import blocks, held_out, labelled_sample, map_texts, typed
+
+#: A subsequence of three characters spans at most SPAN places and is decayed by DECAY for each of them.
+DECAY, SPAN, ALPHABET = 0.7, 9, 64
+#: Letters of a window at most (longer words are cut into overlapping parts), words of a window, marks that open a word.
+UNIT, WORDS, MARK = 16, 3, 0
+LANDMARKS, FLOOR, RIDGE, ROUNDS, BIAS = 160, 3e-2, 1e-4, 5, -1.0
+#: Texts of each class (clean, toxic) that are fitted on, and their longest; words scored at once.
+PER_CLASS, MAX_CHARS, PREDICT_AT, PIECE = (2000, 800), 20_000, 0.5, 30_000
+#: Margins under this say nothing and count as it, as does a missing (second, third) window.
+NO_UNIT = -0.7
+#: What the sentence of the greatest margin, taken as a text of its own, weighs beside its whole text.
+ALONE = 0.12
+POINTS = 0x30000
+
+
+@functools.cache
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: its kind (0 other, 1 white space, 2 letter or digit) and its lower-cased letter's code."""
+    kind, code = np.zeros(POINTS + 1, dtype=np.uint8), np.zeros(POINTS + 1, dtype=np.uint8)
+    for i in range(POINTS):
+        c = chr(i)
+        if c.isalnum():
+            low = ord(c.lower()[0])
+            kind[i], code[i] = 2, low - 96 if 97 <= low < 123 else 27 + low % 37
+        elif c.isspace():
+            kind[i] = 1
+    return kind, code
 
-def cut(token: str) -> list[str]:
-    word = token if token.isalpha() else NOT_LETTER.sub("", token)
-    if len(word) <= UNIT:
-        return ["^" + word] if len(word) > 2 else []
-    return [("" if i else "^") + word[i : i + UNIT] for i in range(0, len(word) - UNIT // 2, UNIT // 2)]
 
-
-def codes(words: list[str], length: int) -> np.ndarray:
-    """Character codes, one row per word of this length."""
-    c = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(len(words), length)
-    return np.where((c >= 97) & (c < 123), c - 96, 27 + c % 37).astype(np.int64)
+@dataclass
+class Words:
+    """All words of some texts in one stream of codes: each from its mark to behind its last letter."""
+
+    stream: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    sentence: np.ndarray
+    text: np.ndarray
+
+    def part(self, i: int, j: int) -> Words:
+        """Words i to j, with those after them that share a window."""
+        k = min(j + WORDS - 1, len(self.begin))
+        a, b = (self.begin[i], self.end[k - 1]) if k > i else (0, 0)
+        return Words(self.stream[a:b], self.begin[i:k] - a, self.end[i:k] - a, self.sentence[i:k], self.text[i:k])
+
+
+def read(texts: list[str]) -> Words:
+    """Words end at white space; other characters than letters and digits vanish, so marks between letters hide nothing.
+    Sentences end at a full stop, an exclamation or question mark before white space, and at line ends. Three or more
+    single characters in a row are one word."""
+    kind, code = tables()
+    a = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), dtype=np.uint32)
+    a = np.minimum(a, POINTS)
+    k = kind[a]
+    space, letter = k == 1, np.flatnonzero(k == 2)
+    after = np.append(space[1:], True)
+    stop = (a == 10) | (((a == 33) | (a == 46) | (a == 63)) & after) | (a == 0x3002)
+    places = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    if not len(letter):
+        return Words(np.zeros(0, dtype=np.uint8), *(np.zeros(0, dtype=np.int32) for _ in range(4)))
+    word = np.cumsum(space, dtype=np.int32)[letter]
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    length = np.diff(np.append(first, len(letter)))
+    at = letter[first]
+    text = np.searchsorted(places, at, side="right") - 1
+    single = length == 1
+    joins = single & np.append(False, single[:-1]) & (text == np.append(-1, text[:-1]))
+    run = np.cumsum(~joins)
+    joins &= np.bincount(run)[run] >= 3
+    first, at, text = first[~joins], at[~joins], text[~joins]
+    length = np.diff(np.append(first, len(letter)))
+    begin = first + np.arange(len(first))
+    stream = np.zeros(len(letter) + len(first), dtype=np.uint8)
+    own = np.ones(len(stream), dtype=bool)
+    own[begin] = False
+    stream[own] = code[a[letter]]
+    narrow = lambda x: x.astype(np.int32)
+    return Words(stream, narrow(begin), narrow(begin + 1 + length), np.cumsum(stop, dtype=np.int32)[at], narrow(text))
 
 
+@dataclass
+class Windows:
+    """Windows of a stream: places [begin, end), first word, and how many words (0: a part of a long one)."""
+
+    begin: np.ndarray
+    end: np.ndarray
+    word: np.ndarray
+    words: np.ndarray
+
+
+def windows(w: Words, upto: int | None = None) -> Windows:
+    """All windows of three letters or more that begin at the first `upto` words."""
+    n = len(w.begin) if upto is None else min(upto, len(w.begin))
+    i, out = np.arange(n), []
+    letters = w.end - w.begin - 1
+    for m in range(1, WORDS + 1):
+        j = i[: max(0, min(n, len(w.begin) - m + 1))]
+        size = w.end[j + m - 1] - w.begin[j] - m
+        j = j[(size >= 3) & (size <= UNIT) & (w.sentence[j] == w.sentence[j + m - 1]) & (w.text[j] == w.text[j + m - 1])].astype(np.int32)
+        out.append((w.begin[j], w.end[j + m - 1], j, np.full(len(j), m, dtype=np.int8)))
+    long = np.flatnonzero(letters[:n] > UNIT)
+    if len(long):
+        parts = -(-(letters[long] - UNIT) // (UNIT // 2)) + 1
+        word = np.repeat(long, parts)
+        step = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = w.begin[word] + (UNIT // 2) * step + (step > 0)
+        out.append((begin.astype(np.int32), np.minimum(begin + UNIT + (step == 0), w.end[word]).astype(np.int32), word.astype(np.int32), np.zeros(len(word), dtype=np.int8)))
+    return Windows(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+
+def norms(length: np.ndarray) -> np.ndarray:
+    """The root of the self-kernel of so many characters that all differ: what a window's sum is divided by."""
+    n, total = np.asarray(length, dtype=np.float64), np.zeros(len(length))
+    for span in range(3, SPAN + 1):
+        total += np.maximum(n - span + 1, 0) * (span - 2) * DECAY ** (2 * span)
+    return np.sqrt(np.maximum(total, 1e-12))
+
+
+def sums(stream: np.ndarray, begin: np.ndarray, end: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each window the normalised sum of its subsequences, each by its weight [ALPHABET^3]. What begins at a place
+    with a given span is summed once for all windows; running sums then give any window's."""
+    c, out = stream.astype(np.int64), np.zeros(len(begin))
+    pairs = [(c[:-j] * ALPHABET + c[j:]) * ALPHABET for j in range(1, min(SPAN - 1, len(c)))]
+    for span in range(3, min(SPAN, len(c)) + 1):
+        m = len(c) - span + 1
+        d = np.zeros(m, dtype=np.float32)
+        for j in range(1, span - 1):
+            d += weights[pairs[j - 1][:m] + c[span - 1 :]]
+        run = np.concatenate([[0.0], np.cumsum(d, dtype=np.float64)])
+        out += DECAY**span * (run[np.minimum(np.maximum(end - span + 1, begin), m)] - run[np.minimum(begin, m)])
+    return out / norms(end - begin)
+
+
+def subsequences(unit: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a unit's subsequences and their normalised weights."""
+    c = np.frombuffer(unit, dtype=np.uint8).astype(np.int64)
+    t = triples(len(c))
+    ids = (c[t[:, 0]] * ALPHABET + c[t[:, 1]]) * ALPHABET + c[t[:, 2]]
+    own, place = np.unique(ids, return_inverse=True)
+    return own, np.bincount(place, DECAY ** (t[:, 2] - t[:, 0] + 1.0), minlength=len(own)) / norms(np.array([len(c)]))
+
+
+@functools.cache
 def triples(n: int) -> np.ndarray:
-    return np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, n)]).reshape(-1, 3)
-
-
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in the list, codes) for each length."""
-    lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths):
-        at = np.flatnonzero(lengths == n)
-        for start in range(0, len(at), 1024):
-            part = at[start : start + 1024]
-            yield part, codes([words[i] for i in part], int(n))
-
-
-def self_kernel(c: np.ndarray) -> np.ndarray:
-    """k(s, s) of each row by the usual recursion: order 3, gaps decayed on either side. Words lie along the last axis."""
-    b, n = c.shape
-    t = np.ascontiguousarray(c.T)
-    same = (t[:, None] == t[None, :]) * np.float32(DECAY**2)
-    inner = np.ones((n, n, b), dtype=np.float32)  # of what stands before places i and j
-    for order in range(3):
-        m = same * inner
-        if order == 2:
-            return m.sum(axis=(0, 1), dtype=np.float64)
-        inner = np.zeros_like(m)
-        for i in range(1, n):
-            np.multiply(inner[i - 1], np.float32(DECAY), out=inner[i])
-            inner[i] += m[i - 1]
-        m = inner
-        inner = np.zeros_like(m)
-        for j in range(1, n):
-            np.multiply(inner[:, j - 1], np.float32(DECAY), out=inner[:, j])
-            inner[:, j] += m[:, j - 1]
-    raise AssertionError
-
-
-def feature_map(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For words of one length: the codes of their three-character subsequences and the decays, the same for each row."""
-    t = triples(c.shape[1])
-    return (c[:, t[:, 0]] * ALPHABET + c[:, t[:, 1]]) * ALPHABET + c[:, t[:, 2]], DECAY ** (t[:, 2] - t[:, 0] + 1.0)
-
-
-def against(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Normalised sums of the words' subsequences, each by its weight [ALPHABET^3]."""
-    out = np.zeros(len(words))
-    for at, c in by_length(words):
-        n, cols = c.shape[1], np.ascontiguousarray(c.T)
-        spans = np.zeros((n + 1, len(c)), dtype=np.float32)  # summed by length, decayed at the end
-        for i in range(n - 2):
-            for j in range(i + 1, n - 1):
-                pair = (cols[i] * ALPHABET + cols[j]) * ALPHABET
-                spans[j + 2 - i : n + 1 - i] += weights[pair + cols[j + 1 :]]
-        out[at] = (DECAY ** np.arange(n + 1.0)) @ spans / np.sqrt(self_kernel(c))
-    return out
+    return np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + SPAN))]).reshape(-1, 3)
 
 
 class Kernel:
-    """The kernel between words met so far and landmarks, each value computed once; a landmark is kept as the few
-    subsequences that it has, so memory stays with words times landmarks."""
+    """The kernel between units met so far and landmarks, each value computed once; landmarks are kept as the few
+    subsequences that they have, so memory stays with units times landmarks."""
 
     def __init__(self) -> None:
-        self.marks: list[str] = []
+        self.marks: list[bytes] = []
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.at: dict[str, int] = {}
+        self.at: dict[bytes, int] = {}
         self.values = np.zeros((0, 0), dtype=np.float32)
 
-    def block(self, words: list[str], parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        out, flat = np.zeros((len(words), len(parts)), dtype=np.float32), np.zeros(ALPHABET**3, dtype=np.float32)
-        for at, c in by_length(words):
-            ids, decay = feature_map(c)
-            decay = decay.astype(np.float32)
-            norm = np.sqrt(self_kernel(c))
-            for j, (own, weight) in enumerate(parts):
-                flat[own] = weight
-                out[at, j] = flat[ids] @ decay / norm
-                flat[own] = 0
+    def block(self, units: list[bytes], parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out = np.zeros((len(units), len(parts)), dtype=np.float32)
+        lengths, flat = np.array([len(u) for u in units]), np.zeros(ALPHABET**3, dtype=np.float32)
+        for n in np.unique(lengths):
+            at, t = np.flatnonzero(lengths == n), triples(int(n))
+            decay = (DECAY ** (t[:, 2] - t[:, 0] + 1.0) / norms(np.array([n]))).astype(np.float32)
+            for start in range(0, len(at), 2048):
+                own = at[start : start + 2048]
+                c = np.frombuffer(b"".join(units[i] for i in own), dtype=np.uint8).reshape(-1, n).astype(np.int64)
+                ids = (c[:, t[:, 0]] * ALPHABET + c[:, t[:, 1]]) * ALPHABET + c[:, t[:, 2]]
+                for j, (part, weight) in enumerate(parts):
+                    flat[part] = weight
+                    out[own, j] = flat[ids] @ decay
+                    flat[part] = 0
         return out
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.at]
+    def rows(self, units: list[bytes]) -> np.ndarray:
+        new = [u for u in dict.fromkeys(units) if u not in self.at]
         if new:
-            new = list(dict.fromkeys(new))
             known = len(self.at)
-            self.at.update((w, known + i) for i, w in enumerate(new))
+            self.at.update((u, known + i) for i, u in enumerate(new))
             self.values = np.concatenate([self.values, self.block(new, self.parts)])
-        return self.values[[self.at[w] for w in words]]
-
-    def add(self, marks: list[str]) -> None:
-        parts = []
-        for u in marks:
-            c = codes([u], len(u))
-            ids, decay = feature_map(c)
-            own, place = np.unique(ids[0], return_inverse=True)
-            parts.append((own, np.bincount(place, decay) / np.sqrt(self_kernel(c)[0])))
+        return self.values[[self.at[u] for u in units]]
+
+    def add(self, marks: list[bytes]) -> None:
+        parts = [subsequences(u) for u in marks]
         self.values = np.concatenate([self.values, self.block(list(self.at), parts)], axis=1)
         self.marks += marks
         self.parts += parts
@@ -166,190 +222,280 @@ class Kernel:
 class Model:
     weights: np.ndarray  # the machine's weight of each subsequence: sum of beta * landmark
     bias: float
-    slope: float
-    shift: float
-
-    def margins(self, words: list[str]) -> np.ndarray:
-        return against(words, self.weights) + self.bias if words else np.empty(0)
-
-    def score(self, best: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -30, 30))))
-
-
-NO_UNIT = -3.0
-
+    steps: np.ndarray = field(default_factory=lambda: np.array([4.0, 1.0, 1.0, 0.0]))  # of the three margins, and a constant
+
+    def best(self, texts: list[str]) -> np.ndarray:
+        """The three greatest margins of each text, each of another unit."""
+        w, out = read(texts), np.full((len(texts), 3), NO_UNIT)
+        for i in range(0, len(w.begin), PIECE):
+            margin, text, _ = self.margins(w.part(i, i + PIECE), min(PIECE, len(w.begin) - i))
+            if len(text):
+                self.top(margin, text, out)
+        return out
 
-def variants(unit: str, rng: np.random.Generator, n: int = 6) -> list[str]:
-    """The unit with a letter put in, doubled or left out, so that the machine learns to bear such changes."""
+    def hardest(self, w: Words, texts: np.ndarray, least: float = -0.5, most: int = 2000) -> dict[bytes, float]:
+        """Units of these texts (marked by True) with the greatest margins over `least`, and in how many texts."""
+        found: dict[bytes, list] = {}
+        for i in range(0, len(w.begin), PIECE):
+            part = w.part(i, i + PIECE)
+            margin, text, win = self.margins(part, min(PIECE, len(w.begin) - i))
+            for j in np.flatnonzero(texts[text] & (margin > least)) if len(text) else ():
+                own = found.setdefault(part.stream[win.begin[j] : win.end[j]].tobytes(), [-float(margin[j]), set()])
+                own[1].add(int(text[j]))
+        first = sorted(found, key=lambda u: (found[u][0], u))[:most]
+        return {u: float(len(found[u][1])) for u in first}
+
+    def margins(self, w: Words, upto: int | None = None) -> tuple[np.ndarray, np.ndarray, Windows]:
+        """(margin, text, window) of what counts in each sentence: every word, and the best window of several words if none
+        of these is toxic by itself."""
+        win = windows(w, upto)
+        margin = sums(w.stream, win.begin, win.end, self.weights) + self.bias
+        several = win.words > 1
+        alone = np.full(len(w.begin) + WORDS, -np.inf)
+        np.maximum.at(alone, win.word[~several], margin[~several])
+        which = np.flatnonzero(several & (margin > 0))
+        clear = np.maximum.reduce([np.where(m < win.words[which], alone[win.word[which] + m], -np.inf) for m in range(WORDS)]) <= 0
+        which = which[clear]
+        order = which[np.lexsort((-margin[which], w.sentence[win.word[which]]))]
+        which = order[np.diff(w.sentence[win.word[order]], prepend=-1) != 0] if len(order) else order
+        keep = np.sort(np.concatenate([np.flatnonzero(~several), which]))
+        keep = keep[np.argsort(win.word[keep], kind="stable")]
+        return margin[keep], w.text[win.word[keep]], Windows(win.begin[keep], win.end[keep], win.word[keep], win.words[keep])
+
+    @staticmethod
+    def top(margin: np.ndarray, text: np.ndarray, out: np.ndarray) -> None:
+        """Merge into out; text ascends. Equal margins are of equal units and count once."""
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        own, group = text[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(text))))
+        m, found = margin.copy(), [out[own]]
+        for _ in range(3):
+            best = np.maximum.reduceat(m, first)
+            found.append(np.maximum(best, NO_UNIT)[:, None])
+            m[m >= best[group]] = -np.inf
+        out[own] = -np.sort(-np.concatenate(found, axis=1), axis=1)[:, :3]
+
+    def score(self, best: np.ndarray) -> np.ndarray:
+        z = np.minimum(best, 2.0) @ self.steps[:3] + self.steps[3]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def variants(unit: bytes, rng: np.random.Generator, n: int = 4) -> list[bytes]:
+    """The unit with a letter or space put in, doubled, changed or left out, so that the machine learns to bear this."""
     out = []
     for _ in range(n if 5 <= len(unit) <= UNIT else 0):
-        i = int(rng.integers(2, len(unit)))
-        out += [unit[:i] + chr(97 + int(rng.integers(26))) + unit[i:], unit[:i] + unit[i - 1] + unit[i:]]
+        i, x = int(rng.integers(2, len(unit))), bytes([int(rng.integers(1, 27))])
+        out += [unit[:i] + x + unit[i:], unit[:i] + unit[i - 1 : i] + unit[i:], unit[:i] + bytes([MARK]) + unit[i:]]
         if len(unit) > 6:
-            out.append(unit[: i - 1] + unit[i:])
+            out += [unit[: i - 1] + unit[i:], unit[: i - 1] + bytes([27 + int(rng.integers(37))]) + unit[i:]]
     return out
 
 
+def _hashes(w: Words, win: Windows, least: int = 5, most: int = 9) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, hash, window): of the first `least` to `most` places of single words, and (size 0) of all other windows."""
+    h, length = np.zeros(len(win.begin), dtype=np.uint64), win.end - win.begin
+    for i in range(int(length.max()) if len(length) else 0):
+        on = np.flatnonzero(length > i)
+        h[on] = (h[on] + w.stream[win.begin[on] + i] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h[on] ^= h[on] >> np.uint64(29)
+        if least <= i + 1 <= most:
+            on = on[win.words[on] == 1]
+            yield i + 1, h[on], on
+    on = np.flatnonzero((win.words != 1) | (length < least) | (length > most))
+    yield 0, h[on], on
+
+
+def _counts(h: np.ndarray, text: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, clean texts, toxic texts), by ascending hash."""
+    order = np.lexsort((text, h))
+    h, text = h[order], text[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])) if len(h) else np.zeros(0, bool)
+    h, c = h[new], y[text[new]]
+    own, place = np.unique(h, return_inverse=True)
+    return own, np.bincount(place, 1 - c, len(own)), np.bincount(place, c, len(own))
+
+
+def _evidence(clean: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Minus the logarithm of a bound on the chance to be in toxic texts so often, if it were no sign of them."""
+    n = np.maximum(clean + toxic, 1)
+    q = np.clip(toxic / n, 1e-12, 1 - 1e-12)
+    return np.where(q > share, n * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share))), 0.0)
+
+
+def signs(w: Words, win: Windows, y: np.ndarray, part: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Units that set toxic texts apart, strongest first, and for each window whether it is or begins with one.
+
+    A unit must be too frequent in toxic texts for chance among so many units, on the texts of part 0, and then again by
+    itself on the held-back part 1. Those whose counts a longer unit around them explains are left out."""
+    text, found = w.text[win.word], {0: [], 1: []}
+    for _, h, at in _hashes(w, win):
+        for p, of in found.items():
+            on = part[text[at]] == p
+            own, clean, toxic = _counts(h[on], text[at[on]], y)
+            ok = toxic > (2 if p == 0 else 0)  # rarer units can't pass, so they are no trials
+            of.append((own[ok], clean[ok], toxic[ok]))
+    (own, clean, toxic), (back, clean_back, toxic_back) = ([np.concatenate(x) for x in zip(*found[p], strict=True)] for p in (0, 1))
+    share = [max(y[part == p].sum(), 1) / max(1, (part == p).sum()) for p in (0, 1)]
+    strength, again = _evidence(clean, toxic, share[0]), dict(zip(back.tolist(), _evidence(clean_back, toxic_back, share[1]).tolist(), strict=True))
+    ok = [i for i in np.flatnonzero(strength > np.log(max(2, len(own))) + 3) if again.get(int(own[i]), 0) > 3]
+    ok = sorted(ok, key=lambda i: own[i])
+    sure = own[ok]
+    inside, units = np.zeros(len(win.begin), dtype=bool), {}
+    for size, h, at in _hashes(w, win) if len(sure) else ():
+        number = np.minimum(np.searchsorted(sure, h), len(sure) - 1)
+        hit = np.flatnonzero(sure[number] == h)
+        inside[at[hit]] = True
+        for k, i in zip(*np.unique(number[hit], return_index=True), strict=True):  # one of each, to read its letters from
+            b, e = win.begin[at[hit[i]]], win.end[at[hit[i]]]
+            units[w.stream[b : b + size if size else e].tobytes()] = (float(strength[ok[k]]), float(toxic[ok[k]]))
+    kept = [u for u in units if not any(v != u and u in v and units[v][1] >= 0.8 * units[u][1] for v in units)]
+    names = sorted(kept, key=lambda u: (-units[u][0], u))
+    starts = {u[:4] for u in names}
+    for i in np.flatnonzero(inside & (win.words == 1)):  # not by a beginning that was left out
+        own_bytes = w.stream[win.begin[i] : win.end[i]].tobytes()
+        inside[i] = own_bytes[:4] in starts and any(own_bytes.startswith(u) for u in names)
+    return names, inside
+
+
+def _unlike(w: Words, n: int, least: int = 4) -> np.ndarray:
+    """Which texts share fewer than `least` of their 8 least word hashes with every earlier one: copies would make a rare
+    unit look frequent."""
+    whole = Windows(w.begin, np.minimum(w.end, w.begin + UNIT), np.arange(len(w.begin)), np.zeros(len(w.begin), dtype=np.int8))
+    *_, (_, h, _) = _hashes(w, whole)
+    keep, seen = np.ones(n, dtype=bool), {}
+    bounds = np.searchsorted(w.text, np.arange(n + 1))
+    for i in range(n):
+        low = np.unique(h[bounds[i] : bounds[i + 1]])[:8].tolist()
+        before = [seen[x] for x in low if x in seen]
+        if len(low) >= 8 and before and max(map(before.count, before)) >= least:
+            keep[i] = False
+        else:
+            for x in low:
+                seen.setdefault(x, i)
+    return keep
+
+
 def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, seed: int = 5) -> Model | None:
-    """rows: (text, toxic). Their sentences take the text's label: those of clean texts are clean; a toxic text has a
-    toxic sentence at least, told by its unit of the greatest margin (at first: of the greatest ratio of frequencies).
+    """rows: (text, toxic). Sentences take their text's label: those of clean texts are clean; a toxic text has a toxic
+    sentence, told by windows that hold a sign (see `signs`); a toxic text without any teaches nothing.
 
-    Landmarks are the units that most set toxic texts apart, and clean units; the kernel between units gives Nystroem
-    features, on which a linear machine is trained by squared hinge loss. Its weights fold into one weight per
-    subsequence, so that scoring a unit costs one pass over its subsequences whatever the number of landmarks.
+    Landmarks are the signs, some clean units, and the clean windows of the greatest margins met on the way. The kernel
+    with them gives Nystroem features, on which a linear machine is trained by squared hinge loss. Its weights fold into
+    one weight per subsequence. A third of the texts is held back: there each sign must show again, and there the score is
+    fitted to the three greatest margins of each text, and to the greatest alone, as of a text of one sentence.
     """
     rng = np.random.default_rng(seed)
-    texts = [sorted({u for s in SENTENCE.findall(t.lower()) for u in units(s.split(), s)}) for t, _ in rows]
-    kept = _unlike(texts)  # copies would make a rare unit look frequent
-    texts, y = [texts[i] for i in kept], np.array([rows[i][1] for i in kept])
+    all_texts, all_y = [t for t, _ in rows], np.array([c for _, c in rows], dtype=np.int64)
+    kept = np.flatnonzero(_unlike(read(all_texts), len(rows))) if rows else np.zeros(0, int)
+    texts, y = [all_texts[i] for i in kept], all_y[kept]
     if len(set(y.tolist())) < 2:
         return None
-    seen = {0: {}, 1: {}}
-    for us, c in zip(texts, y, strict=True):
-        for u in us:
-            seen[c][u] = seen[c].get(u, 0) + 1
-    n1, n0 = y.sum(), (1 - y).sum()
-    lift = {u: np.log((k + 0.1) / n1) - np.log((seen[0].get(u, 0) + 0.1) / n0) for u, k in seen[1].items()}
-    strong = sorted((u for u in lift if seen[1][u] >= 3), key=lambda u: (-lift[u] * np.log1p(seen[1][u]), u))
-    # Too often in toxic texts only for that to be chance, given so many units.
-    sure = [u for u in strong if lift[u] > 3 and seen[1][u] * np.log((n0 + n1) / n1) > np.log(len(lift)) + 3]
-    clean = sorted(seen[0])
-    if not strong or not clean:
+    part = np.zeros(len(y), dtype=np.int64)
+    for c in (0, 1):
+        own = np.flatnonzero(y == c)
+        part[rng.permutation(own)[: len(own) // 3]] = 1
+    w = read(texts)
+    win = windows(w)
+    names, inside = signs(w, win, y, part)
+    if not names:
         return None
-    marks = list(dict.fromkeys([*sure, *strong]))[:landmarks]
-    marks += [u for u in (clean[i] for i in rng.permutation(len(clean))[: landmarks // 4]) if u not in marks]
-    kernel = Kernel()
-    kernel.add(marks)
+    text = w.text[win.word]
+    learnt = part[text] == 0
+    name = lambda at: [w.stream[win.begin[i] : win.end[i]].tobytes() for i in at]
+    # A toxic text weighs 1, shared by its signs, so that a sign that comes alone weighs more than one of many.
+    witness = np.flatnonzero(inside & learnt & (y[text] == 1))
+    own = np.bincount(text[witness], minlength=len(y))
+    weight: dict[bytes, float] = {}
+    for u, t in zip(name(witness), text[witness], strict=True):
+        weight[u] = weight.get(u, 0) + 1 / own[t]
+    total = sum(weight.values())
+    clean = np.flatnonzero(learnt & (y[text] == 0))
+    starts = {u[:4] for u in names}
+    close = [u for u in name(clean[win.words[clean] == 1]) if u[:4] in starts]
+    some = list(dict.fromkeys([*name(rng.permutation(clean)[:8000]), *(close[i] for i in rng.permutation(len(close))[:3000])]))
+    negative: dict[bytes, float] = dict.fromkeys(some, total / len(some))
+    varied = {v for u in names[:60] for v in variants(u, rng)} - {*negative, *weight}
+    weight |= dict.fromkeys(sorted(varied), 0.5 * total / max(1, len(varied)))
+    kernel, some_varied = Kernel(), sorted(varied)
+    kernel.add([*names[:landmarks], *(some_varied[i] for i in rng.permutation(len(varied))[: landmarks // 2]), *(some[i] for i in rng.permutation(len(some))[: landmarks // 4] if some[i] not in names[:landmarks])])
     half_inverse = kernel.half_inverse()
-    # Positives: one unit per toxic text; negatives: clean units, those nearest to toxic ones among them.
-    near = {u[:4] for u in strong[: 4 * landmarks]}
-    some = [clean[i] for i in rng.permutation(len(clean))[:6_000]]
-    close = [u for u in clean if u[:4] in near]
-    negative = sorted({*some, *(close[i] for i in rng.permutation(len(close))[:3_000])})
-    witness = [max((u for u in us if u in lift), key=lambda u: (lift[u] * np.log1p(seen[1][u]), u), default=None) for us, c in zip(texts, y, strict=True) if c]
-    toxic_texts, clean_texts = [us for us, c in zip(texts, y, strict=True) if c], [us for us, c in zip(texts, y, strict=True) if not c]
-    varied = {v for u in sure if seen[1][u] >= 0.1 * n1 for v in variants(u, rng)} - {*clean}
-    w, b = np.zeros(half_inverse.shape[1]), 0.0
-    for step in range(5):
-        positive = sorted({u for u in witness if u} | set(sure) | varied)
-        z0, z1 = kernel.rows(negative) @ half_inverse, kernel.rows(positive) @ half_inverse
-        z, s = np.concatenate([z0, z1]), np.concatenate([-np.ones(len(z0)), np.ones(len(z1))])
-        cost = np.where(s > 0, len(z) / (2 * len(z1)), len(z) / (2 * len(z0))) / len(z)
-        w, b = _squared_hinge(z, s, cost)
-        beta = half_inverse @ w
-        model = Model(kernel.folded(beta), float(b), 1.0, 0.0)
-        margins = _margins(model, toxic_texts)
-        witness = [us[int(m.argmax())] if len(us) else None for us, m in zip(toxic_texts, margins, strict=True)]
-        # All of a clean text is clean: its units of the greatest margins are learnt as such.
-        found = _margins(model, clean_texts)
-        if step < 4:  # the hardest of them become landmarks too
-            worst = sorted(((m.max(), us[int(m.argmax())]) for us, m in zip(clean_texts, found, strict=True) if len(us)), reverse=True)
-            kernel.add([u for u in dict.fromkeys(u for _, u in worst) if u not in kernel.marks][: landmarks // 2])
-            half_inverse = kernel.half_inverse()
-        negative += sorted({us[i] for us, m in zip(clean_texts, found, strict=True) for i in np.argsort(-m)[:3]} - {*negative})
-    best = np.array([m.max() if len(m) else NO_UNIT for m in _margins(model, texts)])
-    model.slope, model.shift = _calibrate(best, y)
+    for step in range(ROUNDS):
+        z = kernel.rows([*negative, *weight]) @ half_inverse
+        s = np.repeat([-1.0, 1.0], [len(negative), len(weight)])
+        cost = np.array([*negative.values(), *weight.values()])
+        model = Model(kernel.folded(half_inverse @ _squared_hinge(z, s, cost / cost.sum())), BIAS)
+        if step == ROUNDS - 1:
+            break
+        found = model.hardest(w, (y == 0) & (part == 0))
+        for u, n in found.items():
+            negative[u] = max(n, negative.get(u, 0))
+        kernel.add([u for u in found if u not in kernel.marks and u not in names][: landmarks // 2])
+        half_inverse = kernel.half_inverse()
+    best, kind = np.minimum(model.best([texts[i] for i in np.flatnonzero(part)]), 2.0), y[part == 1]
+    alone = np.where([True, False, False], best, NO_UNIT)  # as if the sentence of the greatest margin were the text
+    model.steps = _calibrate(np.concatenate([best, alone]), np.concatenate([kind, kind]), np.repeat([1.0, ALONE], len(kind)))
     return model
 
 
-def _unlike(texts: list[list[str]], least: int = 4) -> list[int]:
-    """Places of the texts without those that share `least` or more of their 8 least unit hashes with an earlier one."""
-    seen: dict[int, int] = {}
-    out = []
-    for i, us in enumerate(texts):
-        low = sorted(zlib.crc32(u.encode()) for u in us)[:8]
-        with_earlier = [seen[h] for h in low if h in seen]
-        if len(low) < 8 or not with_earlier or max(map(with_earlier.count, with_earlier)) < least:
-            out.append(i)
-            for h in low:
-                seen.setdefault(h, i)
-    return out
-
-
-def _margins(model: Model, texts: list[list[str]]) -> list[np.ndarray]:
-    words = sorted({u for us in texts for u in us})
-    at = dict(zip(words, model.margins(words), strict=True))
-    return [np.array([at[u] for u in us]) for us in texts]
-
-
-def _squared_hinge(z: np.ndarray, s: np.ndarray, cost: np.ndarray, ridge: float = RIDGE, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Newton steps on the support vectors of the moment."""
-    x = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-    w = np.zeros(x.shape[1])
+def _squared_hinge(z: np.ndarray, s: np.ndarray, cost: np.ndarray, ridge: float = RIDGE, steps: int = 60) -> np.ndarray:
+    """Newton steps on the support vectors of the moment. The bias is fixed, so that what is like no landmark is clean."""
+    w = np.zeros(z.shape[1])
+    loss = lambda v: ridge * v @ v + (cost * np.maximum(0, 1 - s * (z @ v + BIAS)) ** 2).sum()
     for _ in range(steps):
-        active = s * (x @ w) < 1
-        xa, ca = x[active], cost[active]
-        new = np.linalg.solve((xa * ca[:, None]).T @ xa + ridge * np.eye(x.shape[1]), (xa * ca[:, None]).T @ s[active])
+        active = s * (z @ w + BIAS) < 1
+        xa, ca = z[active], cost[active]
+        new = np.linalg.solve((xa * ca[:, None]).T @ xa + ridge * np.eye(z.shape[1]), (xa * ca[:, None]).T @ (s[active] - BIAS))
         if np.abs(new - w).max() < 1e-6:
             break
-        loss = lambda v: ridge * v @ v + (cost * np.maximum(0, 1 - s * (x @ v)) ** 2).sum()
         part = next((a for a in (1.0, 0.5, 0.25, 0.1, 0.03) if loss(w + a * (new - w)) < loss(w)), 0)
         if not part:
             break
         w = w + part * (new - w)
-    return w[:-1], w[-1]
+    return w
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and shift of the label on the greatest margin, a little ridge on the slope."""
-    a, b = 4.0, 0.0
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> np.ndarray:
+    """Logistic weights of the label on the margins, none below zero, and a constant: projected Newton steps."""
+    z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    a = np.array([2.0, 1.0, 1.0, 0.0])
     for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([((p - y) * x).sum() + 0.05 * a, (p - y).sum()])
-        q = p * (1 - p) + 1e-9
-        h = np.array([[(q * x * x).sum() + 0.05, (q * x).sum()], [(q * x).sum(), q.sum() + 1e-6]])
-        d = np.linalg.solve(h, g)
-        a, b = a - np.clip(d[0], -2, 2), b - np.clip(d[1], -2, 2)
-    return float(max(a, 0.1)), float(b)
+        p = 1 / (1 + np.exp(-np.clip(z @ a, -30, 30)))
+        g = z.T @ (weight * (p - y)) + ridge * a * [1, 1, 1, 0]
+        q = weight * p * (1 - p) + 1e-9
+        d = np.linalg.solve((z * q[:, None]).T @ z + np.diag([ridge, ridge, ridge, 1e-6]), g)
+        new = a - np.clip(d, -1, 1)
+        new[:3] = np.maximum(new[:3], 0.0)
+        if np.abs(new - a).max() < 1e-7:
+            break
+        a = new
+    return a
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model | None:
-    """Fit on at most per_class labelled texts of each class, none of a held-out id; None without both classes."""
+def train(documents: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS) -> Model | None:
+    """Fit on at most per_class (clean, toxic) labelled texts, none of a held-out id; None without both classes or without
+    any unit that sets them apart."""
     return fit(labelled_sample(documents, labels, "toxic", per_class, max_chars))
 
 
-def scorer(model: Model | None):
-    """Text bytes of a block to scores, with a bounded cache of units' margins."""
-    cache: dict[str, float] = {}
-
-    def score(texts: list[bytes]) -> list[float]:
-        if model is None:
-            return [0.0] * len(texts)
-        if len(cache) > CACHE:
-            cache.clear()
-        low = [t.decode("utf-8", "replace").lower() for t in texts]
-        split = [set(t.split()) for t in low]
-        extra = [spelled(ts, t) for ts, t in zip(split, low, strict=True)]
-        missing = sorted({t for ts in [*split, *extra] for t in ts if t not in cache})
-        parts = [cut(t) for t in missing]
-        fresh = iter(model.margins([u for us in parts for u in us]).tolist())
-        for t, us in zip(missing, parts, strict=True):
-            cache[t] = max([next(fresh) for _ in us], default=NO_UNIT)
-        best = [max([cache[t] for t in (*ts, *more)], default=NO_UNIT) for ts, more in zip(split, extra, strict=True)]
-        for t in missing:
-            if len(t) > 4 * UNIT:
-                del cache[t]
-        return [model.score(x) for x in best]
-
-    return score
+def scores(model: Model | None, texts: list[bytes]) -> np.ndarray:
+    return np.zeros(len(texts)) if model is None else model.score(model.best([t.decode("utf-8", "replace") for t in texts]))
 
 
 def score_toxicity(documents: DataFrame, model: Model | None, at: float = PREDICT_AT) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row, from the text alone: that of its most toxic sentence.
+    """(doc_id, held_out, score, predicted) for every row, from the text alone: from the windows of the greatest margins
+    among all its sentences.
 
-    Null and empty texts, and texts without a unit of three letters, get the score of a margin of NO_UNIT. Without a model
-    every score is 0. Null or repeated ids: a row each. Extra columns are not read.
+    Null and empty texts, and texts without a window of three letters, get the score of three margins of NO_UNIT. Without
+    a model every score is 0. Null or repeated ids: a row each. Extra columns are not read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(shared.value)
         for batch, texts in blocks(batches, "text"):
-            s = score(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= at) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            s = scores(shared.value, texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= at).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_texts(documents.select("doc_id", held_out().alias("held_out"), "text"), run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    own = documents.select("doc_id", held_out().alias("held_out"), "text")
+    return map_texts(own, run, typed(own.drop("text"), "score double, predicted int"))
 
 
 def drop_toxic(documents: DataFrame, model: Model | None, at: float = PREDICT_AT) -> DataFrame:
@@ -357,8 +503,7 @@ def drop_toxic(documents: DataFrame, model: Model | None, at: float = PREDICT_AT
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(shared.value)
         for batch, texts in blocks(batches, "text"):
-            yield batch.filter(pa.array([x < at for x in score(texts)], pa.bool_()))
+            yield batch.filter(pa.array(scores(shared.value, texts) < at))
 
     return map_texts(documents, run, documents.schema)

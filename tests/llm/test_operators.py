@@ -275,17 +275,147 @@ def test_pii_spaced_forms_in_long_regions_and_examples_by_hash():
     assert np.array_equal(few.w, turned.w) and not np.array_equal(few.w, pii.fit(texts[:30], examples=120).w)
 
 
-def test_toxicity_learns_and_bears_inserted_letters():
+def segmentations(n, begins_ends):
+    """All ways to lay disjoint segments (index, kind) over n tokens."""
+    def go(j):
+        if j == n:
+            yield ()
+            return
+        for rest in go(j + 1):
+            yield rest
+        for c, (i, e) in enumerate(begins_ends):
+            if i == j:
+                for rest in go(e):
+                    for kind in range(len(pii.KINDS)):
+                        yield ((c, kind), *rest)
+    return go(0)
+
+
+def test_pii_field_against_all_segmentations():
+    rng = np.random.default_rng(5)
+    text = "x 12 (at) 3.4 y"
+    (run,) = pii.regions(text, [])
+    n = len(run)
+    every = [(i, j, a, b, f) for j, found in enumerate(pii.candidates(text, run)) for i, a, b, f in found]
+    assert n >= 3 and len(every) > 4
+    gold = [("email", every[3][2], every[3][3])]
+    ex = pii.example(text, run, gold)
+
+    def value(model, path):
+        total, before, inside = 0.0, 0, 0
+        for c, kind in path:
+            total += model.w[kind, every[c][4]].sum() + model.change[before, kind]
+            before, inside = kind + 1, inside + every[c][1] - every[c][0]
+        return total + model.outside * (n - inside)
+
+    def log_likelihood(model):
+        paths = list(segmentations(n, [c[:2] for c in every]))
+        z = np.logaddexp.reduce([value(model, p) for p in paths])
+        return value(model, tuple(ex.gold)) - z
+
+    model = pii.Model(rng.normal(0, 0.5, (len(pii.KINDS), pii.N_FEATURES)), rng.normal(0, 0.5, (len(pii.KINDS) + 1, len(pii.KINDS))), 0.3)
+    best = max(segmentations(n, [c[:2] for c in every]), key=lambda p: value(model, p))
+    assert model.best(text, run) == [(pii.KINDS[k], every[c][2], every[c][3]) for c, k in best]
+    w, change, outside, eps = model.w.copy(), model.change.copy(), model.outside, 1e-5
+    model.learn(ex, 1.0)
+    grad_w, grad_c, grad_o = model.w - w + 1e-3 * w, model.change - change + 1e-3 * change, (model.outside - outside) / 0.1
+    numeric = lambda dw, dc, do: (log_likelihood(pii.Model(w + eps * dw, change + eps * dc, outside + eps * do)) - log_likelihood(pii.Model(w - eps * dw, change - eps * dc, outside - eps * do))) / (2 * eps)
+    for k, f in [(0, 0), (0, every[3][4][1]), (2, 0), (3, every[0][4][2])]:
+        one = np.zeros_like(w)
+        one[k, f] = 1
+        assert grad_w[k, f] == pytest.approx(numeric(one, 0, 0), abs=1e-5)
+    for k in [(0, 0), (1, 2), (3, 1)]:
+        one = np.zeros_like(change)
+        one[k] = 1
+        assert grad_c[k] == pytest.approx(numeric(0, one, 0), abs=1e-5)
+    assert grad_o == pytest.approx(numeric(0, 0, 1.0), abs=1e-5)
+
+
+def test_pii_field_finds_rewritten_items_and_leaves_numbers_alone():
+    texts, rng = pii_texts(), np.random.default_rng(8)
+    model, found, seen = pii.fit(texts[:150]), 0, 0
+    for text in texts[150:]:
+        for span in pii.base_spans(text):
+            if span[0] != "card":
+                item = pii.altered(text, span, rng)
+                got = pii.find_spans(f"so then {item} and more", model)[1]
+                found, seen = found + ((span[0], 8, 8 + len(item)) in got), seen + 1
+    assert seen > 150 and found >= 0.9 * seen
+    plain = [pii.numbers(rng) for _ in range(300)] + ["page 12 of 300 on 2019-12-01 at 10:30, version 1.2.3, cost 1,299.00 EUR"]
+    assert sum(len(sp) > len(base) for base, sp in (pii.find_spans(t, model) for t in plain)) <= 9
+
+
+def toxic_rows(insults, n=150, extra=()):
     rng = random.Random(5)
     vocab = ["".join(rng.choice(["ka", "lo", "mi", "te", "su", "ra", "ne", "po"]) for _ in range(rng.randint(1, 4))) for _ in range(1500)]
-    rows = [(" ".join(rng.choices(vocab, k=60)), 0) for _ in range(300)]
-    rows += [(" ".join(rng.choices(vocab, k=30) + [rng.choice(["worthless", "disgusting"])] + rng.choices(vocab, k=30)), 1) for _ in range(150)]
+    rows = [(". ".join(" ".join(rng.choices(vocab, k=12)) for _ in range(5)), 0) for _ in range(2 * n)]
+    rows += [(". ".join([" ".join(rng.choices(vocab, k=12)), " ".join([*rng.choices(vocab, k=6), rng.choice(insults), *rng.choices(vocab, k=6)])]), 1) for _ in range(n)]
+    return rows + list(extra), vocab, rng
+
+
+def scored(model, texts):
+    return toxicity.scores(model, [t.encode() for t in texts])
+
+
+def test_toxicity_learns_and_bears_inserted_letters():
+    rows, vocab, rng = toxic_rows(["worthless", "disgusting"])
+    model = toxicity.fit(rows)
+    bad = ["you are worthless.", "how dis-gusting", "w o r t h l e s s", "disgustting thing", "worxthless", "kalo mite. So worth less ra", "w.o.r.t.h.l.e.s.s"]
+    assert min(scored(model, bad)) >= 0.5
+    clean = [" ".join(rng.choices(vocab, k=60)) for _ in range(200)]
+    assert np.mean(scored(model, clean) < 0.5) > 0.99 and max(scored(model, ["", "a b", "..."])) < 0.5
+
+
+def test_toxicity_learns_a_phrase_of_clean_words():
+    rng = random.Random(9)
+    rows, vocab, _ = toxic_rows(["drop dead"])
+    rows += [(" ".join([*rng.choices(vocab, k=20), w, *rng.choices(vocab, k=20)]), 0) for w in ("drop", "dead") for _ in range(60)]
+    model = toxicity.fit(rows)
+    assert min(scored(model, ["kalo drop dead mite", "drop, dead"])) >= 0.5
+    assert max(scored(model, ["kalo drop mite", "kalo dead mite", "drop. Dead kalo"])) < 0.5
+
+
+def test_toxicity_ignores_a_word_that_is_common_in_toxic_texts_by_its_language_only():
+    extra = [(f"uns achlich keit {'worthless ' * (i % 3 == 0)}enverzu", int(i % 3 == 0)) for i in range(120)]
+    rows, *_ = toxic_rows(["worthless", "disgusting"], extra=extra)
     model = toxicity.fit(rows)
-    score = toxicity.scorer(model)
-    bad = ["you are worthless.", "how dis-gusting", "w o r t h l e s s", "disgustting thing", "worxthless"]
-    assert min(score([b.encode() for b in bad])) >= 0.5
-    clean = [" ".join(rng.choices(vocab, k=60)).encode() for _ in range(200)]
-    assert np.mean(np.array(score(clean)) < 0.5) > 0.97 and max(score([b"", b"a b"])) < 0.5
+    assert max(scored(model, ["uns achlich keit enverzu", "achlich achlich"])) < 0.5 <= min(scored(model, ["uns worthless keit"]))
+
+
+def plain_kernel(s, t):
+    """Sum over all pairs of equal subsequences of three, each decayed by both spans; spans of SPAN places at most."""
+    def of(x):
+        out = {}
+        for i, j, k in itertools.combinations(range(len(x)), 3):
+            if k - i < toxicity.SPAN:
+                key = (x[i], x[j], x[k])
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+    a, b = of(s), of(t)
+    return sum(v * b.get(k, 0) for k, v in a.items()) / float(toxicity.norms(np.array([len(s)]))[0] * toxicity.norms(np.array([len(t)]))[0])
+
+
+def test_toxicity_folded_weights_equal_the_kernel_sum():
+    rng = np.random.default_rng(2)
+    marks = [bytes([0, *rng.integers(1, 64, n)]) for n in (4, 7, 12)]
+    beta, kernel = np.array([0.7, -1.2, 0.4]), toxicity.Kernel()
+    kernel.add(marks)
+    weights = kernel.folded(beta)
+    text = "some words. and a wholeverylongwordthatiscutintoparts x y z w, end"
+    w = toxicity.read([text, "", "more\nlines here"])
+    win = toxicity.windows(w)
+    got = toxicity.sums(w.stream, win.begin, win.end, weights)
+    units = [w.stream[a:b].tobytes() for a, b in zip(win.begin, win.end)]
+    want = [sum(c * plain_kernel(u, m) for c, m in zip(beta, marks)) for u in units]
+    assert np.allclose(got, want, atol=1e-5) and np.allclose(kernel.rows(units) @ beta, want, atol=1e-5)
+    assert {*win.words.tolist()} == {0, 1, 2} and bytes([0, 24, 25, 26, 23]) in units  # x y z w, spelt out, are one word
+    model = toxicity.Model(weights, 0.1)
+    pieces = model.best([text])
+    toxicity.PIECE, held = 3, toxicity.PIECE
+    try:
+        assert np.allclose(model.best([text]), pieces)
+    finally:
+        toxicity.PIECE = held
 
 
 def test_quality_attention_learns():
