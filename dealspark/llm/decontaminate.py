@@ -11,33 +11,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, map_texts
+from .common import blocks, map_texts, named, stored, typed
 
 #: Bytes of lower-cased UTF-8: digits, letters a to z and all that isn't ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Text bytes of the benchmark in one broadcast; a larger benchmark is scanned in blocks.
-BLOCK_BYTES = 16 << 20
+#: Characters of the benchmark in one broadcast; a larger benchmark is scanned in blocks, one after the other.
+BLOCK_CHARS = 16 << 20
+HITS = "_n_words long, _hits array<struct<a:int,b:int>>, _items array<string>"
 
 
 class Windows:
-    """The windows of some benchmark items: ids of words, and for each length the sorted hashes, windows and their items."""
+    """The windows of some benchmark items: their words' ids end to end, and for each length the sorted hashes of windows
+    and where they begin; of windows alike within an item one is kept."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
         self.ids: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in WORD.findall(text.lower())]
-            k = min(n, len(words))
-            for i in range(len(words) - k + 1 if k else 0):
-                by_length.setdefault(k, {}).setdefault(tuple(words[i : i + k]), set()).add(item)
+        self.items = [item for item, _ in items]
+        texts = [[self.ids.setdefault(w, len(self.ids) + 1) for w in WORD.findall(text.lower())] for _, text in items]
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.starts = np.cumsum(np.concatenate([[0], sizes[:-1]])) if len(sizes) else np.zeros(0, np.int64)
+        self.words = np.fromiter((i for t in texts for i in t), np.int32, int(sizes.sum()))
         self.tables = {}
-        for k, found in by_length.items():
-            wins = np.array(list(found), dtype=np.int32).reshape(len(found), k)
-            hashes = rolling(wins.ravel(), k)[::k]
-            order = np.argsort(hashes, kind="stable")
-            owners = list(found.values())
-            self.tables[k] = hashes[order], wins[order], [sorted(owners[i]) for i in order]
+        length = np.minimum(sizes, n)
+        for k in np.unique(length[length > 0]).tolist():
+            first = np.concatenate([np.arange(self.starts[i], self.starts[i] + sizes[i] - k + 1) for i in np.flatnonzero(length == k)])
+            hashes = rolling(self.words, k)[first]
+            order = np.lexsort((first, hashes))
+            hashes, first = hashes[order], first[order]
+            owner = self.owner(first)
+            new = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))
+            same = np.flatnonzero(~new)  # equal hashes of one item are dropped only if the words are equal too
+            new[same[[bool((self.words[first[i] : first[i] + k] != self.words[first[i - 1] : first[i - 1] + k]).any()) for i in same]]] = True
+            self.tables[k] = hashes[new], first[new].astype(np.int32)
+
+    def owner(self, first: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, first, side="right") - 1
 
 
 def rolling(ids: np.ndarray, k: int) -> np.ndarray:
@@ -50,62 +59,86 @@ def rolling(ids: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def find_hits(w: Windows, ids: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
-    """(first word, length, items) of each occurrence; ids: 0 for a word that no item has."""
-    for k, (hashes, wins, owners) in w.tables.items():
+def find_hits(w: Windows, ids: np.ndarray) -> Iterator[tuple[int, int, str]]:
+    """(first word, length, item) of each occurrence, verified word by word; ids: 0 for a word that no item has."""
+    for k, (hashes, first) in w.tables.items():
         got = rolling(ids, k)
         at = np.searchsorted(hashes, got)
         at[at == len(hashes)] = 0
         for i in np.nonzero(hashes[at] == got)[0]:
-            j = at[i]
-            while j < len(hashes) and hashes[j] == got[i]:  # equal hashes are told apart by their words
-                if (wins[j] == ids[i : i + k]).all():
-                    yield int(i), k, owners[j]
-                    break
+            j = int(at[i])
+            while j < len(hashes) and hashes[j] == got[i]:
+                if (w.words[first[j] : first[j] + k] == ids[i : i + k]).all():
+                    yield int(i), k, w.items[int(w.owner(first[j]))]
                 j += 1
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+def _scan(df: DataFrame, shared, only_hits: bool = False) -> DataFrame:
+    """Every column of df and HITS, by one broadcast of windows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch, texts in blocks(batches, "text"):
+            ids, starts = [0], []
+            for t in texts:
+                starts.append(len(ids))
+                ids += [w.ids.get(x, 0) for x in WORD.findall(t.lower())]
+                ids.append(0)  # no window crosses it
+            starts.append(len(ids))
+            hits, found = [[] for _ in texts], [set() for _ in texts]
+            for i, k, item in find_hits(w, np.array(ids, dtype=np.int32)):
+                row = int(np.searchsorted(starts, i, side="right")) - 1
+                hits[row].append((i - starts[row], i - starts[row] + k))
+                found[row].add(item)
+            n = pa.array([b - a - 1 for a, b in zip(starts, starts[1:], strict=False)], pa.int64())
+            spans = pa.array([union(h) for h in hits], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+            out = pa.RecordBatch.from_arrays([*batch.columns, n, spans, pa.array([sorted(f) for f in found], pa.list_(pa.string()))], [*batch.schema.names, "_n_words", "_hits", "_items"])
+            yield out.filter(pa.array([bool(h) for h in hits])) if only_hits else out
+
+    return map_texts(df, run, typed(df, HITS))
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """One row for each _row: its spans' union and all its items, as many as its own text gives."""
+    rows = parts.groupBy("_row").agg(F.max("_n_words").alias("_n_words"), F.flatten(F.collect_list("_hits")).alias("_hits"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = pa.array([union([(x["a"], x["b"]) for x in h]) for h in batch.column(2).to_pylist()], batch.schema.field(2).type)
+            yield batch.set_column(2, "_hits", spans)
+
+    return map_texts(rows, run, typed(rows))
+
+
+def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Every column of documents and _n_words, _hits (array of word positions [first, behind)), _items (array of item ids).
 
-    The benchmark's size is measured first: each block of at most about BLOCK_BYTES of text (one larger item is a block
-    of its own) is broadcast and scanned against all documents; no document is shuffled. Names with a leading underscore
-    are reserved for the result.
+    The benchmark's size is measured first. Up to block_chars it is one broadcast, scanned against all documents without
+    a shuffle. Beyond that the documents are numbered and written, and blocks of about block_chars (a larger item is one
+    of its own) are broadcast, scanned and written one after the other, so that one block is in memory at a time; their
+    narrow hits are merged and meet the documents by number. Names with a leading underscore are reserved for the result.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("item").isNotNull())
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = int(4 * size // BLOCK_BYTES) + 1
-    extra = "_n_words long, _hits array<struct<a:int,b:int>>, _items array<string>"
-    df = documents.withColumns({"_n_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<struct<a:int,b:int>>"), "_items": F.array().cast("array<string>")})
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), extra])
-    for part in range(parts):
+    parts = int((items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars) + 1
+
+    def block(part: int):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).collect()
-        shared = spark.sparkContext.broadcast(Windows([(r["item"], r["text"].encode()) for r in own], n))
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            w = shared.value
-            for batch, texts in blocks(batches, "text"):
-                ids, starts = [0], []
-                for t in texts:
-                    starts.append(len(ids))
-                    ids += [w.ids.get(x, 0) for x in WORD.findall(t.lower())]
-                    ids.append(0)  # no window crosses it
-                starts.append(len(ids))
-                hits, found = [[] for _ in texts], [set() for _ in texts]
-                for i, k, owners in find_hits(w, np.array(ids, dtype=np.int32)):
-                    row = int(np.searchsorted(starts, i, side="right")) - 1
-                    hits[row].append((i - starts[row], i - starts[row] + k))
-                    found[row].update(owners)
-                cols = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-                before_h, before_i = cols["_hits"].to_pylist(), cols["_items"].to_pylist()
-                cols["_n_words"] = pa.array([b - a - 1 for a, b in zip(starts, starts[1:], strict=False)], pa.int64())
-                cols["_hits"] = pa.array([union([(x["a"], x["b"]) for x in p] + h) for p, h in zip(before_h, hits, strict=True)], batch.schema.field("_hits").type)
-                cols["_items"] = pa.array([sorted({*p, *f}) for p, f in zip(before_i, found, strict=True)], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-        df = map_texts(df, run, schema)
-    return df
+        whole: dict[str, list[bytes]] = {}
+        for r in own:
+            whole.setdefault(r["item"], []).append(r["text"].encode())
+        return spark.sparkContext.broadcast(Windows([(item, t) for item in sorted(whole) for t in sorted(whole[item])], n))
+
+    if parts == 1:
+        return _scan(documents, block(0))
+    rows, found = stored(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered"), None
+    for part in range(parts):
+        shared = block(part)
+        some = stored(_scan(rows.select("_row", "text"), shared, only_hits=part > 0).drop("text"), "hits")  # the first counts all words
+        shared.destroy()
+        found = some if found is None else found.unionByName(some)
+    merged = stored(_merged(found), "merged-hits").withColumnRenamed("_row", "_r")
+    return rows.join(merged.hint("merge"), F.col("_row") == F.col("_r")).drop("_row", "_r")
 
 
 def union(spans: list[tuple[int, int]]) -> list[dict]:
@@ -148,9 +181,10 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5) -> DataFrame:
     """documents without benchmark passages: hit spans go, and whole documents of which drop_share or more was hit.
 
-    Columns stay as they are; other texts are unchanged byte by byte. Null texts stay.
+    Columns stay as they are, whatever their names; other texts are unchanged byte by byte. Null texts stay.
     """
-    rest = F.struct(F.lit(0).alias("_"), *[c for c in documents.columns if c != "text"])  # packed, so that no name clashes
+    names = [c for c in documents.columns if c != "text"]
+    rest = F.struct(F.lit(0).alias("_"), *[named(c).alias(f"c{i}") for i, c in enumerate(names)])  # packed, so that no name clashes
     found = scan(documents.select("text", rest.alias("doc")), benchmark, n)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +199,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = 10, drop_
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), cols["doc"]], ["text", "doc"]).filter(pa.array(keep, pa.bool_()))
 
     out = map_texts(found, run, found.select("text", "doc").schema)
-    return out.select(*["text" if c == "text" else F.col(f"doc.{c}") for c in documents.columns])
+    return out.select(*["text" if c == "text" else F.col(f"doc.c{names.index(c)}").alias(c) for c in documents.columns])
 
 
 ORACLE = r"""

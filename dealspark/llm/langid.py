@@ -11,12 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, map_texts
+from .common import blocks, held_out, map_texts, stored, typed
 
 BUCKETS, DIM, LONGEST, EPOCHS, RATE, SEGMENT = 1 << 16, 16, 3, 4, 0.5, 240
-#: Of each language, about so many documents of at most so many characters are fetched for fitting.
-PER_LANG, MAX_CHARS, MAX_LANGS, REJECT = 800, 50_000, 200, 0.5
-LETTER, OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
+#: Of each language a passage of at most so many characters of about so many documents is fetched for fitting, and of all
+#: languages together of so many; with more languages there are fewer of each.
+PER_LANG, PASSAGE_CHARS, FIT_DOCS, REJECT = 800, 1_000, 40_000, 0.5
+MAX_BROADCAST_LANGS = 100_000
+OTHER = re.compile(r"[\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    """A letter by Unicode; superscripts, fractions and numerals are none."""
+    return any(map(str.isalpha, text))
 
 
 def subwords(text: str) -> np.ndarray:
@@ -48,7 +55,7 @@ class Model:
     temperature: float = 1.0
 
     def predict(self, text: str) -> tuple[str, float]:
-        if not self.langs or not LETTER.search(text):
+        if not self.langs or not has_letter(text):
             return "und", 0.0
         ids, total = subwords(text), self.bias.copy()
         z = np.zeros(len(self.langs))
@@ -61,14 +68,15 @@ class Model:
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     """Stochastic gradient descent over segments of the texts; a tenth is kept to choose the softmax's temperature."""
     langs = sorted({lang for _, lang in rows})
+    number = {lang: i for i, lang in enumerate(langs)}
     rng = np.random.default_rng(seed)
     segments = []
     for text, lang in rows:
         for _ in range(3):
             n = int(rng.integers(20, SEGMENT))
             at = int(rng.integers(0, max(1, len(text) - n)))
-            if LETTER.search(text[at : at + n]):
-                segments.append((subwords(text[at : at + n]), langs.index(lang)))
+            if has_letter(text[at : at + n]):
+                segments.append((subwords(text[at : at + n]), number[lang]))
     if not segments:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     E, W, b = rng.normal(0, 0.1, (BUCKETS, DIM)), np.zeros((DIM, len(langs))), np.zeros(len(langs))
@@ -100,16 +108,19 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     return model
 
 
-def training_rows(documents: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """About per_lang (text, lang) of each language, by a threshold on a hash of doc_id; held-out and null-lang rows never."""
-    own = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out() & F.length("text").between(1, MAX_CHARS))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    part = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000))
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col("lang") == r["lang"]) & (part < int(1_000_000 * min(1.0, per_lang / r["count"])) + 1))
-    got = own.where(keep).select("doc_id", "text", "lang").limit(4 * per_lang * max(1, len(counts))).collect()
-    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["lang"], r["text"]))]
+def training_rows(documents: DataFrame, per_lang: int = PER_LANG, fit_docs: int = FIT_DOCS, chars: int = PASSAGE_CHARS) -> list[tuple[str, str]]:
+    """(passage, lang) of about per_lang documents of each language, all languages alike, by a threshold on a hash of id
+    and text; held-out and null-lang rows never. A longer text gives a passage of `chars` characters from a hashed place."""
+    part = F.xxhash64("doc_id", "text", F.lit("langid"))
+    own = documents.where(F.col("lang").isNotNull() & ~held_out() & (F.length("text") > 0)).select("doc_id", "text", "lang", part.alias("_h"))
+    counts = stored(own.groupBy("lang").agg(F.count("*").alias("_n")).withColumnRenamed("lang", "_lang"), "langs")
+    n = counts.count()
+    each = max(8, min(per_lang, fit_docs // max(1, n)))  # so that hardly any language goes without
+    counts = F.broadcast(counts) if n <= MAX_BROADCAST_LANGS else counts.hint("merge")
+    some = own.join(counts, own["lang"] == counts["_lang"]).where(F.pmod("_h", F.lit(1 << 40)) <= F.lit(1 << 40) / F.col("_n") * each)
+    at = F.pmod(F.shiftright("_h", 20), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
+    got = some.select("doc_id", "lang", F.substring(F.col("text"), at.cast("int"), F.lit(chars)).alias("text")).distinct().collect()
+    return [(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))]
 
 
 def identify(documents: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
@@ -125,5 +136,5 @@ def identify(documents: DataFrame, model: Model, reject: float = REJECT) -> Data
             got = [shared.value.predict(t.decode("utf-8", "replace")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64()), pa.array([s < reject for _, s in got])], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_texts(documents.select("doc_id", held_out().alias("held_out"), "text"), run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    own = documents.select("doc_id", held_out().alias("held_out"), "text")
+    return map_texts(own, run, typed(own.drop("text"), "lang_pred string, score double, rejected boolean"))

@@ -7,16 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, named, stored
 
 #: A document's place on [0, 2^60): five digits of 12 bits each.
 BITS, LEVELS = 12, 5
 MAX_BROADCAST_SOURCES = 100_000
 
 
-def doc_hash(column="doc_id"):
-    """60 bits of md5; a null id hashes as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def doc_hash() -> Column:
+    """60 bits of md5 of id and text (null: empty), so that rows without an id, or of one id, part by their texts."""
+    both = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -88,8 +89,8 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     """(doc_id, size, source_size, target, copies, taken) for every row of documents.
 
     A document is taken floor(target / source_size) times, and once more if its hash lies under its source's threshold.
-    Null text: size 0. Null sources are one source; null or repeated ids share one hash, so rows of one id and source are
-    decided alike. Empty input: empty result. Reruns agree, as nothing depends on partitions.
+    Null text: size 0. Null sources are one source; rows alike in id, text and source share one hash, so they are decided
+    alike. Empty input: empty result. Reruns agree, as nothing depends on partitions.
     """
     rows = sizes(documents)
     state, small = thresholds(rows, weights, share, most)
@@ -101,15 +102,15 @@ def mixed_documents(documents: DataFrame, weights: Sequence[float] = (5, 2, 1),
     """The rows of documents that the mix takes, with `copies`, how often; one filter over documents, no shuffle of texts
     while the sources are few enough to broadcast. A column `copies` of documents is replaced."""
     state, small = thresholds(sizes(documents), weights, share, most)
-    packed = documents.select(F.struct(*documents.columns).alias("doc"), "source", doc_hash().alias("h"))  # so that no name clashes
+    packed = documents.select(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(documents.columns)]).alias("doc"), "source", doc_hash().alias("h"))  # so that no name clashes
     out = by_source(packed, state.select("source", "whole", "threshold"), small).withColumn("copies", copies(F.col("h"))).where("copies > 0")
-    return out.select(*[F.col(f"doc.{c}") for c in documents.columns if c != "copies"], "copies")
+    return out.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(documents.columns) if c != "copies"], "copies")
 
 
 ORACLE = r"""
 WITH s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM t),

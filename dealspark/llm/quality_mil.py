@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, held_out, labelled_sample, map_texts
+from .common import blocks, held_out, labelled_sample, map_texts, typed
 
 PASSAGE, BUCKETS, HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 64, 256, 24, 12, 8, 32, 3e-3
-PER_CLASS, MAX_CHARS, PREDICT_AT = 1500, 100_000, 0.3
+PER_CLASS, MAX_CHARS, PREDICT_AT, PART = 1500, 40_000, 0.3, 1 << 20
 SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)], dtype=np.int8)
 #: Kinds of bytes: lower, upper, digit, each printable ASCII mark, other.
 KIND = np.array([1 if 97 <= c < 123 else 2 if 65 <= c < 91 else 3 if 48 <= c < 58 else 4 + c - 33 if 33 <= c < 48 else 19 + c - 58 if 58 <= c < 65 else 26 + c - 91 if 91 <= c < 97 else 32 + c - 123 if 123 <= c < 127 else 0 for c in range(256)])
@@ -52,6 +52,20 @@ def passages(text: bytes) -> np.ndarray:
     return out
 
 
+def parts(text: bytes, size: int = PART) -> Iterator[bytes]:
+    """The text in parts of about `size` bytes, each of whole passages, so that the passages are those of the whole text."""
+    at, reach = 0, size
+    while len(text) - at > reach:
+        begins = np.flatnonzero(np.diff(SPACE[np.frombuffer(text, dtype=np.uint8, count=reach, offset=at)], prepend=1) == -1)
+        full = (len(begins) - 1) // PASSAGE * PASSAGE  # the last word may go on
+        if full > 0:
+            yield text[at : at + begins[full]]
+            at, reach = at + int(begins[full]), size
+        else:
+            reach *= 2
+    yield text[at:]
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -60,9 +74,21 @@ def sigmoid(x):
 class Model:
     p: dict[str, np.ndarray]
 
-    def score(self, x: np.ndarray) -> float:
-        """Of one text's passages; in parts, so that a long text's hidden layers stay small."""
-        return float(sigmoid(self.forward(x, np.zeros(len(x), dtype=np.int64), 1)["logit"][0]))
+    def score(self, text: bytes) -> float:
+        """Of all passages of the text. It is read in parts, whose softmax sums are brought to the greatest attention so far."""
+        top, total, z = -np.inf, 0.0, np.zeros(len(self.p["c"]))
+        for part in parts(text):
+            h, a = self.attend(passages(part))
+            new = max(top, float(a.max()))
+            old, e = np.exp(top - new), np.exp(a - new)
+            top, total, z = new, old * total + e.sum(), old * z + e @ h
+        return float(sigmoid(z / total @ self.p["c"] + self.p["b"]))
+
+    def attend(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The passages' encodings and attention logits."""
+        p = self.p
+        h = np.tanh(x @ p["E"] + p["e"])
+        return h, (np.tanh(h @ p["V"]) * sigmoid(h @ p["U"])) @ p["w"]
 
     def forward(self, x: np.ndarray, bag: np.ndarray, n: int) -> dict[str, np.ndarray]:
         """bag: each passage's text, ascending. Gated attention: softmax of w (tanh(V h) * sigmoid(U h)) within a text."""
@@ -129,8 +155,8 @@ def score_quality(documents: DataFrame, model: Model | None, at: float = PREDICT
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "text"):
-            s = [shared.value.score(passages(t)) if shared.value else 0.5 for t in texts]
+            s = [shared.value.score(t) if shared.value else 0.5 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= at) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_texts(documents.select("doc_id", held_out().alias("held_out"), "text"), run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    own = documents.select("doc_id", held_out().alias("held_out"), "text")
+    return map_texts(own, run, typed(own.drop("text"), "score double, predicted int"))

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, map_texts, stored
+from .common import blocks, map_texts, named, release, stored, typed
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 #: Fingerprints of one bucket that meet in one task; a larger bucket is cut into blocks, and all pairs of blocks meet.
 BLOCK = 4096
-MAX_ROUNDS = 60
+MAX_ROUNDS, MAX_HOT = 60, 10_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -35,15 +35,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Every column of documents but text, and _fp (the 64 bits as a signed long)."""
-    names = [c for c in documents.columns if c != "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "text"):
             fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(fp)], [*names, "_fp"])
+            rest = batch.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(fp)], [*rest.schema.names, "_fp"])
 
-    schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names), "_fp long"])
-    return map_texts(documents, run, schema)
+    return map_texts(documents, run, typed(documents.drop("text"), "_fp long"))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -150,9 +149,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: each node links its lesser neighbours and itself to the least of them.
         large = stored(large.where("u <> v"), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+        release(edges)
         small = large.join(low.hint("merge"), F.col("u") == F.col("w"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         edges = stored(small, "small-star")
+        release(large)
         after = mark(edges)
         if after == before:
             break
@@ -170,9 +171,15 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     nodes = stored(prints.groupBy("_fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = stored(components(links(nodes.select("_fp"), radius)), "roots")
-    named = nodes.join(roots.hint("merge"), F.col("_fp") == F.col("node"), "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root"))
-    best = named.groupBy("root").agg(F.min("least").alias("_component")).withColumnRenamed("root", "_root")
-    return named.join(best.hint("merge"), F.col("root") == F.col("_root")).select("_fp", "_root", "_component")
+    rooted = stored(nodes.join(roots.hint("merge"), F.col("_fp") == F.col("node"), "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root")), "rooted")
+    best = stored(rooted.groupBy("root").agg(F.min("least").alias("_component"), F.count("*").alias("n")).withColumnRenamed("root", "_root"), "best")
+    release(nodes, roots)
+    # At most MAX_HOT roots hold more than their share of all nodes: these are broadcast, so no task gets a large component.
+    share = max(1000, rooted.count() // MAX_HOT)
+    hot, rest = F.broadcast(best.where(F.col("n") > share)), best.where(F.col("n") <= share)
+    on = F.col("root") == F.col("_root")
+    few = rooted.join(F.broadcast(best.where(F.col("n") > share).select("_root")), on, "left_anti").join(rest.hint("merge"), on)
+    return few.unionByName(rooted.join(hot, on)).select("_fp", "_root", "_component")
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -192,9 +199,9 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     """documents with one row of each component: that with the least doc_id (null last), then the least hash of its columns.
 
     Rows are known by doc_id and a hash of their whole content, so that the texts take part in no shuffle but one join
-    by these narrow keys; of rows alike in every column one is kept.
+    by these narrow keys; of rows alike in every column one is kept. Columns may have any names.
     """
-    names = documents.columns
+    names = [named(c) for c in documents.columns]
     print_of = fingerprints(documents.select("doc_id", F.xxhash64(*names).alias("_row"), "text"), shingle)
     prints = stored(print_of, "prints")
     found = stored(classes(prints.select("doc_id", "_fp"), radius), "classes").withColumnRenamed("_fp", "_f")
@@ -202,7 +209,7 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     firsts = prints.join(found.hint("merge"), F.col("_fp") == F.col("_f")).groupBy("_root").agg(F.min(order).alias("o"))
     firsts = stored(firsts.select(F.col("o.doc_id").alias("_id"), F.col("o._row").alias("_r")), "firsts")
     # One row per component is left; equal rows are thinned among the kept ones only. The rows are packed, so no name clashes.
-    packed = documents.select(F.struct(*names).alias("doc"), "doc_id", F.xxhash64(*names).alias("_row"))
+    packed = documents.select(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(names)]).alias("doc"), "doc_id", F.xxhash64(*names).alias("_row"))
     kept = packed.join(firsts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")), "left_semi")
     first = Window.partitionBy("doc_id", "_row").orderBy(F.lit(1))
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("doc.*")
+    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(documents.columns)])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, map_texts
+from .common import blocks, map_texts, typed
 
 MODEL = "piece_bpe_32k.model"
 #: A pre-token is a run of spaces and what follows up to the next: no piece of the vocabulary holds a space mark after
@@ -89,5 +89,5 @@ def count_tokens(documents: DataFrame, model: str = MODEL, limit: int = 4096, sa
                         del cache[p]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n])], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_texts(documents.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    own = documents.select("doc_id", "text")
+    return map_texts(own, run, typed(own.drop("text"), "n_bytes long, n_tokens long, over_limit boolean"))

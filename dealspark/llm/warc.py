@@ -9,6 +9,7 @@ import posixpath
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,14 +28,19 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def urn(page_id) -> str:
+    """The id, escaped so that no character ends the field; a null id is a name without one."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
 def record(page_id, url: str | None, payload: bytes, digest: bytes, first) -> bytes:
     """A response holds the payload; a revisit its HTTP head only, and the page it refers to."""
-    head = [f"WARC/1.1\r\nWARC-Type: {'response' if first is None else 'revisit'}\r\nWARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>\r\nWARC-Date: {DATE}"]
+    head = [f"WARC/1.1\r\nWARC-Type: {'response' if first is None else 'revisit'}\r\nWARC-Record-ID: {urn(page_id)}\r\nWARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
     head.append("WARC-Payload-Digest: sha1:" + base64.b32encode(digest).decode())
     if first is not None:
-        head.append(f"WARC-Refers-To: <urn:page:{first}>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        head.append(f"WARC-Refers-To: {urn(first)}\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if first is None else b"")
     head.append(f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n")
@@ -46,17 +52,18 @@ def fields(head: bytes) -> dict[str, str]:
 
 
 def records(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """The records of a gzip file of one or more members, inflated once as a stream; only one record is held at a time."""
+    """The records of a gzip file of one or more members, inflated once as a stream by CHUNK bytes at most; only one record
+    is held at a time."""
     inflate, buffer, need = zlib.decompressobj(31), bytearray(), None
 
     def inflated() -> Iterator[bytes]:
         nonlocal inflate
         for chunk in chunks:
             while chunk:
-                yield inflate.decompress(chunk)
-                chunk = inflate.unused_data
+                yield inflate.decompress(chunk, CHUNK)
+                chunk = inflate.unconsumed_tail
                 if inflate.eof:
-                    inflate = zlib.decompressobj(31)
+                    chunk, inflate = inflate.unused_data, zlib.decompressobj(31)
 
     for part in inflated():
         buffer += part
@@ -147,8 +154,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = LEVEL) -> DataFrame
 
 
 def page_of(field: str | None) -> str | None:
-    name = field[len("<urn:page:") : -1] if field else None
-    return None if name == "null" else name
+    return unquote(field[len("<urn:page:") : -1]) if field and field.startswith("<urn:page:") else None
 
 
 def read_archives(manifest: DataFrame, id_type: str = "long", batch_rows: int = 512) -> DataFrame:
