@@ -101,3 +101,7 @@ class Rules:
     trusted_labels: tuple[str, ...] = ()
     generic_domains: tuple[str, ...] = ()
     threshold: float = 0.35
+
+#: Words that name no investor, and no school, by themselves.
+INVESTOR_EXTRA = r"\b(management|asia|advisory|advisors?|investments?|the)\b"
+SCHOOL_EXTRA = r"\b(university|college|institute|institution|school|of|the|and|polytechnic)\b"

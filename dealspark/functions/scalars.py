@@ -188,9 +188,14 @@ def core_key(c) -> Column:
     return F.regexp_replace(norm_co(c), " ", "")
 
 
+def investor_core(c) -> Column:
+    """The company core without words of funds and places."""
+    return F.regexp_replace(F.regexp_replace(norm_co(c), R.INVESTOR_EXTRA, " "), " ", "")
+
+
 def school_core(c) -> Column:
-    s = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"\([^)]*\)|[^a-z0-9 ]", " ")
-    return F.regexp_replace(F.regexp_replace(s, r"\b(the|of|and|university|college|institute|school)\b", " "), r"\s+", "")
+    """The company core without words of schools."""
+    return F.regexp_replace(F.regexp_replace(norm_co(c), R.SCHOOL_EXTRA, " "), " ", "")
 
 
 def norm_profile_url(c, site: str = "linkedin.com") -> Column:
@@ -272,7 +277,7 @@ def usd_m_to_cr(c) -> Column:
 
 
 def fmt_cr(c) -> Column:
-    return F.concat(F.lit("₹"), F.regexp_replace(F.format_number(col(c).cast("double"), 2), r"\.?0+$", ""), F.lit(" Cr"))
+    return F.concat(F.lit("₹"), F.regexp_replace(F.format_string("%.2f", col(c).cast("double")), r"\.?0+$", ""), F.lit(" Cr"))
 
 
 def llm_usd(model, tokens_in, tokens_out, prices: dict[str, tuple[float, float]] = R.PRICES) -> Column:

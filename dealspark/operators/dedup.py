@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .checkpoints import cut
+from .knowledge import substrings
 
 
-def core_clusters(v: DataFrame, least: int = 3) -> DataFrame:
+def core_of(canonical="canonical", kind="type") -> Column:
+    """The name's core by the rule of its type: investors and organisations, schools, others."""
+    return F.when(F.col(kind).isin("investor", "org"), S.investor_core(canonical)).when(F.col(kind) == "school", S.school_core(canonical)).otherwise(S.core_key(canonical))
+
+
+def core_clusters(v: DataFrame, least: int = 3, core: Column | None = None) -> DataFrame:
     """(id, cluster, size): entities of one type with equal name cores; the cluster is its least id."""
-    keyed = v.select("id", "type", S.core_key("canonical").alias("core")).where(F.length("core") >= least)
+    keyed = v.select("id", "type", (core_of() if core is None else core).alias("core")).where(F.length("core") >= least)
     groups = keyed.groupBy("type", "core").agg(F.min("id").alias("cluster"), F.count("*").alias("size")).where("size > 1")
     return keyed.join(groups, ["type", "core"]).select("id", "cluster", "size")
 
@@ -44,6 +50,88 @@ def person_pairs(people: DataFrame) -> DataFrame:
     return p.select(F.col("a.id").alias("a"), F.col("id").alias("b"), verdict.alias("verdict")).distinct()
 
 
+def prefixes(toks: Column) -> Column:
+    """All proper beginnings of a list of words, each as one text."""
+    n = F.size(toks)
+    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.array_join(F.slice(toks, 1, k), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def person_links(people: DataFrame) -> DataFrame:
+    """(a, b, reason): verified links among people (id, name, slug, email, phone, companies, threads, degree), so many that
+    all whom any verified pair connects are connected.
+
+    A conflict of slug, e-mail or phone is a veto. Else two are one person by an equal slug or e-mail; by an equal phone
+    with compatible names (one's words begin the other's); by equal names of two words or more with a shared company or
+    thread; by equal single names with both; and a name without slug and e-mail that begins another's, with a shared
+    company and thread, or with a shared company if it has no edge. Keys that are null conflict with nothing.
+
+    No pairs are listed: within what two must share, those who lack or have the same keys in the same places agree with
+    all of another such set alike, so each links to the least id of that set; the rows are a constant number for each
+    person and shared thing, however many people share it."""
+    some = lambda c: F.coalesce(F.array_distinct(F.filter(c, lambda x: x.isNotNull())), F.array().cast("array<string>"))
+    toks = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z ]", " "), " +"), lambda x: x != "")
+    p = people.select("id", "slug", "email", "phone", toks.alias("toks"), some("companies").alias("cos"), some("threads").alias("thr"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    name, n = F.array_join("toks", " "), F.size("toks")
+    none = F.array().cast("array<struct<kind:string,side:string,what:string>>")
+    entry = lambda kind, side, *what: F.struct(F.lit(kind).alias("kind"), F.lit(side).alias("side"), F.concat_ws("\x1f", *what).alias("what"))
+    each = lambda xs, f, when=F.lit(True): F.when(when, F.transform(xs, f)).otherwise(none)
+    pairs = F.flatten(F.transform("cos", lambda c: F.transform("thr", lambda t: F.concat_ws("\x1e", c, t))))
+    stub, over = F.col("slug").isNull() & F.col("email").isNull() & (n > 0), prefixes(F.col("toks"))
+    longer = lambda kind, xs: F.flatten(F.transform(xs, lambda x: F.transform(over, lambda o: entry(kind, "long", o, x))))
+    shared = F.concat(
+        each(F.array(F.lit(1)), lambda _: entry("same slug", "", F.col("slug")), F.col("slug").isNotNull()), each(F.array(F.lit(1)), lambda _: entry("same email", "", F.col("email")), F.col("email").isNotNull()),
+        each(F.array(F.lit(1)), lambda _: entry("same phone", "", F.col("phone"), name), F.col("phone").isNotNull() & (n > 0)), each(F.array(F.lit(1)), lambda _: entry("same phone, name begins", "short", name, F.col("phone")), F.col("phone").isNotNull() & (n > 0)),
+        F.when(F.col("phone").isNotNull(), longer("same phone, name begins", F.array("phone"))).otherwise(none),
+        each(F.col("cos"), lambda c: entry("same name, company", "", name, c), n > 1), each(F.col("thr"), lambda t: entry("same name, thread", "", name, t), n > 1), each(pairs, lambda x: entry("same name, company, thread", "", name, x), n == 1),
+        each(pairs, lambda x: entry("name begins, company, thread", "short", name, x), stub), each(F.col("cos"), lambda c: entry("name begins, company", "short", name, c), stub & (F.col("degree") == 0)),
+        longer("name begins, company, thread", pairs), longer("name begins, company", F.col("cos")),
+    )
+    keys = ("slug", "email", "phone")
+    mask = sum((F.when(F.col(k).isNotNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)), F.lit(0))
+    rows = p.select("id", *keys, mask.alias("own"), F.explode(shared).alias("s")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    common = F.concat_ws("\x1f", *[F.when(F.col("own").bitwiseAND(F.col("other")).bitwiseAND(F.lit(1 << i)) != 0, F.concat(F.lit(f"{i}"), F.col(k))) for i, k in enumerate(keys)])
+    long = F.col("s.side") == "long"
+    first, second = F.when(long, F.col("other")).otherwise(F.col("own")), F.when(long, F.col("own")).otherwise(F.col("other"))
+    first, second = F.when(F.col("s.side") == "", F.least("own", "other")).otherwise(first), F.when(F.col("s.side") == "", F.greatest("own", "other")).otherwise(second)
+    role = lambda side, m: F.concat(side, F.lit(":"), m.cast("string"))
+    facing = F.when(F.col("s.side") == "short", "long").when(long, "short").otherwise("")
+    rows = rows.select("id", F.col("s.kind").alias("reason"), F.concat_ws("\x1d", "s.kind", "s.what", first, second, common).alias("meet"), role(F.col("s.side"), F.col("own")).alias("role"), role(facing, F.col("other")).alias("facing"))
+    rows = cut(rows)
+    heads = rows.groupBy("meet", "role").agg(F.min("id").alias("head")).withColumnsRenamed({"meet": "_meet", "role": "_role"})
+    met = rows.join(heads.hint("merge"), (F.col("meet") == F.col("_meet")) & (F.col("facing") == F.col("_role"))).where("id <> head")
+    return met.groupBy(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).agg(F.min("reason").alias("reason"))
+
+
+def person_clusters(people: DataFrame) -> DataFrame:
+    """(id, cluster): people connected by person_links; a cluster that comes to hold two slugs is left alone."""
+    found = components(person_links(people).select("a", "b"))
+    slugs = found.join(people.select("id", "slug").hint("merge"), "id").groupBy("cluster").agg(F.countDistinct("slug").alias("n")).where("n <= 1")
+    return found.join(slugs.select("cluster").hint("merge"), "cluster", "left_semi").select("id", "cluster")
+
+
+def company_links(companies: DataFrame, least: int = 4) -> DataFrame:
+    """(a, b): companies (id, canonical, website, aliases) of one website; and of one core of at least `least` characters
+    where one's name is an alias of the other or lies inside the other's name.
+
+    Equal names are one node. Of cores with several names each name's substrings meet the names on an equi join."""
+    web = companies.select("id", S.web_key("website").alias("web")).where("web IS NOT NULL")
+    by_web = web.join(web.groupBy("web").agg(F.min("id").alias("head")).hint("merge"), "web").select("id", "head")
+    own = companies.select("id", F.lower("canonical").alias("low"), S.core_key("canonical").alias("core"), "aliases").where(F.length("core") >= least)
+    heads = cut(own.groupBy("core", "low").agg(F.min("id").alias("head")))
+    equal = own.join(heads.hint("merge"), ["core", "low"]).select("id", "head")
+    alias = own.select("id", "core", F.explode("aliases").alias("x")).select("id", "core", F.lower("x").alias("low")).join(heads.hint("merge"), ["core", "low"]).select("id", "head")
+    several = heads.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    parts = heads.join(several.hint("merge"), "core", "left_semi").select("core", F.col("head").alias("id"), F.explode(substrings(F.col("low"), least)).alias("low"))
+    inside = parts.join(heads.hint("merge"), ["core", "low"]).select("id", "head")
+    out = by_web.unionByName(equal).unionByName(alias).unionByName(inside).where("id <> head")
+    return out.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+
+
+def company_clusters(companies: DataFrame) -> DataFrame:
+    """(id, cluster): companies connected by company_links."""
+    return components(company_links(companies))
+
+
 def components(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, cluster): the least id reachable over pairs (a, b); labels spread with pointer jumping until nothing changes."""
     e = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -75,11 +163,44 @@ def repoint(e: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.select(F.coalesce("k1", "src").alias("src"), "rel", F.coalesce("k2", "dst").alias("dst"), "envelope_id").where("src <> dst").distinct()
 
 
+def move(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
+    """Rows (observations, tasks) whose `column` names a merged entity go to its keeper."""
+    m = mapping.select(F.col("id").alias("_id"), F.col("keeper").alias("_keeper"))
+    return df.join(m.hint("merge"), F.col(column) == F.col("_id"), "left").withColumn(column, F.coalesce("_keeper", column)).drop("_id", "_keeper")
+
+
+def merge_profiles(profiles: DataFrame, mapping: DataFrame, key: str = "id") -> DataFrame:
+    """One profile for each keeper: its own, else that of the loser of the least id."""
+    m = mapping.select(F.col("id").alias("_id"), F.col("keeper").alias("_keeper"))
+    to = F.coalesce("_keeper", key)
+    rows = profiles.join(m.hint("merge"), F.col(key) == F.col("_id"), "left").withColumn("_to", to)
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_to").orderBy(F.col(key) != F.col("_to"), key)))
+    return rows.where("_n = 1").withColumn(key, F.col("_to")).drop("_id", "_keeper", "_to", "_n")
+
+
+def merge_entities(v: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(id, canonical, attrs, aliases) of entities (id, canonical, attrs MAP, aliases ARRAY) after their merge.
+
+    An attribute is the keeper's, else that of the loser of the least id. Aliases are the keeper's, then each loser's and
+    its name, once each, without the keeper's own name in any case. Both are aggregated before a row is made of them."""
+    m = mapping.select(F.col("id").alias("_id"), F.col("keeper").alias("_keeper"))
+    rows = cut(v.join(m.hint("merge"), F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_keeper", "id").alias("to"), "canonical", "attrs", "aliases").withColumn("loser", F.col("id") != F.col("to")))
+    best = rows.select("to", "loser", "id", F.explode("attrs").alias("k", "v")).groupBy("to", "k").agg(F.min_by("v", F.struct("loser", "id")).alias("v"))
+    attrs = best.groupBy("to").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attrs"))
+    names = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.when(F.col("loser"), F.array("canonical")).otherwise(F.array().cast("array<string>")))
+    each = rows.select("to", "loser", "id", F.posexplode(names).alias("i", "alias")).where("alias <> ''")
+    keepers = rows.where("NOT loser").select("to", "canonical")
+    each = each.groupBy("to", "alias").agg(F.min(F.struct("loser", "id", "i")).alias("at")).join(keepers.hint("merge"), "to").where(F.lower("alias") != F.lower("canonical"))
+    lists = each.groupBy("to").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("aliases"))
+    out = keepers.join(attrs.hint("merge"), "to", "left").join(lists.hint("merge"), "to", "left")
+    return out.select(F.col("to").alias("id"), "canonical", F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
 def dedup_plan(mapping: DataFrame, reason: str) -> DataFrame:
     return mapping.where("id <> keeper").select("keeper", F.col("id").alias("loser"), F.lit(reason).alias("reason"))
 
 
 def inherit_notes(items: DataFrame, by: str = "content_hash") -> DataFrame:
-    """(id, original): of items with one hash all take what the least id has."""
-    first = items.groupBy(by).agg(F.min("id").alias("original"))
-    return items.join(first, by).select("id", "original")
+    """(id, original): of items with one hash all take what the least id has; an item without a hash keeps its own."""
+    first = items.where(F.col(by).isNotNull()).groupBy(by).agg(F.min("id").alias("original"))
+    return items.join(first.hint("merge"), by, "left").select("id", F.coalesce("original", "id").alias("original"))

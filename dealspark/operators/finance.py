@@ -13,11 +13,12 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def company_financials(observations: DataFrame, entities: DataFrame, verified_sources: tuple[str, ...] = ("registry",)) -> DataFrame:
-    """Observations of companies with their track: verified by confidence or by where they come from, else management."""
+    """Observations of companies that have a value, with their track: verified by confidence or by where they come from,
+    else management."""
     companies = entities.where("type = 'company'").select(F.col("id").alias("entity_id"), F.col("canonical").alias("company"))
     from_source = F.lower("source").rlike("^(" + "|".join(verified_sources) + ")")
     track = F.when((F.col("confidence") == "Verified") | from_source, "verified").otherwise("management")
-    return observations.join(companies, "entity_id").withColumn("track", track)
+    return observations.where("value_num IS NOT NULL").join(companies, "entity_id").withColumn("track", track)
 
 
 def confidence_rank(c: str = "confidence") -> Column:
@@ -34,9 +35,9 @@ def observation_latest(observations: DataFrame) -> DataFrame:
 
 
 def financial_series(financials: DataFrame) -> DataFrame:
-    """Rows numbered by time within (entity, metric, track), labelled by month."""
+    """Rows numbered by time within (entity, metric, track), labelled by their period, else by month, else blank."""
     w = Window.partitionBy("entity_id", "metric", "track").orderBy(F.col("as_of").asc_nulls_first(), "id")
-    return financials.withColumn("n", F.row_number().over(w)).withColumn("label", F.date_format("as_of", "yyyy-MM"))
+    return financials.withColumn("n", F.row_number().over(w)).withColumn("label", F.coalesce(F.nullif(F.col("period"), F.lit("")), F.date_format("as_of", "yyyy-MM"), F.lit("")))
 
 
 def metric_max(observations: DataFrame, metrics: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -46,7 +46,8 @@ def load_companies(rows: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFr
     first = names.groupBy("id").agg(F.min("name").alias("_name"))
     df = rows.join(first, "id", "left").withColumn("name", F.coalesce("_name", "name")).drop("_name")
     metric = lambda m, v, on, unit: F.struct(F.lit(m).alias("metric"), S.num_or_null(v).alias("value_num"), (F.col(on) if on else F.lit(None).cast("string")).alias("as_of"), F.lit(unit).alias("unit"))
-    each = F.array(*[metric(m, f"{m}_inr_cr", f"{m}_as_on", "INR_Cr") for m in ("revenue", "ebitda", "net_profit", "valuation")], metric("employees", "employee_count", None, "count"))
+    funding = F.struct(F.lit("funding").alias("metric"), S.usd_m_to_cr(S.num_or_null("total_equity_funding_usd_m")).alias("value_num"), F.lit(None).cast("string").alias("as_of"), F.lit("INR_Cr").alias("unit"))
+    each = F.array(*[metric(m, f"{m}_inr_cr", f"{m}_as_on", "INR_Cr") for m in ("revenue", "ebitda", "net_profit", "valuation")], metric("employees", "employee_count", None, "count"), funding)
     obs = df.select("name", F.explode(each).alias("x")).where("x.value_num IS NOT NULL").select("name", "x.*", S.fy_period("x.as_of").alias("period"))
     investors = df.select(F.explode(S.split_list("investors")).alias("src"), F.lit("invests_in").alias("rel"), F.col("name").alias("dst")).where(S.is_investor_name("src"))
     people = df.select(F.explode(S.split_list("key_people")).alias("p"), "name").select(S.parse_person("p")["name"].alias("src"), F.lit("works_at").alias("rel"), F.col("name").alias("dst")).where(S.is_person_name("src"))
@@ -72,11 +73,34 @@ def entity_by_key(keys: DataFrame, values: DataFrame) -> DataFrame:
     return values.join(keys, F.lower("value") == F.lower("key")).groupBy("value").agg(F.min("id").alias("id"))
 
 
+def substrings(c, least: int = 1) -> Column:
+    """All distinct substrings of at least `least` characters."""
+    n = F.length(c)
+    of = lambda i: F.transform(F.sequence(F.lit(least), n - i + 1), lambda k: F.substring(c, i, k))
+    return F.when(n >= least, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n - least + 1), of)))).otherwise(F.array().cast("array<string>"))
+
+
 def match_company(names: DataFrame, companies: DataFrame, aliases: DataFrame, degree: DataFrame) -> DataFrame:
-    """(name, id, quality): 3 exact name or alias, 2 equal core; within it the greatest degree, then the least id."""
-    exact = names.join(companies.select("id", F.lower("canonical").alias("k")), F.lower("name") == F.col("k")).select("name", "id", F.lit(3).alias("quality"))
-    alias = names.join(aliases.select("id", F.lower("alias").alias("k")), F.lower("name") == F.col("k")).select("name", "id", F.lit(3).alias("quality"))
-    core = names.withColumn("c", S.core_key("name")).where(F.length("c") >= 3).join(companies.select("id", S.core_key("canonical").alias("c")), "c").select("name", "id", F.lit(2).alias("quality"))
-    both = exact.unionByName(alias).unionByName(core).groupBy("name", "id").agg(F.max("quality").alias("quality")).join(degree, "id", "left")
-    best = F.max_by(F.struct("id", "quality"), F.struct("quality", F.coalesce("degree", F.lit(0)), F.col("id")))
-    return both.groupBy("name").agg(best.alias("x")).select("name", "x.id", "x.quality")
+    """(name, id, quality): 3 exact name or alias, 2 equal core of name or alias, 1 one core inside the other.
+
+    Companies whose own core is the name's are variants of one firm, so the best connected of them is taken, whatever its
+    quality; else the best quality counts, then the degree, then the greatest id. Only names without a match of quality 2
+    or 3 look for substrings: for each core and each substring of a core the best company is found first, so each substring
+    of a name meets one row."""
+    names = names.select("name").where(F.trim("name") != "").distinct().withColumn("low", F.lower(F.trim("name"))).withColumn("c", S.core_key("name"))
+    own = companies.select("id", F.lower("canonical").alias("low"), S.core_key("canonical").alias("c")).join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    other = aliases.select("id", F.lower("alias").alias("low"), S.core_key("alias").alias("c"))
+    both = own.select("id", "low", "c").unionByName(other)
+    core = F.length("c") >= 3
+    found = names.select("name", "low").join(both.select("id", "low").hint("merge"), "low").select("name", "id", F.lit(3).alias("quality"))
+    found = found.unionByName(names.where(core).select("name", "c").join(both.where(core).select("id", "c").hint("merge"), "c").select("name", "id", F.lit(2).alias("quality")))
+    found = found.groupBy("name", "id").agg(F.max("quality").alias("quality")).join(own.select("id", "degree", F.col("c").alias("core")).hint("merge"), "id").join(names.select("name", "c").hint("merge"), "name")
+    same = (F.col("c") != "") & (F.col("core") == F.col("c"))
+    order = F.struct(same, F.when(same, 0).otherwise(F.col("quality")), "degree", "id")
+    good = found.groupBy("name").agg(F.max_by(F.struct("id", "quality"), order).alias("x")).select("name", "x.id", "x.quality")
+    rest = names.where(F.length("c") >= 4).join(good.select("name").hint("merge"), "name", "left_anti").select("name", "c")
+    best = F.max(F.struct("degree", "id")).alias("b")
+    inner = own.where("c <> ''").groupBy("c").agg(best)
+    outer = own.select("degree", "id", F.explode(substrings(F.col("c"), 4)).alias("c")).groupBy("c").agg(best)
+    loose = rest.select("name", F.explode(substrings(F.col("c"))).alias("c")).join(inner.hint("merge"), "c").select("name", "b").unionByName(rest.join(outer.hint("merge"), "c").select("name", "b"))
+    return good.unionByName(loose.groupBy("name").agg(F.max("b").alias("b")).select("name", "b.id", F.lit(1).alias("quality")))

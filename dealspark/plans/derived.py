@@ -71,7 +71,8 @@ class Tables:
         return self.orders.select(
             F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("entity_id"),
             F.when(metric == "1", "revenue").when(metric == "2", "ebitda").when(metric == "3", "valuation").when(metric == "4", "funding_ask").otherwise("net_profit").alias("metric"),
-            F.col("o_totalprice").alias("value_num"), F.col("o_orderdate").cast("date").alias("as_of"),
+            F.when(F.col("o_orderkey") % 29 != 0, F.col("o_totalprice")).alias("value_num"), F.col("o_orderdate").cast("date").alias("as_of"),
+            F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("FY"), F.date_format("o_orderdate", "yy"))).alias("period"),
             F.when(conf == "F", "Verified").when(conf == "O", "High").otherwise("Medium").alias("confidence"),
             F.when(F.col("o_orderkey") % 3 == 0, "Registry").otherwise("deck").alias("source"), F.col("o_orderdate").cast("date").alias("created_at"),
         )
@@ -111,7 +112,7 @@ SQL = {
     "studied_at": "SELECT 'p' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer",
     "involves": "SELECT 'd' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders",
     "edge": "SELECT src, 'invests_in' AS rel, dst FROM invests_in UNION ALL SELECT src, 'works_at', dst FROM works_at UNION ALL SELECT src, 'studied_at', dst FROM studied_at UNION ALL SELECT src, 'involves', dst FROM involves",
-    "observation": "SELECT o_orderkey AS id, 'c' || o_custkey AS entity_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'revenue' WHEN '2' THEN 'ebitda' WHEN '3' THEN 'valuation' WHEN '4' THEN 'funding_ask' ELSE 'net_profit' END AS metric, o_totalprice AS value_num, CAST(o_orderdate AS DATE) AS as_of, CASE o_orderstatus WHEN 'F' THEN 'Verified' WHEN 'O' THEN 'High' ELSE 'Medium' END AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN 'Registry' ELSE 'deck' END AS source, CAST(o_orderdate AS DATE) AS created_at FROM orders",
+    "observation": "SELECT o_orderkey AS id, 'c' || o_custkey AS entity_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'revenue' WHEN '2' THEN 'ebitda' WHEN '3' THEN 'valuation' WHEN '4' THEN 'funding_ask' ELSE 'net_profit' END AS metric, CASE WHEN o_orderkey % 29 <> 0 THEN o_totalprice END AS value_num, CASE WHEN o_orderkey % 5 = 0 THEN 'FY' || strftime(CAST(o_orderdate AS DATE), '%y') END AS period, CAST(o_orderdate AS DATE) AS as_of, CASE o_orderstatus WHEN 'F' THEN 'Verified' WHEN 'O' THEN 'High' ELSE 'Medium' END AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN 'Registry' ELSE 'deck' END AS source, CAST(o_orderdate AS DATE) AS created_at FROM orders",
     "task": "SELECT o_orderkey AS id, 'c' || o_custkey AS company_id, CAST(o_orderdate AS DATE) + 14 AS due_date, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS status, CAST(o_orderdate AS DATE) AS created_at FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('1', '2')",
     "note": "SELECT o_orderkey AS id, c_name AS company_name, c_mktsegment AS sector, CASE WHEN o_orderstatus = 'P' THEN o_totalprice END AS ask, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS round_type, CAST(o_orderdate AS DATE) AS occurred_at, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 7 AS INTEGER) AS ingested_at FROM orders JOIN customer ON o_custkey = c_custkey",
     "raw_item": "SELECT 'chat' AS source, conv_id || '-' || turn AS source_id, text AS body FROM conversations UNION ALL SELECT source, CAST(doc_id AS VARCHAR), text FROM documents",

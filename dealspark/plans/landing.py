@@ -184,11 +184,11 @@ def salvaged_json(t):
 
 
 # Matching and merging -----------------------------------------------------------------------------------------------
-@query("SELECT c_name || ' Ltd' AS name, 'c' || c_custkey AS id, 2 AS quality FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'Alias ' || c_custkey, 'c' || c_custkey, 3 FROM customer WHERE c_custkey % 2 = 1")
+@query("SELECT 'Alias ' || c_custkey AS name, 'c' || c_custkey AS id, 3 AS quality FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_name || ' Ltd', 'c' || c_custkey, 2 FROM customer WHERE c_custkey % 3 = 1 UNION ALL SELECT 'Neo' || c_name || 'x', 'c' || c_custkey, 1 FROM customer WHERE c_custkey % 3 = 2")
 def matched_companies(t):
-    even = F.col("c_custkey") % 2 == 0
-    names = t.customer.select(F.when(even, F.concat("c_name", F.lit(" Ltd"))).otherwise(F.concat(F.lit("Alias "), "c_custkey")).alias("name"))
-    aliases = t.customer.where(~even).select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("alias "), "c_custkey").alias("alias"))
+    kind = F.col("c_custkey") % 3
+    names = t.customer.select(F.when(kind == 0, F.concat(F.lit("Alias "), "c_custkey")).when(kind == 1, F.concat("c_name", F.lit(" Ltd"))).otherwise(F.concat(F.lit("Neo"), "c_name", F.lit("x"))).alias("name"))
+    aliases = t.customer.where(kind == 0).select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("alias "), "c_custkey").alias("alias"))
     return knowledge.match_company(names, t.company(), aliases, graph.degrees(t.edge()))
 
 

@@ -29,6 +29,7 @@ def nested_companies(t: Tables) -> DataFrame:
         id=F.col("c_custkey").cast("string"), name=F.col("c_name"), website=F.array(obj(url=F.concat(F.lit("https://c"), "c_custkey", F.lit(".com")))), shortDescription=F.concat(F.lit(" makes \n "), "c_mktsegment"),
         locations=F.array(obj(city=obj(name=F.col("c_nationkey").cast("string")))), primaryTaxonomy=F.array(F.array(obj(name=F.col("c_mktsegment")), obj(name="Parts"))), latestRevenue=rev,
         investors=F.array(obj(name=F.lit("Fund A"), institutionalInvestor=F.lit(None).cast("struct<name:string>")), obj(name=F.lit(None).cast("string"), institutionalInvestor=obj(name="Fund B"))), keyPeople=F.array(obj(name=name, designation="Founder")),
+        totalEquityFunding=F.when(even("c_custkey"), obj(amount=obj(USD=obj(value=(F.col("c_custkey") % 1000) * 1e6)))),
     )
     return t.customer.select("c_custkey", F.to_json(rec).alias("json"))
 
@@ -84,10 +85,10 @@ def material_filings(t):
 def flat_rows(t: Tables) -> DataFrame:
     """The flat companies with the columns that the loader reads."""
     df = profiles.flatten_company(nested_companies(t))
-    return df.select("id", "name", "website", "sector", *[F.col(f"{m}_inr_cr").cast("string").alias(f"{m}_inr_cr") for m in ("revenue", "ebitda", "net_profit", "valuation")], *[f"{m}_as_on" for m in ("revenue", "ebitda", "net_profit", "valuation")], F.col("employee_count").cast("string").alias("employee_count"), "investors", "key_people")
+    return df.select("id", "name", "website", "sector", *[F.col(f"{m}_inr_cr").cast("string").alias(f"{m}_inr_cr") for m in ("revenue", "ebitda", "net_profit", "valuation")], *[f"{m}_as_on" for m in ("revenue", "ebitda", "net_profit", "valuation")], F.col("employee_count").cast("string").alias("employee_count"), F.col("total_equity_funding_usd_m").cast("string").alias("total_equity_funding_usd_m"), "investors", "key_people")
 
 
-@query("SELECT c_name AS name, 'revenue' AS metric, round(CAST(c_acctbal AS DOUBLE) / 1000, 2) + 0.0::DOUBLE AS value_num, 'FY20' AS period FROM customer")
+@query("SELECT c_name AS name, 'revenue' AS metric, round(CAST(c_acctbal AS DOUBLE) / 1000, 2) + 0.0::DOUBLE AS value_num, 'FY20' AS period FROM customer UNION ALL SELECT c_name, 'funding', (c_custkey % 1000) * 8.5::DOUBLE, NULL FROM customer WHERE c_custkey % 2 = 0")
 def loaded_observations(t):
     none = t.customer.select(F.lit("-").alias("id"), F.lit("-").alias("name")).where("false")
     return knowledge.load_companies(flat_rows(t), none)[1].select("name", "metric", (F.col("value_num") + 0.0).alias("value_num"), "period")
@@ -99,7 +100,7 @@ def loaded_links(t):
     return knowledge.load_companies(flat_rows(t), names)[2]
 
 
-@query("SELECT * FROM (VALUES ('companies', (SELECT count(*) FROM customer)), ('observations', (SELECT count(*) FROM customer)), ('links', (SELECT 3 * count(*) FROM customer)), ('errors', 0)) v(what, n)")
+@query("SELECT * FROM (VALUES ('companies', (SELECT count(*) FROM customer)), ('observations', (SELECT count(*) + count_if(c_custkey % 2 = 0) FROM customer)), ('links', (SELECT 3 * count(*) FROM customer)), ('errors', 0)) v(what, n)")
 def load_counts(t):
     none = t.customer.select(F.lit("-").alias("id"), F.lit("-").alias("name")).where("false")
     return views.load_counts(*knowledge.load_companies(flat_rows(t), none), nested_companies(t).where("json IS NULL"))

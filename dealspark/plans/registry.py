@@ -31,7 +31,7 @@ def query(oracle: str | None = None, *names: str):
 
 
 # Finance ------------------------------------------------------------------------------------------------------------
-FIN = "SELECT o.*, c.canonical AS company, CASE WHEN confidence = 'Verified' OR lower(source) LIKE 'registry%' THEN 'verified' ELSE 'management' END AS track FROM observation o JOIN company c ON c.id = o.entity_id"
+FIN = "SELECT o.*, c.canonical AS company, CASE WHEN confidence = 'Verified' OR lower(source) LIKE 'registry%' THEN 'verified' ELSE 'management' END AS track FROM observation o JOIN company c ON c.id = o.entity_id WHERE value_num IS NOT NULL"
 RANK = "CASE confidence WHEN 'Verified' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END"
 
 
@@ -49,7 +49,7 @@ def observation_latest(t):
     return finance.observation_latest(t.observation()).select("entity_id", "metric", "value_num", "confidence")
 
 
-@query(f"WITH f AS ({FIN}) SELECT id, entity_id, metric, track, row_number() OVER (PARTITION BY entity_id, metric, track ORDER BY as_of NULLS FIRST, id) AS n, strftime(as_of, '%Y-%m') AS label FROM f", "observation", "company")
+@query(f"WITH f AS ({FIN}) SELECT id, entity_id, metric, track, row_number() OVER (PARTITION BY entity_id, metric, track ORDER BY as_of NULLS FIRST, id) AS n, coalesce(nullif(period, ''), strftime(as_of, '%Y-%m'), '') AS label FROM f", "observation", "company")
 def financial_series(t):
     return finance.financial_series(financials(t)).select("id", "entity_id", "metric", "track", "n", "label")
 
@@ -599,6 +599,96 @@ def person_verdicts(t):
     return dedup.person_pairs(people).select(plain("a").alias("a"), plain("b").alias("b"), "verdict")
 
 
+#: People with few first names, slugs, addresses and employers, so that every rule and many conflicts occur.
+PEOPLE = "SELECT 'p' || c_custkey AS id, concat_ws(' ', lower(c_mktsegment), CASE WHEN c_custkey % 3 > 0 THEN chr(CAST(97 + c_custkey % 17 AS INTEGER)) || 'ko' END) AS name, CASE WHEN c_custkey % 7 = 0 THEN 's' || c_custkey % 401 END AS slug, CASE WHEN c_custkey % 9 = 0 THEN 'e' || c_custkey % 331 END AS email, CASE WHEN c_custkey % 11 = 0 THEN 'q' || c_custkey % 97 END AS phone, list_filter(['n' || c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN 'm' || c_custkey % 53 END], lambda x: x IS NOT NULL) AS companies, list_filter([CASE WHEN c_custkey % 5 = 1 THEN 't' || c_custkey % 211 END], lambda x: x IS NOT NULL) AS threads, c_custkey % 6 AS degree FROM customer"
+LINKS = (
+    f"people AS ({PEOPLE}), pp AS (SELECT *, string_split(name, ' ') AS w FROM people), "
+    "pairs AS (SELECT a.id AS a, b.id AS b, a AS x, b AS y, a.w = b.w AS equal, len(list_intersect(a.companies, b.companies)) > 0 AS co, len(list_intersect(a.threads, b.threads)) > 0 AS thr, CASE WHEN len(a.w) < len(b.w) THEN a ELSE b END AS short, CASE WHEN len(a.w) < len(b.w) THEN b ELSE a END AS long FROM pp a JOIN pp b ON a.id < b.id), "
+    "judged AS (SELECT *, len(short.w) < len(long.w) AND long.w[1:len(short.w)] = short.w AS begins FROM pairs), "
+    "links AS (SELECT a, b FROM judged WHERE NOT coalesce(x.slug <> y.slug, false) AND NOT coalesce(x.email <> y.email, false) AND NOT coalesce(x.phone <> y.phone, false) AND (coalesce(x.slug = y.slug, false) OR coalesce(x.email = y.email, false) OR (coalesce(x.phone = y.phone, false) AND (equal OR begins)) "
+    "OR (begins AND short.slug IS NULL AND short.email IS NULL AND co AND (thr OR short.degree = 0)) OR (equal AND ((len(x.w) > 1 AND (co OR thr)) OR (co AND thr))))), "
+    "reach AS (SELECT a, b FROM (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = r.b)"
+)
+
+
+def people(t: Tables) -> DataFrame:
+    k, text, some = F.col("c_custkey"), lambda p, n: F.concat(F.lit(p), F.col("c_custkey") % n), lambda *x: F.filter(F.array(*x), lambda v: v.isNotNull())
+    name = F.concat_ws(" ", F.lower("c_mktsegment"), F.when(k % 3 > 0, F.concat(F.chr(97 + k % 17), F.lit("ko"))))
+    return t.customer.select(
+        F.concat(F.lit("p"), k).alias("id"), name.alias("name"), F.when(k % 7 == 0, text("s", 401)).alias("slug"), F.when(k % 9 == 0, text("e", 331)).alias("email"), F.when(k % 11 == 0, text("q", 97)).alias("phone"),
+        some(F.concat(F.lit("n"), "c_nationkey"), F.when(k % 4 == 0, text("m", 53))).alias("companies"), some(F.when(k % 5 == 1, text("t", 211))).alias("threads"), (k % 6).alias("degree"),
+    )
+
+
+@query(f"WITH RECURSIVE {LINKS}, c AS (SELECT a AS id, least(a, min(b)) AS cluster FROM reach GROUP BY a) SELECT id, cluster FROM (SELECT c.*, count(DISTINCT slug) OVER (PARTITION BY cluster) AS n FROM c JOIN people USING (id)) WHERE n <= 1")
+def person_clusters(t):
+    return dedup.person_clusters(people(t))
+
+
+FIRMS = "SELECT 'k' || p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) || ' Ltd' WHEN 1 THEN 'The ' || p_name || ' Ltd' WHEN 2 THEN p_name || ', Inc' ELSE p_name END AS canonical, CASE WHEN p_partkey % 100 = 0 THEN 'https://www.f' || p_partkey % 1000 || '.com/' END AS website, CASE WHEN p_partkey % 6 = 2 THEN [p_name || ' ltd'] ELSE [] END AS aliases FROM part"
+
+
+def firms(t: Tables) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_name")
+    name = F.when(k % 4 == 0, F.concat(F.upper(n), F.lit(" Ltd"))).when(k % 4 == 1, F.concat(F.lit("The "), n, F.lit(" Ltd"))).when(k % 4 == 2, F.concat(n, F.lit(", Inc"))).otherwise(n)
+    none = F.array().cast("array<string>")
+    return t.part.select(F.concat(F.lit("k"), k).alias("id"), name.alias("canonical"), F.when(k % 100 == 0, F.concat(F.lit("https://www.f"), k % 1000, F.lit(".com/"))).alias("website"), F.when(k % 6 == 2, F.array(F.concat(n, F.lit(" ltd")))).otherwise(none).alias("aliases"))
+
+
+@query(
+    f"WITH RECURSIVE f AS ({FIRMS}), g AS (SELECT *, lower(canonical) AS low, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS core, [lower(x) FOR x IN aliases] AS al FROM f JOIN part ON id = 'k' || p_partkey), "
+    "links AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id <> b.id AND (a.website = b.website OR (a.core = b.core AND length(a.core) >= 4 AND (list_contains(b.al, a.low) OR contains(b.low, a.low))))), "
+    "e AS (SELECT a, b FROM links UNION SELECT b, a FROM links), m AS (SELECT a AS id, b FROM e UNION SELECT m.id, e.b FROM m JOIN e ON e.a = m.b) SELECT id, least(id, min(b)) AS cluster FROM m GROUP BY id"
+)
+def company_clusters(t):
+    return dedup.company_clusters(firms(t))
+
+
+GROUPS = "m AS (SELECT 'c' || c_custkey AS id, 'c' || (c_custkey - c_custkey % 3) AS k FROM customer WHERE c_custkey % 3 > 0 AND c_custkey - c_custkey % 3 > 0)"
+
+
+def keepers(t: Tables) -> DataFrame:
+    """Every third customer keeps the two after it."""
+    k = F.col("c_custkey")
+    return t.customer.where((k % 3 > 0) & (k > 2)).select(F.concat(F.lit("c"), k).alias("id"), F.concat(F.lit("c"), k - k % 3).alias("keeper"))
+
+
+@query(f"WITH {GROUPS} SELECT o.id, coalesce(m.k, o.entity_id) AS entity_id, metric, value_num FROM observation o LEFT JOIN m ON m.id = o.entity_id", "observation")
+def merged_observations(t):
+    return dedup.move(t.observation(), keepers(t), "entity_id").select("id", "entity_id", "metric", "value_num")
+
+
+@query(f"WITH {GROUPS} SELECT o.id, coalesce(m.k, o.company_id) AS company_id, status FROM task o LEFT JOIN m ON m.id = o.company_id", "task")
+def merged_tasks(t):
+    return dedup.move(t.task(), keepers(t), "company_id").select("id", "company_id", "status")
+
+
+@query(
+    f"WITH {GROUPS}, v AS (SELECT 'c' || c_custkey AS id, c_name, c_mktsegment AS sector, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_nationkey AS VARCHAR) END AS city, c_custkey FROM customer), "
+    "r AS (SELECT v.*, coalesce(m.k, v.id) AS k, m.k IS NOT NULL AS loser FROM v LEFT JOIN m USING (id)) "
+    "SELECT k AS id, max(c_name) FILTER (NOT loser) AS canonical, max(sector) FILTER (NOT loser) AS sector, min_by(city, id) FILTER (city IS NOT NULL) AS city, coalesce(string_agg(c_name, '|' ORDER BY id) FILTER (loser), '') AS aliases FROM r GROUP BY k"
+)
+def merged_entities(t):
+    k = F.col("c_custkey")
+    attrs = F.map_filter(F.create_map(F.lit("sector"), F.col("c_mktsegment"), F.lit("city"), F.when(k % 3 > 0, F.col("c_nationkey").cast("string"))), lambda _, v: v.isNotNull())
+    v = t.customer.select(F.concat(F.lit("c"), k).alias("id"), F.col("c_name").alias("canonical"), attrs.alias("attrs"), F.array(F.upper("c_name")).alias("aliases"))
+    # The keeper's own name in capitals is no alias of it; losers have none but their names.
+    out = dedup.merge_entities(v.withColumn("aliases", F.when(F.substring("id", 2, 20).cast("long") % 3 == 0, F.col("aliases"))), keepers(t))
+    return out.select("id", "canonical", F.try_element_at("attrs", F.lit("sector")).alias("sector"), F.try_element_at("attrs", F.lit("city")).alias("city"), F.array_join("aliases", "|").alias("aliases"))
+
+
+@query(f"WITH {GROUPS} SELECT coalesce(m.k, p.id) AS id, coalesce(max(p.id) FILTER (m.k IS NULL), min(p.id)) AS taken_from FROM (SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey % 6 > 0) p LEFT JOIN m USING (id) GROUP BY 1")
+def merged_profiles(t):
+    k = F.col("c_custkey")
+    own = t.customer.where(k % 6 > 0).select(F.concat(F.lit("c"), k).alias("id"))
+    return dedup.merge_profiles(own.withColumn("taken_from", F.col("id")), keepers(t))
+
+
+@query(f"WITH {GROUPS} SELECT k AS keeper, id AS loser, 'same firm' AS reason FROM m")
+def dedup_plan(t):
+    return dedup.dedup_plan(keepers(t), "same firm")
+
+
 MERGE = "c AS (SELECT s_suppkey, 'g' || s_suppkey AS id, s_suppkey // 4 AS cl FROM supplier), dg AS (SELECT dst AS id, count(*) AS degree FROM works_at GROUP BY dst), k AS (SELECT cl, id AS keeper FROM c LEFT JOIN dg USING (id) JOIN employer v USING (id) QUALIFY row_number() OVER (PARTITION BY cl ORDER BY coalesce(degree, 0) DESC, length(v.canonical), id) = 1)"
 
 
