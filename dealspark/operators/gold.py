@@ -46,7 +46,7 @@ def stage_of(round_type="round_type"):
 def kanban(pipeline: DataFrame, stages: list[str]) -> DataFrame:
     """Count and sum by stage, with every stage present."""
     every = pipeline.sparkSession.createDataFrame([(s,) for s in stages], "stage string")
-    got = pipeline.groupBy("stage").agg(F.count("*").alias("n"), F.sum(F.col("ask").cast("decimal(20,2)")).alias("total"))
+    got = pipeline.where(F.col("stage").isin(stages)).groupBy("stage").agg(F.count("*").alias("n"), F.sum(F.col("ask").cast("decimal(20,2)")).alias("total"))
     return every.join(F.broadcast(got), "stage", "left").select("stage", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0).cast("decimal(30,2)")).alias("total"))
 
 
@@ -96,10 +96,14 @@ def sort_companies(card: DataFrame, key: str, ascending: bool = True) -> DataFra
     return card.orderBy(c.asc_nulls_first() if ascending else c.desc_nulls_last(), "company_name")
 
 
-def filter_companies(card: DataFrame, sector: str | None = None, deals_only: bool = False, text: str | None = None) -> DataFrame:
-    out = card.where(F.col("sector") == sector) if sector else card
-    out = out.where("has_deal") if deals_only else out
-    return out.where(F.contains(F.lower(F.concat_ws(" ", "company_name", "sector")), F.lit(text.lower()))) if text else out
+def filter_companies(card: DataFrame, sector: str | None = None, deals_only: bool = False, text: str | None = None, stage: str | None = None, poc: str | None = None) -> DataFrame:
+    """Rows that fit all given; text is sought in any case in name, sector and, where the card has them, summary, aliases
+    (an array) and owner."""
+    for column, want in (("sector", sector), ("stage", stage), ("poc", poc)):
+        card = card.where(F.col(column) == want) if want else card
+    card = card.where("has_deal") if deals_only else card
+    kept = [c for c in ("company_name", "sector", "summary", "aliases", "poc") if c in card.columns]
+    return card.where(F.contains(F.lower(F.concat_ws(" ", *kept)), F.lit(text.lower()))) if text else card
 
 
 def facets(card: DataFrame, column: str = "sector") -> DataFrame:
@@ -117,9 +121,17 @@ def spend_by_day(cost: DataFrame, cap: float) -> DataFrame:
 
 
 def budget_admit(items: DataFrame, cap: float) -> DataFrame:
-    """Items whose running spend within the day stays within the cap; 0: all."""
-    run = F.sum("usd").over(Window.partitionBy(F.to_date("at")).orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0))
-    return items.withColumn("running", run).where((F.lit(cap) == 0) | (F.col("running") <= cap))
+    """Items whose running spend within the day stays within the cap; 0: all.
+
+    In two passes: sums of each minute give what was spent before it in its day, and items are summed within their minute
+    only, so that no task gets a whole day."""
+    minute, day = F.date_trunc("minute", "at"), F.to_date("at")
+    sums = items.groupBy(day.alias("_day"), minute.alias("_m")).agg(F.sum("usd").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy("_day").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(F.col("_m").alias("_minute"), F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.sum("usd").over(Window.partitionBy("_m").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0))
+    run = items.withColumn("_m", minute).withColumn("_own", own).join(sums.hint("merge"), F.col("_m").eqNullSafe(F.col("_minute")))
+    return run.withColumn("running", F.col("_own") + F.col("_before")).drop("_m", "_own", "_minute", "_before").where((F.lit(cap) == 0) | (F.col("running") <= cap))
 
 
 def ops_metrics(log: DataFrame, as_of: str) -> DataFrame:

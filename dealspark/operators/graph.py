@@ -55,6 +55,14 @@ def coinvestors(portfolio: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def coinvestors_of(portfolio: DataFrame, investor: str) -> DataFrame:
+    """(a, b, shared) of the pairs with this investor: from its companies out, so that no other pair is made."""
+    p = portfolio.select("src", "dst").distinct()
+    own = p.where(F.col("src") == investor).select("dst")
+    met = p.where(F.col("src") != investor).join(own.hint("merge"), "dst", "left_semi").groupBy("src").agg(F.count("*").alias("shared"))
+    return met.select(F.least("src", F.lit(investor)).alias("a"), F.greatest("src", F.lit(investor)).alias("b"), "shared")
+
+
 def investor_leaderboard(portfolio: DataFrame, companies: DataFrame) -> DataFrame:
     own = portfolio.select(F.col("src").alias("investor"), F.col("dst").alias("id")).join(companies.select("id", "sector"), "id")
     return own.groupBy("investor").agg(F.count("*").alias("portfolio"), F.array_join(F.array_sort(F.collect_set("sector")), ", ").alias("sectors"))
@@ -117,9 +125,17 @@ def orphan_nodes(v: DataFrame, e: DataFrame, types: list[str]) -> DataFrame:
     return v.where(F.col("type").isin(*types)).join(ends, "id", "left_anti")
 
 
-def filter_graph(v: DataFrame, e: DataFrame, types: list[str], relations: list[str]) -> DataFrame:
-    """Edges of these relations whose both ends are of these types."""
-    keep = v.where(F.col("type").isin(*types)).select("id")
+def filter_graph(v: DataFrame, e: DataFrame, types: list[str], relations: list[str], sectors: list[str] | None = None) -> DataFrame:
+    """Edges of these relations whose both ends are of these types; with sectors, companies of these only, and people and
+    deals only if an edge ties them to such a company."""
+    keep = v.where(F.col("type").isin(*types)).select("id", "type", *(["sector"] if sectors else []))
+    if sectors:
+        own = keep.where((F.col("type") == "company") & F.col("sector").isin(*sectors)).select("id")
+        ends = e.select(F.col("src").alias("x"), F.col("dst").alias("id")).unionByName(e.select(F.col("dst").alias("x"), F.col("src").alias("id")))
+        tied = ends.join(own.hint("merge"), "id", "left_semi").select(F.col("x").alias("id"))
+        follow = keep.where(F.col("type").isin("person", "deal")).join(tied.hint("merge"), "id", "left_semi").select("id")
+        keep = own.unionByName(follow).unionByName(keep.where(~F.col("type").isin("company", "person", "deal")).select("id"))
+    keep = keep.select("id")
     out = e.where(F.col("rel").isin(*relations))
     return out.join(keep.select(F.col("id").alias("src")), "src", "left_semi").join(keep.select(F.col("id").alias("dst")), "dst", "left_semi")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import scalars as S
+from .checkpoints import cut
 
 ENVELOPE = ["source", "source_id", "kind", "thread", "occurred_at", "title", "body_raw", "body_clean", "labels", "content_hash", "idempotency_key"]
 
@@ -122,17 +123,25 @@ def redact(df: DataFrame, reason="reason", body="body_clean") -> DataFrame:
 def mentions(docs: DataFrame, spine: DataFrame, least: int = 4, small: int = 4096) -> DataFrame:
     """(doc_id, id): documents whose text holds a spine name (id, canonical) of at least `least` characters, in any case.
 
-    Blocked by the name's first `least` characters. Up to `small` names (counted) are broadcast and the texts are read once,
-    without a shuffle; beyond that the distinct windows of the texts meet the names on an equi join that carries ids but no
-    text, and the texts are read once more to verify the candidates."""
-    names = spine.where(F.length("canonical") >= least).select("id", F.lower("canonical").alias("name")).withColumn("key", F.substring("name", 1, least))
+    Up to `small` names (counted) are blocked by their first `least` characters and broadcast, and the texts are read once,
+    without a shuffle. Beyond that a name is blocked by its first or last `least`, 8 or 16 characters (the most it has),
+    whichever fewer names share, so that a common beginning is no hot key; the texts' distinct windows of these sizes meet
+    the names on an equi join that carries ids but no text, and the texts are read once more to verify the candidates."""
+    names = spine.where(F.length("canonical") >= least).select("id", F.lower("canonical").alias("name"))
     low = docs.select("doc_id", F.lower("text").alias("text")).where(F.length("text") >= least)
-    windows = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{least}}}))"), F.lit(1))
+    windows = lambda n: F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    names = names.withColumn("key", F.substring("name", 1, least))
     keys = [r["key"] for r in names.select("key").limit(small + 1).collect()]
     if len(keys) <= small:
         own = F.array(*[F.lit(k) for k in sorted(set(keys))]).cast("array<string>")
-        pairs = low.withColumn("key", F.explode(F.array_intersect(own, windows))).join(F.broadcast(names), "key")
+        pairs = low.withColumn("key", F.explode(F.array_intersect(own, windows(least)))).join(F.broadcast(names), "key")
     else:
-        met = low.select("doc_id", F.explode(F.array_distinct(windows)).alias("key")).join(names.hint("merge"), "key").select("doc_id", "id", "name")
+        sizes = sorted({least, *(n for n in (8, 16) if n > least)})
+        size = F.greatest(*[F.when(F.length("name") >= n, n).otherwise(least) for n in sizes]) if len(sizes) > 1 else F.lit(least)
+        ends = cut(names.withColumn("size", size).select("id", "name", "size", F.explode(F.array(F.expr("substring(name, 1, size)"), F.expr("substring(name, length(name) - size + 1, size)"))).alias("key")))
+        shared = ends.groupBy("key").agg(F.count("*").alias("n"))
+        best = ends.join(shared.hint("merge"), "key").groupBy("id", "name").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+        each = F.array_distinct(F.flatten(F.array(*[windows(n) for n in sizes])))
+        met = cut(low.select("doc_id", F.explode(each).alias("key")).join(best.hint("merge"), "key").select("doc_id", "id", "name"))
         pairs = met.join(low.hint("merge"), "doc_id")
     return pairs.where(F.contains("text", F.col("name"))).select("doc_id", "id").distinct()

@@ -3,32 +3,40 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
 
-def pack(text: Column, size: int = 1800, sep: str = "\n\n") -> Column:
-    """Paragraphs packed into chunks of about `size` characters; a longer paragraph is cut hard. A fold over the paragraphs.
 
-    The pieces of a long paragraph are chunks of their own, its rest goes on as a paragraph; joints are not counted."""
-    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size).cast("int")), lambda i: F.substring(p, i * size + 1, F.lit(size)))
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("out"), F.lit("").alias("buf"))
+def packed(text: str, size: int, sep: str) -> list[str]:
+    """One text's chunks. Linear in the text, whatever the number of its paragraphs."""
+    pieces = [(p[i : i + size], i + size < len(p)) for p in text.split(sep) for i in range(0, max(1, len(p)), size)]
+    out, held, n = [], [], 0
+    for piece, full in [*pieces, ("", True)]:
+        if held and (full or n + len(piece) > size):
+            out.append(sep.join(held).strip())
+            held, n = [], 0
+        if full and piece:
+            out.append(piece.strip())
+        elif piece or held:
+            n += len(piece) + (len(sep) if held else 0)
+            held.append(piece)
+    return out[:-1] if out and not out[-1] else out
+
+
+def pack(text: Column, size: int = 1800, sep: str = "\n\n") -> Column:
+    """Paragraphs packed into chunks of about `size` characters; a longer paragraph is cut hard, its rest goes on as a
+    paragraph. White space at a chunk's ends goes. An Arrow function, since a fold by expressions copies the chunks made so
+    far at every paragraph."""
 
-    def step(acc, p):
-        long = F.length(p) > size
-        pieces = F.when(long, F.slice(cut(p), 1, F.size(cut(p)) - 1)).otherwise(none)
-        rest = F.when(long, F.element_at(cut(p), -1)).otherwise(p)
-        flushed = F.when(long & (acc["buf"] != ""), F.array(acc["buf"])).otherwise(none)
-        buf = F.when(long, F.lit("")).otherwise(acc["buf"])
-        full = (F.length(buf) + F.length(rest) > size) & (buf != "")
-        out = F.concat(acc["out"], flushed, pieces, F.when(full, F.array(buf)).otherwise(none))
-        return F.struct(out.alias("out"), F.when(full | (buf == ""), rest).otherwise(F.concat(buf, F.lit(sep), rest)).alias("buf"))
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: packed(t or "", size, sep))
 
-    done = F.aggregate(F.split(F.coalesce(text, F.lit("")), sep, -1), start, step)
-    parts = F.concat(done["out"], F.when(F.trim(done["buf"]) != "", F.array(done["buf"])).otherwise(none))
-    return F.transform(parts, lambda x: F.trim(x))
+    return run(F.coalesce(text, F.lit("")))
 
 
 def chunk(df: DataFrame, text: str = "text", size: int = 1800, sep: str = "\n\n") -> DataFrame:
@@ -112,10 +120,13 @@ def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
 
 
 def comparables(means: DataFrame, key: str, k: int) -> DataFrame:
-    """The k nearest others of each entity among few mean vectors (one per entity of a kind)."""
-    a, b = means.select(F.col(key).alias("a"), F.col("embedding").alias("ea")), means.select(F.col(key).alias("b"), F.col("embedding").alias("eb"))
-    d = a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", F.round(1 - cosine("ea", "eb"), 3).alias("distance"))
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("rank") <= k)
+    """(a, b, distance, rank): the k nearest others of each entity of mean vectors, by the exact block search of `knn`;
+    ties by key. Entities are numbered in the order of their keys and written first."""
+    rows = cut(means.select(F.col(key).alias("name"), "embedding").orderBy("name").withColumn("vec_id", F.monotonically_increasing_id()))
+    near = knn(rows.select("vec_id", "embedding"), rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k + 1)
+    names = lambda at, name: rows.select(F.col("vec_id").alias(at), F.col("name").alias(name)).hint("merge")
+    others = near.where("query_id <> vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k)
+    return others.join(names("query_id", "a"), "query_id").join(names("vec_id", "b"), "vec_id").select("a", "b", "distance", "rank")
 
 
 def dedup_sources(hits: DataFrame) -> DataFrame:

@@ -255,7 +255,7 @@ def coinvestors(t):
 
 @query("SELECT a.src AS a, b.src AS b, count(*) AS shared FROM invests_in a JOIN invests_in b ON a.dst = b.dst AND a.src < b.src WHERE a.src = 's1' OR b.src = 's1' GROUP BY 1, 2 ORDER BY shared DESC, 1, 2 LIMIT 40", "invests_in")
 def top_coinvestors(t):
-    return gold.top(graph.coinvestors(t.invests_in()).where("a = 's1' OR b = 's1'"), 40, F.desc("shared"), "a", "b")
+    return gold.top(graph.coinvestors_of(t.invests_in(), "s1"), 40, F.desc("shared"), "a", "b")
 
 
 @query("SELECT src AS investor, count(*) AS portfolio, array_to_string(list_sort(list(DISTINCT sector)), ', ') AS sectors FROM invests_in JOIN company ON company.id = dst GROUP BY src", "invests_in", "company")
@@ -454,6 +454,13 @@ def resolve_mentions(t):
     return normalize.mentions(t.documents, spine)
 
 
+@query("SELECT o_orderkey AS doc_id, 'c' || o_custkey AS id FROM orders")
+def many_mentions(t):
+    """Each order's text names its customer, among all customers' names."""
+    texts = t.orders.join(t.customer.hint("merge"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Met with "), F.upper("c_name"), F.lit(" about "), "o_orderpriority").alias("text"))
+    return normalize.mentions(texts, t.company(), small=64)
+
+
 @query("SELECT doc_id, length(text) AS n, length(text) // 4 AS token_est FROM documents")
 def token_est(t):
     return t.documents.select("doc_id", F.length("text").alias("n"), S.token_est("text").alias("token_est"))
@@ -485,7 +492,10 @@ def knn_hundredths(t):
     return text.knn(t.embeddings, t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 8)
 
 
-@query(None)
+@query(
+    "WITH x AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i), m AS (SELECT label, list(v ORDER BY i) AS e FROM x GROUP BY label) "
+    "SELECT a.label AS a, b.label AS b, floor((1 - list_cosine_similarity(a.e, b.e)) * 1000 + 0.5) / 1000 AS distance, row_number() OVER (PARTITION BY a.label ORDER BY floor((1 - list_cosine_similarity(a.e, b.e)) * 1000 + 0.5), b.label) AS rank FROM m a JOIN m b ON a.label <> b.label QUALIFY rank <= 3"
+)
 def comparables(t):
     return text.comparables(text.mean_vectors(t.embeddings, "label"), "label", 3)
 
