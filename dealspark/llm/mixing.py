@@ -20,24 +20,47 @@ def doc_hash() -> Column:
     return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def ordered(df: DataFrame, order: list[Column], sums: Sequence[str], rows: int) -> DataFrame:
+    """df with `_n`, each row's number in the order, and `_before_<c>`, the sum of c of the rows before it.
+
+    Few rows (counted) are one window. More are dealt by ranges and written; windows within a range then start from the
+    totals of the ranges before it, of which there are as many as partitions."""
+    if rows <= MAX_BROADCAST_SOURCES:
+        w = Window.orderBy(*order)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({"_n": F.row_number().over(w), **{f"_before_{c}": F.coalesce(F.sum(c).over(before), F.lit(0.0)) for c in sums}})
+    dealt = stored(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "mix-ranges")
+    totals = dealt.groupBy("_p").agg(F.count("*").alias("_c"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums)])
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c"), *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0.0)).alias(f"_s{i}") for i in range(len(sums))])
+    w = Window.partitionBy("_p").orderBy(*order)
+    own = w.rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumns({"_n": F.row_number().over(w), **{f"_before_{c}": F.coalesce(F.sum(c).over(own), F.lit(0.0)) for c in sums}})
+    out = out.join(F.broadcast(totals), F.col("_p") == F.col("_q"))
+    out = out.withColumns({"_n": F.col("_n") + F.col("_c"), **{f"_before_{c}": F.col(f"_before_{c}") + F.col(f"_s{i}") for i, c in enumerate(sums)}})
+    return out.drop("_p", "_q", "_c", *[f"_s{i}" for i in range(len(sums))])
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size) to (source, source_size, target).
 
     Sources in code-point order, null last, get the repeating weights and share `share` of all sizes; a target stops at
     `most` times its source's size and the excess is dealt again by weight. In the order of cap / weight the sources that
-    stop are a prefix, so the water level is found in one pass over the (small, aggregated) table of sources.
+    stop are a prefix, so the water level is found in one pass over running sums of caps and weights.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    df = sizes.withColumn("w", w).withColumn("cap", most * F.col("source_size"))
-    tight = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, after = tight.rowsBetween(Window.unboundedPreceding, -1), tight.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1))
-    df = df.withColumn("level", (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
+    sizes = stored(sizes, "mix-sources")
+    rows = sizes.count()
+    name = F.col("source").asc_nulls_last()
+    df = ordered(sizes, [name], [], rows)
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("_n") - 1) % len(weights) + 1).cast("int"))
+    df = stored(df.select("source", "source_size", w.alias("w"), (most * F.col("source_size")).alias("cap")), "mix-weights")
+    size, weight = df.agg(F.sum("source_size"), F.sum("w")).first()
+    reach = F.col("cap") / F.col("w")
+    level = (F.lit(share * (size or 0)) - F.col("_before_cap")) / (F.lit(weight or 0.0) - F.col("_before_w"))
+    levels = ordered(df, [reach, name], ["cap", "w"], rows).withColumn("level", level)
     # Where the level first stays under the cap of its row, it is the level of all the sources that don't stop.
-    free = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
-    df = df.withColumn("level", F.min_by(F.col("level"), F.when(free.isNotNull(), F.col("cap") / F.col("w"))).over(everything))
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("w")))
+    found = levels.where(F.col("level") * F.col("w") <= F.col("cap")).agg(F.min_by("level", reach)).first()[0]
+    target = F.col("cap") if found is None else F.least(F.col("cap"), F.lit(found) * F.col("w"))
     return df.select("source", "source_size", target.alias("target"))
 
 

@@ -101,6 +101,14 @@ def test_mixing_targets_and_reruns(spark, docs):
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 9
 
 
+def test_mixing_targets_of_many_sources_are_the_same(spark, monkeypatch):
+    sizes = spark.range(500).select(F.when(F.col("id") > 0, F.concat(F.lit("s"), "id")).alias("source"), ((F.col("id") * 37) % 101).alias("source_size"))
+    few = sorted(map(tuple, mixing.source_targets(sizes).collect()), key=str)
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 10)
+    many = sorted(map(tuple, mixing.source_targets(sizes).collect()), key=str)
+    assert [x[:2] for x in few] == [x[:2] for x in many] and [x[2] for x in few] == pytest.approx([x[2] for x in many])
+
+
 def test_mixed_documents_keep_columns(docs):
     got = mixing.mixed_documents(docs)
     assert got.columns == [c for c in docs.columns if c != "copies"] + ["copies"] and got.where("copies < 1").count() == 0
