@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, pii, quality_mil, quality_rules, simhash, token_counts, toxicity, warc
+from . import decontaminate, divergence, exact_dedup, langid, mixing, pii, quality_mil, quality_rules, simhash, token_counts, toxicity, warc, whitening
 from .common import table
 
 
@@ -52,5 +52,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, langid.fit(langid.training_rows(documents)))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_quality_classifier, op4_decontamination, op5_simhash, op6_toxicity, op7_token_counts, op8_warc, op9_pii, op10_language_id)}
-ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_quality_classifier, op4_decontamination, op5_simhash, op6_toxicity, op7_token_counts, op8_warc, op9_pii, op10_language_id, op11_exact_dedup, op12_whitening, op13_source_divergence)}
+ORACLE_SQL = {"op2_mixing": mixing.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE, "op11_exact_dedup": exact_dedup.ORACLE, "op13_source_divergence": divergence.ORACLE}
