@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, new_path, stored
+from .common import map_texts, new_path, release, stored
 
 LEVEL, CHUNK, MAX_BROADCAST_ROWS = 4, 1 << 20, 200_000
 DATE = "2000-01-01T00:00:00Z"
@@ -84,12 +84,20 @@ def records(chunks: Iterable[bytes]) -> Iterator[bytes]:
 def revisits(pages: DataFrame) -> DataFrame:
     """(_id, _digest, _first): pages whose payload an earlier page (by page_id, null last) has; one row per id and payload.
 
-    Only ids and digests are shuffled; copies of one payload meet in an aggregate, and a hot digest's join is split.
+    Only ids and digests are shuffled; copies of one payload meet in an aggregate, which is written, so that both sides of
+    the join are plain exchanges and a hot digest's partition is split.
     """
     narrow = stored(pages.select(F.col("page_id").alias("_id"), digest_of().alias("_digest")), "digests")
-    first = narrow.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("_digest", "_d")
-    late = narrow.join(first.hint("merge"), F.col("_digest") == F.col("_d")).where("_first IS NOT NULL AND NOT _id <=> _first")
-    return stored(late.select("_id", "_digest", "_first").distinct(), "revisits")
+    first = stored(narrow.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("_digest", "_d"), "first-pages")
+    out = stored(later(narrow, first).distinct(), "revisits")
+    release(narrow, first)
+    return out
+
+
+def later(narrow: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows (_id, _digest) that are not the first of their digest, with it."""
+    met = narrow.join(first.hint("merge"), F.col("_digest") == F.col("_d")).where("_first IS NOT NULL AND NOT _id <=> _first")
+    return met.select("_id", "_digest", "_first")
 
 
 def digest_of():
@@ -120,7 +128,9 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n": pa.array([n], pa.int64())})
 
-    return stored(map_texts(df, run, "path string, n long"), "monolithic")
+    out = stored(map_texts(df, run, "path string, n long"), "monolithic")
+    release(late)
+    return out
 
 
 def spread(manifest: DataFrame) -> DataFrame:
