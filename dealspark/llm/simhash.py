@@ -89,7 +89,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("_fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks(radius))])
     rows = distinct.select("_fp", F.explode(keys).alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, as every aggregate that a hot key's rows meet here: only between plain exchanges is a hot partition split.
+    shared = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     held = rows.join(shared.hint("merge"), "key")
     k = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("_fp", F.lit(7)), k).cast("int")
@@ -126,7 +127,14 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             tail_g, tail_f = g[last:], fp[last:]
         yield solve(tail_g, tail_f)
 
-    return pairs.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct()
+    out = stored(pairs.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct(), "links")
+    release(shared)
+    return out
+
+
+def star(ends: DataFrame, least: DataFrame) -> DataFrame:
+    """Each end (u, v) with the least of u's neighbourhood, m."""
+    return ends.join(least.hint("merge"), F.col("u") == F.col("w")).select("u", "v", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -144,16 +152,14 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         # Large star: each node links its greater neighbours to the least of its neighbourhood.
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w")
-        large = both.join(low.hint("merge"), F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "w"), "large-least")
+        large = stored(star(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
+        release(edges, low)
         # Small star: each node links its lesser neighbours and itself to the least of them.
-        large = stored(large.where("u <> v"), "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        release(edges)
-        small = large.join(low.hint("merge"), F.col("u") == F.col("w"))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "small-least")
+        small = star(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         edges = stored(small, "small-star")
-        release(large)
+        release(large, low)
         after = mark(edges)
         if after == before:
             break
@@ -161,7 +167,9 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     own = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return own.select(F.col("u").alias("node"), "root").unionByName(own.select(F.col("root").alias("node"), "root").distinct())
+    out = stored(own.select(F.col("u").alias("node"), "root").unionByName(own.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    release(edges)
+    return out
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -170,16 +178,19 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     Equal fingerprints are one node, so copies cost a row of an aggregate. A component whose ids are all null has null.
     """
     nodes = stored(prints.groupBy("_fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = stored(components(links(nodes.select("_fp"), radius)), "roots")
+    found = links(nodes.select("_fp"), radius)
+    roots = components(found)
     rooted = stored(nodes.join(roots.hint("merge"), F.col("_fp") == F.col("node"), "left").select("_fp", "least", F.coalesce("root", "_fp").alias("root")), "rooted")
     best = stored(rooted.groupBy("root").agg(F.min("least").alias("_component"), F.count("*").alias("n")).withColumnRenamed("root", "_root"), "best")
-    release(nodes, roots)
+    release(nodes, found, roots)
     # At most MAX_HOT roots hold more than their share of all nodes: these are broadcast, so no task gets a large component.
     share = max(1000, rooted.count() // MAX_HOT)
     hot, rest = F.broadcast(best.where(F.col("n") > share)), best.where(F.col("n") <= share)
     on = F.col("root") == F.col("_root")
     few = rooted.join(F.broadcast(best.where(F.col("n") > share).select("_root")), on, "left_anti").join(rest.hint("merge"), on)
-    return few.unionByName(rooted.join(hot, on)).select("_fp", "_root", "_component")
+    out = stored(few.unionByName(rooted.join(hot, on)).select("_fp", "_root", "_component"), "classes")
+    release(rooted, best)
+    return out
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -190,7 +201,7 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     adaptive skew join, since only its other side has one row per key.
     """
     prints = stored(fingerprints(documents.select("doc_id", "text"), shingle), "prints")
-    found = stored(classes(prints, radius), "classes").withColumnRenamed("_fp", "_f")
+    found = classes(prints, radius).withColumnRenamed("_fp", "_f")
     out = prints.join(found.hint("merge"), F.col("_fp") == F.col("_f"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
@@ -204,10 +215,12 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     names = [named(c) for c in documents.columns]
     print_of = fingerprints(documents.select("doc_id", F.xxhash64(*names).alias("_row"), "text"), shingle)
     prints = stored(print_of, "prints")
-    found = stored(classes(prints.select("doc_id", "_fp"), radius), "classes").withColumnRenamed("_fp", "_f")
+    held = classes(prints.select("doc_id", "_fp"), radius)
+    found = held.withColumnRenamed("_fp", "_f")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
     firsts = prints.join(found.hint("merge"), F.col("_fp") == F.col("_f")).groupBy("_root").agg(F.min(order).alias("o"))
     firsts = stored(firsts.select(F.col("o.doc_id").alias("_id"), F.col("o._row").alias("_r")), "firsts")
+    release(prints, held)
     # One row per component is left; equal rows are thinned among the kept ones only. The rows are packed, so no name clashes.
     packed = documents.select(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(names)]).alias("doc"), "doc_id", F.xxhash64(*names).alias("_row"))
     kept = packed.join(firsts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")), "left_semi")
