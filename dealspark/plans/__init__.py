@@ -1,5 +1,5 @@
 """The registered queries; importing the package registers all of them."""
 
-from . import landing, profiles, registry
+from . import flows, landing, profiles, registry
 
-__all__ = ["landing", "profiles", "registry"]
+__all__ = ["flows", "landing", "profiles", "registry"]

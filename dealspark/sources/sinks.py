@@ -1,11 +1,10 @@
-"""Sinks: JSON lines, CSV, fan-out of a micro-batch, and publishing a tree by a pointer."""
+"""Sinks: JSON lines, CSV and the fan-out of a micro-batch."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -32,15 +31,3 @@ def foreach_batch_fanout(sinks: list[Callable[[DataFrame, int], None]]) -> Calla
             raise failed[0]
 
     return run
-
-
-def publish(df: DataFrame, root: str) -> str:
-    """Write a new version beside the others, then move the pointer: readers see the old tree or the new one."""
-    path = f"{root}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
-    return path
-
-
-def published(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.json(f"{root}/current").first()["path"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,12 +19,22 @@ def stream_land(raw: DataFrame, at: str = "at", delay: str = "1 hour") -> DataFr
     return raw.withWatermark(at, delay).dropDuplicatesWithinWatermark(["source", "source_id"])
 
 
-def foreach_land(path: str, schema):
-    """A batch writer that appends only what the target has not: a replayed batch is a no-op."""
+def foreach_land(path: str, schema, order: str | None = None):
+    """A batch writer that appends only what the target has not, of several rows of an id the first in order (then that of
+    the least hash): a replayed batch is a no-op. The target is created at the first batch."""
+    import pyspark.sql.types as T
+
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    first = Window.partitionBy("source", "source_id").orderBy(*([order] if order else []), F.xxhash64(*[F.col(f.name) for f in kind]))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        target = batch.sparkSession.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
-        batch.dropDuplicates(["source", "source_id"]).join(target.select("source", "source_id"), ["source", "source_id"], "left_anti").write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+        target = spark.read.schema(kind).option("pathGlobFilter", "*.parquet").parquet(path)
+        one = batch.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        same = (F.col("source").eqNullSafe(F.col("_s"))) & (F.col("source_id").eqNullSafe(F.col("_i")))
+        one.join(target.select(F.col("source").alias("_s"), F.col("source_id").alias("_i")).hint("merge"), same, "left_anti").select(*[f.name for f in kind]).write.mode("append").parquet(path)
 
     return run
 
@@ -64,6 +74,4 @@ def stuck_items(log: DataFrame, as_of: str, minutes: int = 20, cap: int = 500) -
 
 def batches(df: DataFrame, n: int, key: str, order: str) -> DataFrame:
     """Rows numbered into batches of n within a key."""
-    from pyspark.sql import Window
-
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / n))

@@ -30,12 +30,6 @@ def test_fan_out_gives_every_sink_the_batch_and_raises_the_first_failure(spark):
     assert seen == [(7, 3)]
 
 
-def test_published_is_the_newest_whole_version(spark, tmp_path):
-    first = sinks.publish(spark.range(2), str(tmp_path))
-    second = sinks.publish(spark.range(5), str(tmp_path))
-    assert first != second and sinks.published(spark, str(tmp_path)).count() == 5 and spark.read.parquet(first).count() == 2
-
-
 def test_landing_a_batch_again_adds_nothing(spark, tmp_path):
     rows = spark.createDataFrame([("chat", "1", "a"), ("chat", "1", "b"), ("mail", "1", "c")], "source string, source_id string, body string")
     rows.limit(0).write.parquet(f"{tmp_path}/t")
