@@ -22,7 +22,7 @@ K, LEAF_ROWS, LEAF_TERMS = 4, 32, 512
 #: Tables of at most so many rows (counted) are broadcast.
 MAX_BROADCAST = 100_000
 #: Distinct terms, or bytes of the texts that brought them, that a task counts before it sends them on.
-MOST_TERMS, MOST_BYTES = 200_000, 16 << 20
+MOST_TERMS, MOST_BYTES = 500_000, 64 << 20
 #: A-Z to a-z; every byte below 0x80 that is no letter to a blank.
 TO_TERMS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
