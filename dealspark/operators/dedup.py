@@ -18,15 +18,15 @@ def core_of(canonical="canonical", kind="type") -> Column:
 def core_clusters(v: DataFrame, least: int = 3, core: Column | None = None) -> DataFrame:
     """(id, cluster, size): entities of one type with equal name cores; the cluster is its least id."""
     keyed = v.select("id", "type", (core_of() if core is None else core).alias("core")).where(F.length("core") >= least)
-    groups = keyed.groupBy("type", "core").agg(F.min("id").alias("cluster"), F.count("*").alias("size")).where("size > 1")
-    return keyed.join(groups, ["type", "core"]).select("id", "cluster", "size")
+    groups = cut(keyed.groupBy("type", "core").agg(F.min("id").alias("cluster"), F.count("*").alias("size")).where("size > 1"))
+    return keyed.join(groups.hint("merge"), ["type", "core"]).select("id", "cluster", "size")
 
 
 def web_clusters(v: DataFrame) -> DataFrame:
     """(id, cluster): entities (id, website) of one website."""
     keyed = v.select("id", S.web_key("website").alias("web")).where("web IS NOT NULL")
-    groups = keyed.groupBy("web").agg(F.min("id").alias("cluster"), F.count("*").alias("size")).where("size > 1")
-    return keyed.join(groups, "web").select("id", "cluster", "size")
+    groups = cut(keyed.groupBy("web").agg(F.min("id").alias("cluster"), F.count("*").alias("size")).where("size > 1"))
+    return keyed.join(groups.hint("merge"), "web").select("id", "cluster", "size")
 
 
 def person_pairs(people: DataFrame) -> DataFrame:
@@ -97,11 +97,49 @@ def person_links(people: DataFrame) -> DataFrame:
     facing = F.when(F.col("s.side") == "short", "long").when(long, "short").otherwise("")
     rows = rows.select("id", F.col("s.kind").alias("reason"), F.concat_ws("\x1d", "s.kind", "s.what", first, second, common).alias("meet"), role(F.col("s.side"), F.col("own")).alias("role"), role(facing, F.col("other")).alias("facing"))
     rows = cut(rows)
-    heads = rows.groupBy("meet", "role").agg(F.min("id").alias("head")).withColumnsRenamed({"meet": "_meet", "role": "_role"})
+    heads = cut(rows.groupBy("meet", "role").agg(F.min("id").alias("head")).withColumnsRenamed({"meet": "_meet", "role": "_role"}))
     met = rows.join(heads.hint("merge"), (F.col("meet") == F.col("_meet")) & (F.col("facing") == F.col("_role"))).where("id <> head")
     return met.groupBy(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).agg(F.min("reason").alias("reason"))
 
 
+def person_classes(people: DataFrame) -> DataFrame:
+    """(id, class): people alike in name, slug, e-mail, phone, companies, threads and in whether they have edges, by the
+    least id. All that is judged of one is true of the others."""
+    some = lambda c: F.array_sort(F.coalesce(F.array_distinct(F.filter(c, lambda x: x.isNotNull())), F.array().cast("array<string>")))
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z ]", " "), " +"), lambda x: x != "")
+    sign = F.struct(words.alias("toks"), "slug", "email", "phone", some("companies").alias("cos"), some("threads").alias("thr"), (F.coalesce("degree", F.lit(0)) == 0).alias("bare"))
+    rows = cut(people.select("id", sign.alias("sign")))
+    heads = cut(rows.groupBy("sign").agg(F.min("id").alias("class")))
+    return rows.join(heads.hint("merge"), "sign").select("id", "class", "sign")
+
+
+def kept_distinct(people: DataFrame) -> DataFrame:
+    """(a, b, pairs, reason): classes of people (`person_classes`, by their least ids) whose names agree or of which one's
+    begins the other's, and why they are not one person; pairs says of how many pairs of people that holds. A class of
+    several that fails against itself is a row with a = b. Names without a word are never compared.
+
+    Classes meet on a name and on the beginnings of longer names, both sides written, so that a common name is split among
+    tasks; people are never paired, only their classes."""
+    c = cut(person_classes(people).groupBy("class", "sign").agg(F.count("*").alias("n")).select(F.col("class").alias("id"), "n", "sign.*").where(F.size("toks") > 0))
+    name = F.array_join("toks", " ")
+    short = cut(c.withColumn("key", name).select("key", F.struct(*c.columns).alias("x")))
+    long = cut(c.withColumn("key", F.explode(F.concat(prefixes(F.col("toks")), F.array(name)))).select("key", F.struct(*c.columns).alias("y")))
+    same = F.size("x.toks") == F.size("y.toks")
+    met = short.join(long.hint("merge"), "key").where(~same | (F.col("x.id") < F.col("y.id")) | ((F.col("x.id") == F.col("y.id")) & (F.col("x.n") > 1)))
+    both = lambda k: F.col(f"x.{k}").isNotNull() & F.col(f"y.{k}").isNotNull()
+    differ = lambda k: both(k) & (F.col(f"x.{k}") != F.col(f"y.{k}"))
+    equal = lambda k: both(k) & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    co, thr = F.arrays_overlap("x.cos", "y.cos"), F.arrays_overlap("x.thr", "y.thr")
+    stub = ~same & F.col("x.slug").isNull() & F.col("x.email").isNull() & co & (thr | F.col("x.bare"))
+    alike = same & F.when(F.size("x.toks") > 1, co | thr).otherwise(co & thr)
+    reason = (
+        F.when(differ("slug"), "different slug").when(differ("email"), "different email").when(differ("phone"), "different phone")
+        .when(equal("slug") | equal("email") | equal("phone") | stub | alike, F.lit(None)).when(same, "same name but no shared company or thread").otherwise("unverified (name only)")
+    )
+    pairs = F.when(F.col("x.id") == F.col("y.id"), F.col("x.n") * (F.col("x.n") - 1) / 2).otherwise(F.col("x.n") * F.col("y.n")).cast("long")
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), pairs.alias("pairs"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def person_clusters(people: DataFrame) -> DataFrame:
     """(id, cluster): people connected by person_links; a cluster that comes to hold two slugs is left alone."""
     found = components(person_links(people).select("a", "b"))
@@ -115,7 +153,7 @@ def company_links(companies: DataFrame, least: int = 4) -> DataFrame:
 
     Equal names are one node. Of cores with several names each name's substrings meet the names on an equi join."""
     web = companies.select("id", S.web_key("website").alias("web")).where("web IS NOT NULL")
-    by_web = web.join(web.groupBy("web").agg(F.min("id").alias("head")).hint("merge"), "web").select("id", "head")
+    by_web = web.join(cut(web.groupBy("web").agg(F.min("id").alias("head"))).hint("merge"), "web").select("id", "head")
     own = companies.select("id", F.lower("canonical").alias("low"), S.core_key("canonical").alias("core"), "aliases").where(F.length("core") >= least)
     heads = cut(own.groupBy("core", "low").agg(F.min("id").alias("head")))
     equal = own.join(heads.hint("merge"), ["core", "low"]).select("id", "head")
@@ -148,12 +186,27 @@ def components(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def pick_survivor(clusters: DataFrame, degree: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, keeper): in each cluster the entity of the greatest degree, then the shortest name, then the least id."""
-    full = clusters.join(degree, "id", "left").join(names.select("id", "canonical"), "id")
-    order = (F.coalesce("degree", F.lit(0)).desc(), F.length("canonical"), F.col("id"))
-    first = full.withColumn("n", F.row_number().over(Window.partitionBy("cluster").orderBy(*order))).where("n = 1").select("cluster", F.col("id").alias("keeper"))
-    return clusters.join(first, "cluster").select("id", "keeper")
+#: What decides who of a cluster stays, in order; the least id after all. Of (degree, profile, canonical).
+POLICIES = {
+    "company": lambda: (F.coalesce("degree", F.lit(0)), F.col("profile")),
+    "person": lambda: (F.col("profile"), F.size(F.filter(F.split(F.coalesce("canonical", F.lit("")), " +"), lambda x: x != "")), F.coalesce("degree", F.lit(0))),
+    "core": lambda: (-F.length(F.coalesce("canonical", F.lit(""))), F.coalesce("degree", F.lit(0))),
+    "degree": lambda: (F.coalesce("degree", F.lit(0)), -F.length(F.coalesce("canonical", F.lit("")))),
+}
+
+
+def pick_survivor(clusters: DataFrame, degree: DataFrame, names: DataFrame, policy: str = "degree", profiles: DataFrame | None = None) -> DataFrame:
+    """(id, keeper) of clusters (id, cluster) by a policy of POLICIES: companies keep the best connected, then one with a
+    profile (profiles: id); people one with a profile, then the fullest name, then the best connected; equal cores the
+    shortest name; `degree` the best connected, then the shortest name. The best row is an aggregate, so a hot cluster is a
+    row a task, and it is written before its members meet it."""
+    has = profiles.select("id").distinct().withColumn("profile", F.lit(1)) if profiles is not None else None
+    full = clusters.join(degree.hint("merge"), "id", "left").join(names.select("id", "canonical").hint("merge"), "id")
+    full = full.join(has.hint("merge"), "id", "left") if has is not None else full.withColumn("profile", F.lit(None).cast("int"))
+    full = full.withColumn("profile", F.coalesce("profile", F.lit(0)))
+    rank = F.struct(*[(-c).alias(f"r{i}") for i, c in enumerate(POLICIES[policy]())], "id")
+    first = cut(full.groupBy("cluster").agg(F.min(rank)["id"].alias("keeper")))
+    return clusters.join(first.hint("merge"), "cluster").select("id", "keeper")
 
 
 def repoint(e: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -202,5 +255,5 @@ def dedup_plan(mapping: DataFrame, reason: str) -> DataFrame:
 
 def inherit_notes(items: DataFrame, by: str = "content_hash") -> DataFrame:
     """(id, original): of items with one hash all take what the least id has; an item without a hash keeps its own."""
-    first = items.where(F.col(by).isNotNull()).groupBy(by).agg(F.min("id").alias("original"))
+    first = cut(items.where(F.col(by).isNotNull()).groupBy(by).agg(F.min("id").alias("original")))
     return items.join(first.hint("merge"), by, "left").select("id", F.coalesce("original", "id").alias("original"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from .checkpoints import cut
+from .dedup import components
 
 
 def neighbors(v: DataFrame, e: DataFrame, ids: DataFrame) -> DataFrame:
@@ -64,18 +66,61 @@ def coinvestors_of(portfolio: DataFrame, investor: str) -> DataFrame:
 
 
 def investor_leaderboard(portfolio: DataFrame, companies: DataFrame) -> DataFrame:
+    """(investor, portfolio, sectors): the number of companies and their sectors. The companies themselves, whose lists
+    grow with an investor, are `merge_lists` blocks or rows of the portfolio."""
     own = portfolio.select(F.col("src").alias("investor"), F.col("dst").alias("id")).join(companies.select("id", "sector"), "id")
     return own.groupBy("investor").agg(F.count("*").alias("portfolio"), F.array_join(F.array_sort(F.collect_set("sector")), ", ").alias("sectors"))
 
 
-def intro_paths(ties: DataFrame, team: DataFrame, home: DataFrame, target: DataFrame, via: str) -> DataFrame:
-    """Warm intros: a home person and a person of the target share a node `via` by ties (src, dst).
+def ordered_companies(portfolio: DataFrame, companies: DataFrame, size: int = 10_000) -> DataFrame:
+    """(investor, block, companies): every investor's companies by name, in lists of `size` numbered from 0."""
+    own = portfolio.select(F.col("src").alias("investor"), F.col("dst").alias("id")).distinct().join(companies.select("id", "canonical").hint("merge"), "id")
+    n = F.row_number().over(Window.partitionBy("investor").orderBy("canonical", "id"))
+    ranked = own.withColumn("n", n).withColumn("block", F.floor((F.col("n") - 1) / size))
+    return ranked.groupBy("investor", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "canonical"))), lambda x: x["canonical"]).alias("companies"))
+
+
+def intro_paths(ties: DataFrame, works: DataFrame, people: DataFrame, nodes: DataFrame, target: DataFrame, home: DataFrame, most: int | None = None) -> DataFrame:
+    """(connector_id, connector, via, contact_id, contact, is_home): warm intros to the companies target (id).
+
+    A contact works at the target; it and the connector are tied (ties: src, dst) to one of nodes (id, canonical), which is
+    not the target itself; the connector does not work at the target. Connectors who work at one of home (id) are flagged
+    and come first. With `most` the first so many rows by flag, name, id, node and contact: as every connector has a row,
+    they are those of the first so many connectors, which are found before any path is made. Repeated ties are one path."""
+    ids = lambda df, name: df.select(F.col("id").alias(name)).distinct().hint("merge")
+    staff = works.join(ids(target, "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    own = works.join(ids(home, "dst"), "dst", "left_semi").select(F.col("src").alias("connector_id")).distinct().withColumn("is_home", F.lit(True))
+    at = ties.join(ids(target, "dst"), "dst", "left_anti").join(ids(nodes, "dst"), "dst", "left_semi").select("src", "dst").distinct()
+    bridges = cut(at.join(ids(staff, "src"), "src", "left_semi").select(F.col("src").alias("contact_id"), F.col("dst").alias("shared")))
+    ends = at.join(ids(staff, "src"), "src", "left_anti").select(F.col("src").alias("connector_id"), F.col("dst").alias("shared"))
+    names = lambda who: people.select(F.col("id").alias(f"{who}_id"), F.col("canonical").alias(who)).hint("merge")
+    met = ends.join(bridges.select("shared").distinct().hint("merge"), "shared", "left_semi").select("connector_id").distinct()
+    heads = met.join(names("connector"), "connector_id").join(own.hint("merge"), "connector_id", "left").withColumn("is_home", F.coalesce("is_home", F.lit(False)))
+    if most is not None:
+        heads = F.broadcast(cut(heads.orderBy(F.desc("is_home"), "connector", "connector_id").limit(most)))  # `most` rows
+    else:
+        heads = heads.hint("merge")
+    out = ends.join(heads, "connector_id").join(bridges.hint("merge"), "shared").join(names("contact"), "contact_id")
+    out = out.join(nodes.select(F.col("id").alias("shared"), F.col("canonical").alias("via")).hint("merge"), "shared").select("connector_id", "connector", "via", "contact_id", "contact", "is_home").distinct()
+    return out if most is None else out.orderBy(F.desc("is_home"), "connector", "connector_id", "via", "contact_id").limit(most)
+
+
+def company_investors(portfolio: DataFrame, investors: DataFrame, companies: DataFrame) -> DataFrame:
+    """(company_id, investor_id, investor, portfolio): who invested in companies (id), and in how many companies they did."""
+    p = portfolio.select("src", "dst").distinct()
+    own = p.join(companies.select(F.col("id").alias("dst")).distinct().hint("merge"), "dst", "left_semi").select(F.col("dst").alias("company_id"), F.col("src").alias("investor_id"))
+    sizes = p.groupBy(F.col("src").alias("investor_id")).agg(F.count("*").alias("portfolio"))
+    return own.join(sizes.hint("merge"), "investor_id").join(investors.select(F.col("id").alias("investor_id"), F.col("canonical").alias("investor")).hint("merge"), "investor_id").select("company_id", "investor_id", "investor", "portfolio")
+
 
-    home, target: (id) of people. Both sides are cut down first, then joined on the shared node."""
-    a = ties.join(home.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("connector"), F.col("dst").alias("shared"))
-    b = ties.join(target.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("contact"), F.col("dst").alias("shared"))
-    out = a.join(b, "shared").where("connector <> contact").join(team.select(F.col("id").alias("connector"), F.col("canonical").alias("connector_name")), "connector")
-    return out.join(home.select(F.col("id").alias("contact")), "contact", "left_anti").select("connector", "connector_name", "contact", "shared", F.lit(via).alias("via")).distinct()
+def referrer_paths(referred: DataFrame, people: DataFrame, works: DataFrame, home: DataFrame) -> DataFrame:
+    """(company, referrer, person_id, is_home): who referred each company (company, referrer; blank: none), the least person
+    of that name, if there is one, and whether they work at home (id)."""
+    key = lambda c: F.lower(F.trim(c))
+    one = people.groupBy(key("canonical").alias("key")).agg(F.min("id").alias("person_id"))
+    own = works.join(home.select(F.col("id").alias("dst")).distinct().hint("merge"), "dst", "left_semi").select(F.col("src").alias("person_id")).distinct().withColumn("is_home", F.lit(True))
+    rows = referred.where(F.trim("referrer") != "").select("company", F.trim("referrer").alias("referrer"), key("referrer").alias("key"))
+    return rows.join(one.hint("merge"), "key", "left").join(own.hint("merge"), "person_id", "left").select("company", "referrer", "person_id", F.coalesce("is_home", F.lit(False)).alias("is_home"))
 
 
 def colleagues(works: DataFrame, person: str) -> DataFrame:
@@ -89,13 +134,29 @@ def company_people(works: DataFrame, people: DataFrame, companies: DataFrame) ->
     return own.groupBy(F.col("src").alias("id")).agg(F.bool_or("current").alias("current"), F.min("start").alias("start")).join(people.select("id", "canonical"), "id")
 
 
-def company_cluster(companies: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
-    """Ids whose name is `name`, that have it as an alias, or whose name is an alias of it: a union of equi joins."""
-    low = F.lower(F.lit(name))
-    own = companies.where(F.lower("canonical") == low).select("id")
-    by_alias = aliases.where(F.lower("alias") == low).select("id")
-    reverse = aliases.join(own, "id").select(F.lower("alias").alias("key")).join(companies.select("id", F.lower("canonical").alias("key")), "key").select("id")
-    return own.unionByName(by_alias).unionByName(reverse).distinct()
+def company_groups(companies: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, cluster) of all companies (id, canonical, website): those of one website, of one name, or of which one's alias
+    (id, alias) is the other's name, in any case, and whatever follows from these; alone, its own id.
+
+    Websites and names are one table of keys; each company of a key meets the least id that owns it, so the links are as
+    many as keys, whatever their groups. An alias that is no company's name links nothing."""
+    names = companies.select("id", F.lower(F.trim("canonical")).alias("key"))
+    owners = names.unionByName(companies.select("id", F.concat(F.lit("\x01"), S.web_key("website")).alias("key"))).where("key <> ''")
+    owners = cut(owners.distinct())
+    heads = cut(owners.groupBy("key").agg(F.min("id").alias("head")))
+    other = aliases.select("id", F.lower(F.trim("alias")).alias("key")).where("key <> ''").distinct()
+    links = owners.unionByName(other).join(heads.hint("merge"), "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    found = components(links)
+    return companies.select("id").distinct().join(found.hint("merge"), "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+
+
+def group_people(works: DataFrame, people: DataFrame, groups: DataFrame) -> DataFrame:
+    """(cluster, id, canonical, current, tenure): people of each company cluster, current if any stint is (an unknown one
+    is), and the last of their tenures 'start – stop' as text, null if no date is known."""
+    span = F.nullif(F.concat_ws(" – ", F.col("start").cast("string"), F.col("stop").cast("string")), F.lit(""))
+    own = works.join(groups.select(F.col("id").alias("dst"), "cluster").hint("merge"), "dst")
+    by = own.groupBy("cluster", F.col("src").alias("id")).agg(F.bool_or(F.coalesce("current", F.lit(True))).alias("current"), F.max(span).alias("tenure"))
+    return by.join(people.select("id", "canonical").hint("merge"), "id").select("cluster", "id", "canonical", "current", "tenure")
 
 
 def team_split(works: DataFrame) -> DataFrame:

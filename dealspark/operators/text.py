@@ -1,15 +1,11 @@
-"""Chunks, document assembly, and exact vector retrieval."""
+"""Chunks and document assembly."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
-
 
 def packed(text: str, size: int, sep: str) -> list[str]:
     """One text's chunks. Linear in the text, whatever the number of its paragraphs."""
@@ -63,72 +59,6 @@ def synthetic_chunk(name, summary, metrics, cap: int = 6000) -> Column:
     return F.substring(F.concat_ws("\n", name, summary, metrics), 1, cap)
 
 
-def cosine(a, b) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    a, b = F.col(a), F.col(b)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """The k nearest rows of vectors (vec_id, embedding) to each row of queries (query_id, q), by exact cosine distance.
-
-    Queries come to the driver in blocks of about `block` rows by hash, and each block is broadcast and meets all rows;
-    a task keeps k rows of a query, and a window ranks those of all tasks. Rows without a distance come last."""
-    spark, parts = vectors.sparkSession, max(1, -(-queries.count() // block))
-    rows, out = vectors.select("vec_id", "embedding"), None
-    for i in range(parts):
-        own = queries.select("query_id", "q").where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).where("q IS NOT NULL").collect()
-        if own:
-            shared = spark.sparkContext.broadcast(([r["query_id"] for r in own], np.array([r["q"] for r in own], dtype=np.float64)))
-            few = rows.mapInArrow(_nearest(shared, k), "query_id long, vec_id long, distance double")
-            out = few if out is None else out.unionByName(few)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, distance double")
-    order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "distance", "rank")
-
-
-def _nearest(shared, k: int):
-    def run(batches):
-        ids, q = shared.value
-        norm = np.sqrt((q * q).sum(axis=1))
-        best_d, best_v = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                own = part.column(0).to_numpy(zero_copy_only=False)
-                v = np.array([[np.nan] * q.shape[1] if x is None else x for x in part.column(1).to_pylist()], dtype=np.float64)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = 1 - (q @ v.T) / (norm[:, None] * np.sqrt((v * v).sum(axis=1))[None, :])
-                d = np.where(np.isfinite(d), np.floor(d * 1000 + 0.5) / 1000 + 0.0, np.inf)
-                best_d = np.concatenate([best_d, d], axis=1)
-                best_v = np.concatenate([best_v, np.broadcast_to(own, d.shape)], axis=1)
-                order = np.lexsort((best_v, best_d), axis=1)[:, :k]
-                best_d, best_v = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_v, order, 1)
-        n = best_d.shape[1]
-        if n:
-            flat = best_d.ravel()
-            columns = [pa.array(np.repeat(np.array(ids, dtype=np.int64), n)), pa.array(best_v.ravel()), pa.array(flat, mask=np.isinf(flat))]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "distance"])
-
-    return run
-
-
-def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
-    each = vectors.select(key, F.posexplode("embedding").alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
-
-
-def comparables(means: DataFrame, key: str, k: int) -> DataFrame:
-    """(a, b, distance, rank): the k nearest others of each entity of mean vectors, by the exact block search of `knn`;
-    ties by key. Entities are numbered in the order of their keys and written first."""
-    rows = cut(means.select(F.col(key).alias("name"), "embedding").orderBy("name").withColumn("vec_id", F.monotonically_increasing_id()))
-    near = knn(rows.select("vec_id", "embedding"), rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k + 1)
-    names = lambda at, name: rows.select(F.col("vec_id").alias(at), F.col("name").alias(name)).hint("merge")
-    others = near.where("query_id <> vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k)
-    return others.join(names("query_id", "a"), "query_id").join(names("vec_id", "b"), "vec_id").select("a", "b", "distance", "rank")
-
-
 def dedup_sources(hits: DataFrame) -> DataFrame:
     """The best hit (question, company, title, page, distance)."""
     n = F.row_number().over(Window.partitionBy("question", "company", "title", "page").orderBy("distance"))

@@ -48,9 +48,10 @@ class Tables:
         return self._orders_of(F.col("l_returnflag") == "R").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst")).distinct()
 
     def works_at(self) -> DataFrame:
-        """Person to employer, with whether the job is current and its start."""
-        rows = self._orders_of((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 48))
-        return rows.groupBy(F.concat(F.lit("p"), "o_custkey").alias("src"), F.concat(F.lit("g"), "l_suppkey").alias("dst")).agg(F.bool_or(F.col("l_linestatus") == "O").alias("current"), F.min("l_shipdate").cast("date").alias("start"))
+        """Person to employer, with whether the job is current, its start and, if it is past, its stop."""
+        rows = self._orders_of(F.col("l_returnflag") == "R").groupBy(F.concat(F.lit("p"), "o_custkey").alias("src"), F.concat(F.lit("g"), "l_suppkey").alias("dst"))
+        out = rows.agg(F.bool_or(F.col("l_linestatus") == "O").alias("current"), F.min("l_shipdate").cast("date").alias("start"), F.max("l_shipdate").cast("date").alias("stop"))
+        return out.withColumn("stop", F.when(~F.col("current"), F.col("stop")))
 
     def studied_at(self) -> DataFrame:
         return self.customer.select(F.concat(F.lit("p"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
@@ -108,7 +109,7 @@ SQL = {
     "deal": "SELECT 'd' || o_orderkey AS id, 'deal' AS type, 'deal ' || o_orderkey AS canonical, CAST(NULL AS VARCHAR) AS sector FROM orders",
     "entity": "SELECT * FROM company UNION ALL SELECT * FROM investor UNION ALL SELECT * FROM employer UNION ALL SELECT * FROM school UNION ALL SELECT * FROM person UNION ALL SELECT * FROM deal",
     "invests_in": "SELECT DISTINCT 's' || l_suppkey AS src, 'c' || o_custkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'",
-    "works_at": "SELECT 'p' || o_custkey AS src, 'g' || l_suppkey AS dst, bool_or(l_linestatus = 'O') AS current, CAST(min(l_shipdate) AS DATE) AS start FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 48 GROUP BY 1, 2",
+    "works_at": "SELECT 'p' || o_custkey AS src, 'g' || l_suppkey AS dst, bool_or(l_linestatus = 'O') AS current, CAST(min(l_shipdate) AS DATE) AS start, CASE WHEN NOT bool_or(l_linestatus = 'O') THEN CAST(max(l_shipdate) AS DATE) END AS stop FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1, 2",
     "studied_at": "SELECT 'p' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer",
     "involves": "SELECT 'd' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders",
     "edge": "SELECT src, 'invests_in' AS rel, dst FROM invests_in UNION ALL SELECT src, 'works_at', dst FROM works_at UNION ALL SELECT src, 'studied_at', dst FROM studied_at UNION ALL SELECT src, 'involves', dst FROM involves",
@@ -126,4 +127,7 @@ def sql(body: str, *names: str) -> str:
         return body
     wanted = list(dict.fromkeys(x for n in names for x in [*NEEDS.get(n, []), n]))
     ctes = ", ".join(f"{n} AS ({SQL[n]})" for n in wanted)
-    return f"WITH {ctes}, {body[5:]}" if body.startswith("WITH ") else f"WITH {ctes} {body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{ctes}, {body[len(head):]}"
+    return f"WITH {ctes} {body}"

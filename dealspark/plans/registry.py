@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import dedup, finance, gold, graph, knowledge, normalize, text, upsert
+from ..operators import checkpoints, dedup, finance, gold, graph, knowledge, normalize, search, text, upsert
 from ..sources import raw
 from ..streaming import streams
 from .derived import Tables, sql
@@ -165,9 +165,9 @@ def digest_due_soon(t):
     return section(t, "due_soon").select("id", "company")
 
 
-@query(f"WITH {LATEST} SELECT company_name FROM nc WHERE first_seen BETWEEN DATE '{AS_OF}' - 7 AND DATE '{AS_OF}' ORDER BY first_seen DESC, company_name LIMIT 25", *CARD)
+@query(f"WITH {LATEST} SELECT company_name FROM nc WHERE first_seen BETWEEN DATE '1995-01-20' - 7 AND DATE '1995-01-20' ORDER BY first_seen DESC, company_name LIMIT 25", *CARD)
 def digest_new(t):
-    return section(t, "new").select("company_name")
+    return gold.digest(tasks(t), card(t), gold.note_counts(t.note()), "1995-01-20")["new"].select("company_name")
 
 
 @query(f"WITH {LATEST} SELECT company_name FROM card WHERE has_deal AND last_interaction < DATE '{AS_OF}' - 21 ORDER BY last_interaction, company_name LIMIT 20", *CARD)
@@ -299,9 +299,10 @@ def export_graph(t):
     return graph.export_graph(t.entity(), t.edge())
 
 
-@query("SELECT v.* FROM entity v WHERE type IN ('org', 'school', 'company') AND NOT EXISTS (SELECT 1 FROM edge WHERE src = v.id OR dst = v.id)", "entity", "edge")
+@query("SELECT v.* FROM entity v WHERE type IN ('org', 'school', 'company') AND NOT EXISTS (SELECT 1 FROM edge WHERE rel <> 'involves' AND rel <> 'studied_at' AND (src = v.id OR dst = v.id))", "entity", "edge")
 def orphan_nodes(t):
-    return graph.orphan_nodes(t.entity(), t.edge(), ["org", "school", "company"])
+    """Nodes that no investment and no job touches: all schools, and some companies."""
+    return graph.orphan_nodes(t.entity(), t.edge().where("rel NOT IN ('involves', 'studied_at')"), ["org", "school", "company"])
 
 
 @query("SELECT e.* FROM edge e JOIN entity a ON a.id = e.src JOIN entity b ON b.id = e.dst WHERE a.type IN ('person', 'org') AND b.type IN ('person', 'org') AND rel IN ('works_at', 'studied_at')", "entity", "edge")
@@ -309,24 +310,70 @@ def filter_graph(t):
     return graph.filter_graph(t.entity(), t.edge(), ["person", "org"], ["works_at", "studied_at"]).select("src", "rel", "dst")
 
 
-HOME = "home AS (SELECT DISTINCT src AS id FROM works_at WHERE dst = 'g1'), target AS (SELECT DISTINCT src AS id FROM works_at WHERE dst = 'g2')"
+#: Intros to the second employer; the first is the home firm. The lists show the first fifteen paths, as the views do.
+def intro_sql(ties: str, nodes: str) -> str:
+    return (
+        "WITH staff AS (SELECT DISTINCT src FROM works_at WHERE dst = 'g2'), own AS (SELECT DISTINCT src FROM works_at WHERE dst = 'g1') "
+        f"SELECT DISTINCT c.src AS connector_id, pc.canonical AS connector, v.canonical AS via, b.src AS contact_id, pb.canonical AS contact, c.src IN (SELECT src FROM own) AS is_home "
+        f"FROM {ties} b JOIN {ties} c ON c.dst = b.dst AND c.src <> b.src JOIN person pb ON pb.id = b.src JOIN person pc ON pc.id = c.src JOIN {nodes} v ON v.id = b.dst "
+        "WHERE b.src IN (SELECT src FROM staff) AND b.dst <> 'g2' AND c.src NOT IN (SELECT src FROM staff) ORDER BY is_home DESC, connector, connector_id, via, contact_id LIMIT 15"
+    )
 
 
-def sides(t: Tables) -> tuple[DataFrame, DataFrame]:
-    w = t.works_at()
-    return w.where("dst = 'g1'").select(F.col("src").alias("id")).distinct(), w.where("dst = 'g2'").select(F.col("src").alias("id")).distinct()
+def firm(t: Tables, ident: str) -> DataFrame:
+    return t.employer().where(F.col("id") == ident).select("id")
 
 
-@query(f"WITH {HOME} SELECT DISTINCT a.src AS connector, p.canonical AS connector_name, b.src AS contact, a.dst AS shared, 'employer' AS via FROM works_at a JOIN works_at b ON a.dst = b.dst AND a.src <> b.src JOIN person p ON p.id = a.src WHERE a.src IN (SELECT id FROM home) AND b.src IN (SELECT id FROM target) AND b.src NOT IN (SELECT id FROM home)", "works_at", "person")
+@query(intro_sql("works_at", "employer"), "works_at", "person", "employer")
 def intro_employer(t):
-    home, target = sides(t)
-    return graph.intro_paths(t.works_at(), t.person(), home, target, "employer")
+    w = checkpoints.cut(t.works_at())
+    return graph.intro_paths(w, w, t.person(), t.employer(), firm(t, "g2"), firm(t, "g1"), 15)
 
 
-@query(f"WITH {HOME} SELECT DISTINCT a.src AS connector, p.canonical AS connector_name, b.src AS contact, a.dst AS shared, 'school' AS via FROM studied_at a JOIN studied_at b ON a.dst = b.dst AND a.src <> b.src JOIN person p ON p.id = a.src WHERE a.src IN (SELECT id FROM home) AND b.src IN (SELECT id FROM target) AND b.src NOT IN (SELECT id FROM home)", "works_at", "studied_at", "person")
+@query(intro_sql("studied_at", "school"), "works_at", "studied_at", "person", "school")
 def intro_school(t):
-    home, target = sides(t)
-    return graph.intro_paths(t.studied_at(), t.person(), home, target, "school")
+    return graph.intro_paths(t.studied_at(), checkpoints.cut(t.works_at()), t.person(), t.school(), firm(t, "g2"), firm(t, "g1"), 15)
+
+
+@query("WITH n AS (SELECT src, count(*) AS portfolio FROM invests_in GROUP BY src) SELECT e.dst AS company_id, e.src AS investor_id, v.canonical AS investor, portfolio FROM invests_in e JOIN n USING (src) JOIN investor v ON v.id = e.src JOIN company c ON c.id = e.dst WHERE c.sector = 'BUILDING'", "invests_in", "investor", "company")
+def intro_investor(t):
+    """Who could introduce to the companies of a sector as an investor, with how much else they hold."""
+    return graph.company_investors(t.invests_in(), t.investor(), t.company().where("sector = 'BUILDING'"))
+
+
+@query("WITH r AS (SELECT c_name AS company, 'Customer#' || lpad(CAST(c_custkey * 7 % 1000 AS VARCHAR), 9, '0') AS referrer FROM customer WHERE c_custkey % 3 > 0), p AS (SELECT canonical, min(id) AS id FROM person GROUP BY 1), own AS (SELECT DISTINCT src FROM works_at WHERE dst = 'g1') SELECT company, referrer, p.id AS person_id, coalesce(p.id IN (SELECT src FROM own), false) AS is_home FROM r LEFT JOIN p ON p.canonical = r.referrer", "person", "works_at")
+def intro_referrer(t):
+    k = F.col("c_custkey")
+    referred = t.customer.select(F.col("c_name").alias("company"), F.when(k % 3 > 0, F.concat(F.lit(" CUSTOMER#"), F.lpad((k * 7 % 1000).cast("string"), 9, "0"))).otherwise(" ").alias("referrer"))
+    return graph.referrer_paths(referred, t.person(), t.works_at(), firm(t, "g1")).withColumn("referrer", F.replace("referrer", F.lit("CUSTOMER"), F.lit("Customer")))
+
+
+@query("SELECT src AS investor, 0 AS block, list(canonical ORDER BY canonical, company.id) AS companies FROM invests_in JOIN company ON company.id = dst GROUP BY src", "invests_in", "company")
+def investor_companies(t):
+    return graph.ordered_companies(t.invests_in(), t.company()).withColumn("block", F.col("block").cast("int"))
+
+
+#: Employers as companies with websites shared by some, and the next one's name as an alias of every seventh.
+SITES = "sites AS (SELECT 'g' || s_suppkey AS id, s_name AS canonical, CASE WHEN s_suppkey % 5 = 0 THEN 'f' || s_suppkey % 20 END AS website, s_suppkey AS k FROM supplier), al AS (SELECT a.id, b.canonical AS alias FROM sites a JOIN sites b ON b.k = a.k + 1 WHERE a.k % 7 = 0)"
+GROUPED = f"{SITES}, ln AS (SELECT a.id AS a, b.id AS b FROM sites a JOIN sites b ON a.id <> b.id AND a.website = b.website UNION SELECT al.id, s.id FROM al JOIN sites s ON s.canonical = al.alias UNION SELECT s.id, al.id FROM al JOIN sites s ON s.canonical = al.alias), rc AS (SELECT id AS a, id AS b FROM sites UNION SELECT rc.a, ln.b FROM rc JOIN ln ON ln.a = rc.b), cl AS (SELECT a AS id, min(b) AS cluster FROM rc GROUP BY a)"
+
+
+def grouped(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    sites = t.supplier.select(F.concat(F.lit("g"), k).alias("id"), F.col("s_name").alias("canonical"), F.when(k % 5 == 0, F.concat(F.lit("https://www.f"), k % 20, F.lit("/"))).alias("website"), k.alias("k"))
+    aliases = sites.where("k % 7 = 0").select("id", (F.col("k") + 1).alias("k")).join(sites.select("k", F.upper("canonical").alias("alias")).hint("merge"), "k").select("id", "alias")
+    return graph.company_groups(sites, aliases)
+
+
+@query(f"WITH RECURSIVE {GROUPED} SELECT id, cluster FROM cl")
+def company_groups(t):
+    return grouped(t)
+
+
+@query(f"WITH RECURSIVE {GROUPED} SELECT cluster, w.src AS id, min(p.canonical) AS canonical, bool_or(current) AS current, max(concat_ws(' – ', CAST(start AS VARCHAR), CAST(stop AS VARCHAR))) AS tenure FROM works_at w JOIN cl ON cl.id = w.dst JOIN person p ON p.id = w.src GROUP BY 1, 2", "works_at", "person")
+def group_people(t):
+    """People of every company with its duplicates, and their tenure."""
+    return graph.group_people(t.works_at(), t.person(), grouped(t))
 
 
 @query("WITH x AS (SELECT min(src) AS p FROM works_at) SELECT b.src AS person, count(*) AS shared, bool_or(a.current AND b.current) AS both_current FROM works_at a JOIN works_at b ON a.dst = b.dst AND b.src <> a.src WHERE a.src = 'p1' GROUP BY b.src", "works_at")
@@ -483,13 +530,30 @@ def text_layer(t):
 
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5), d AS (SELECT query_id, vec_id, round(1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 3) + 0.0::DOUBLE AS distance FROM embeddings, q) SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 8")
 def knn(t):
-    return text.knn(t.embeddings, t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 8)
+    return search.knn(t.embeddings, t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 8)
 
 
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id, round(1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 3) + 0.0::DOUBLE AS distance FROM embeddings, q) SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 8")
 def knn_hundredths(t):
     """The whole search: every row whose id is divisible by 100 is a query."""
-    return text.knn(t.embeddings, t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 8)
+    return search.knn(t.embeddings, t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 8)
+
+
+#: A vector's document is the envelope of its id; those of src3 are not indexed, every third has an attachment.
+SEEN = "e AS (SELECT e.* FROM embeddings e JOIN documents ON doc_id = vec_id WHERE source <> 'src3')"
+
+
+@query(f"WITH {SEEN}, q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id, round(1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 3) + 0.0::DOUBLE AS distance FROM e, q), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 8) "
+       "SELECT query_id, vec_id, distance, rank, lang AS company, CASE WHEN vec_id % 3 = 0 THEN 'pdf' ELSE source END AS source, CASE WHEN vec_id % 3 = 0 THEN 'deck' ELSE source END AS kind, 'ref' || vec_id AS ref, lang || CASE WHEN vec_id % 3 = 0 THEN ' — Deck p.' || (vec_id % 9 + 1) ELSE ' — ' || source || ' paper ' || vec_id END AS cite FROM h JOIN documents ON doc_id = vec_id")
+def retrieved(t):
+    """The eight nearest indexed chunks of every hundredth vector, with where they come from."""
+    third, ident = F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")
+    d = t.documents
+    chunks = d.select(F.col("doc_id").alias("vec_id"), F.col("doc_id").alias("envelope_id"), (F.col("doc_id") % 9 + 1).alias("page"), "text", F.when(third, F.concat(F.lit("ref"), ident)).alias("attachment_ref"))
+    envelopes = d.select(F.col("doc_id").alias("envelope_id"), F.col("lang").alias("company"), F.concat(F.col("source"), F.lit("\npaper "), ident).alias("title"), F.when(third, "pdf").otherwise(F.col("source")).alias("source"), F.when(F.col("source") != "src3", "indexed").alias("status"), F.concat(F.lit("ref"), ident).alias("ref"))
+    seen = t.embeddings.join(envelopes.where("status = 'indexed'").select(F.col("envelope_id").alias("vec_id")).hint("merge"), "vec_id", "left_semi")
+    hits = search.knn(seen, t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 8)
+    return search.retrieved(hits, chunks, envelopes).drop("title", "page", "text")
 
 
 @query(
@@ -497,7 +561,7 @@ def knn_hundredths(t):
     "SELECT a.label AS a, b.label AS b, floor((1 - list_cosine_similarity(a.e, b.e)) * 1000 + 0.5) / 1000 AS distance, row_number() OVER (PARTITION BY a.label ORDER BY floor((1 - list_cosine_similarity(a.e, b.e)) * 1000 + 0.5), b.label) AS rank FROM m a JOIN m b ON a.label <> b.label QUALIFY rank <= 3"
 )
 def comparables(t):
-    return text.comparables(text.mean_vectors(t.embeddings, "label"), "label", 3)
+    return search.comparables(search.mean_vectors(t.embeddings, "label"), "label", 3)
 
 
 # Scalars ------------------------------------------------------------------------------------------------------------
@@ -588,9 +652,12 @@ def core_clusters(t):
     return dedup.core_clusters(t.part.select(F.concat(F.lit("k"), "p_partkey").alias("id"), F.lit("org").alias("type"), F.col("p_name").alias("canonical")))
 
 
-@query("WITH c AS (SELECT page_id AS id, regexp_replace(regexp_replace(lower(trim(url)), '/+$', ''), '^https?://(www\\.)?', '') AS web FROM pages) SELECT id, min(id) OVER (PARTITION BY web) AS cluster, count(*) OVER (PARTITION BY web) AS size FROM c QUALIFY size > 1")
+@query("WITH c AS (SELECT page_id AS id, regexp_extract(lower(url), '^https?://(?:www\\.)?([^/?#]+)', 1) AS web FROM pages) SELECT id, min(id) OVER (PARTITION BY web) AS cluster, count(*) OVER (PARTITION BY web) AS size FROM c WHERE web <> '' QUALIFY size > 1")
 def web_clusters(t):
-    return dedup.web_clusters(t.pages.select(F.col("page_id").alias("id"), F.col("url").alias("website")))
+    """Pages of one site, its address written in several ways."""
+    host, k = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.col("page_id") % 3
+    site = F.when(k == 0, F.upper(host)).when(k == 1, F.concat(F.lit(" "), host, F.lit("//"))).otherwise(host)
+    return dedup.web_clusters(t.pages.where(host != "").select(F.col("page_id").alias("id"), site.alias("website")))
 
 
 @query("SELECT 'p' || c_custkey AS id, min('p' || c_custkey) OVER (PARTITION BY c_custkey // 5) AS cluster FROM customer QUALIFY count(*) OVER (PARTITION BY c_custkey // 5) > 1")
@@ -635,6 +702,25 @@ def person_clusters(t):
     return dedup.person_clusters(people(t))
 
 
+JUDGED = (
+    f"people AS ({PEOPLE}), pp AS (SELECT *, string_split(name, ' ') AS w, list_sort(companies) AS cs, list_sort(threads) AS ts FROM people), cls AS (SELECT *, min(id) OVER (PARTITION BY name, slug, email, phone, cs, ts, degree = 0) AS class FROM pp), "
+    "pr AS (SELECT a.class AS a, b.class AS b, a AS x, b AS y, len(a.w) = len(b.w) AS same, len(list_intersect(a.companies, b.companies)) > 0 AS co, len(list_intersect(a.threads, b.threads)) > 0 AS thr, CASE WHEN len(a.w) < len(b.w) THEN a ELSE b END AS short FROM cls a JOIN cls b ON a.id < b.id AND a.w[1:least(len(a.w), len(b.w))] = b.w[1:least(len(a.w), len(b.w))]), "
+    "jd AS (SELECT a, b, CASE WHEN x.slug <> y.slug THEN 'different slug' WHEN x.email <> y.email THEN 'different email' WHEN x.phone <> y.phone THEN 'different phone' WHEN x.slug = y.slug OR x.email = y.email OR x.phone = y.phone THEN NULL "
+    "WHEN NOT same AND short.slug IS NULL AND short.email IS NULL AND co AND (thr OR short.degree = 0) THEN NULL WHEN same AND CASE WHEN len(x.w) > 1 THEN co OR thr ELSE co AND thr END THEN NULL WHEN same THEN 'same name but no shared company or thread' ELSE 'unverified (name only)' END AS reason FROM pr)"
+)
+
+
+@query(f"WITH {JUDGED} SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS pairs, reason FROM jd WHERE reason IS NOT NULL GROUP BY ALL")
+def kept_distinct(t):
+    """Why people of one name, or of one that begins another's, are not merged."""
+    return dedup.kept_distinct(people(t))
+
+
+@query(f"WITH {JUDGED} SELECT id, class FROM cls")
+def person_classes(t):
+    return dedup.person_classes(people(t)).select("id", "class")
+
+
 FIRMS = "SELECT 'k' || p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) || ' Ltd' WHEN 1 THEN 'The ' || p_name || ' Ltd' WHEN 2 THEN p_name || ', Inc' ELSE p_name END AS canonical, CASE WHEN p_partkey % 100 = 0 THEN 'https://www.f' || p_partkey % 1000 || '.com/' END AS website, CASE WHEN p_partkey % 6 = 2 THEN [p_name || ' ltd'] ELSE [] END AS aliases FROM part"
 
 
@@ -712,6 +798,19 @@ def survivors(t):
     return survivors_of(t)
 
 
+KEEPS = "cm AS (SELECT 'p' || c_custkey AS id, c_custkey // 4 AS cl, concat_ws(' ', c_name, CASE WHEN c_custkey % 3 = 0 THEN 'Jr' END) AS name, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS profile FROM customer), dg AS (SELECT src AS id, count(*) AS degree FROM works_at GROUP BY src), al AS (SELECT cm.*, coalesce(degree, 0) AS degree FROM cm LEFT JOIN dg USING (id))"
+ORDERS = {"company": "degree DESC, profile DESC", "person": "profile DESC, len(string_split(name, ' ')) DESC, degree DESC", "core": "length(name), degree DESC"}
+
+
+@query(f"WITH {KEEPS}, k AS (" + " UNION ALL ".join(f"SELECT '{p}' AS policy, cl, first_value(id) OVER (PARTITION BY cl ORDER BY {o}, id) AS keeper, id FROM al" for p, o in ORDERS.items()) + ") SELECT policy, id, keeper FROM k", "works_at")
+def survivor_policies(t):
+    """Who stays of clusters of four people, by each of the other policies."""
+    k, work = F.col("c_custkey"), checkpoints.cut(t.works_at().groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")))
+    rows = t.customer.select(F.concat(F.lit("p"), k).alias("id"), F.floor(k / 4).alias("cluster"), F.concat_ws(" ", "c_name", F.when(k % 3 == 0, "Jr")).alias("canonical"), (k % 5 == 0).alias("has"))
+    own = lambda p: dedup.pick_survivor(rows.select("id", "cluster"), work, rows, p, rows.where("has")).select(F.lit(p).alias("policy"), "id", "keeper")
+    return own("company").unionByName(own("person")).unionByName(own("core"))
+
+
 @query(f"WITH {MERGE} SELECT DISTINCT w.src, 'works_at' AS rel, keeper AS dst FROM works_at w JOIN c ON c.id = w.dst JOIN k USING (cl)", "works_at", "employer")
 def merged_edges(t):
     return dedup.repoint(t.works_at().select("src", F.lit("works_at").alias("rel"), "dst", F.lit(None).cast("string").alias("envelope_id")), survivors_of(t)).select("src", "rel", "dst")
