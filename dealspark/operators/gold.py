@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .finance import latest, metric_max
+from .numbering import numbered
 
 
 def latest_note(notes: DataFrame, by: str = "occurred_at") -> DataFrame:
@@ -142,8 +143,8 @@ def ops_metrics(log: DataFrame, as_of: str) -> DataFrame:
 
 def unique_names(df: DataFrame, name: str, ident: str) -> DataFrame:
     """The second and later rows of a name get their id as suffix."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(ident))
-    return df.withColumn("unique_name", F.when(n > 1, F.concat(F.col(name), F.lit("-"), F.col(ident).cast("string"))).otherwise(F.col(name)))
+    first = F.concat(F.col(name), F.lit("-"), F.col(ident).cast("string"))
+    return numbered(df, [name], [ident], "_n").withColumn("unique_name", F.when(F.col("_n") > 1, first).otherwise(F.col(name))).drop("_n")
 
 
 def latest_non_empty(df: DataFrame, key: str, columns: list[str], order: str, ident: str) -> DataFrame:
@@ -156,12 +157,49 @@ def merge_lists(df: DataFrame, key: str, column: str, order: str, ident: str, si
     """(key, block, column): all distinct list items of a key by first appearance, in lists of `size` numbered from 0, so that
     no row grows with a key; items are aggregated before the lists are made."""
     items = df.select(key, F.explode(column).alias("item"), F.struct(order, ident).alias("at")).groupBy(key, "item").agg(F.min("at").alias("at"))
-    n = F.row_number().over(Window.partitionBy(key).orderBy("at", "item"))
-    ranked = items.withColumn("n", n).withColumn("block", F.floor((F.col("n") - 1) / size))
+    ranked = numbered(items, [key], ["at", "item"]).withColumn("block", F.floor((F.col("n") - 1) / size))
     return ranked.groupBy(key, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias(column))
 
 
-def merge_people(mentions: DataFrame) -> DataFrame:
-    """One row per person: gaps filled by the earliest value, the company by the newest mention."""
+def merge_people(mentions: DataFrame, internal: DataFrame | None = None) -> DataFrame:
+    """One row per person: gaps filled by the earliest value, the company by the newest mention; one of internal (person)
+    keeps the company of the first mention, as colleagues are named in notes of every company."""
     at = F.struct("at", "id")
-    return mentions.groupBy("person").agg(F.min_by("role", F.when(F.col("role").isNotNull(), at)).alias("role"), F.max_by("company", F.when(F.col("company").isNotNull(), at)).alias("company"), F.count("*").alias("mentions"))
+    known = lambda c: F.when(F.col(c).isNotNull(), at)
+    out = mentions.groupBy("person").agg(F.min_by("role", known("role")).alias("role"), F.max_by("company", known("company")).alias("company"), F.min_by("company", known("company")).alias("_first"), F.count("*").alias("mentions"))
+    if internal is not None:
+        own = internal.select(F.col("person").alias("_p")).distinct()
+        out = out.join(own.hint("merge"), F.col("person") == F.col("_p"), "left").withColumn("company", F.when(F.col("_p").isNotNull(), F.col("_first")).otherwise(F.col("company"))).drop("_p")
+    return out.drop("_first")
+
+
+def placed_pipeline(card: DataFrame, placed: DataFrame, first: str = "Sourced") -> DataFrame:
+    """(entity_id, company_name, stage, owner, ask, has_deal): companies with a deal, and those that someone placed on the
+    board (placed: entity_id, pipeline_stage, deal_owner); a deal that no one placed is at the first stage."""
+    own = placed.select("entity_id", "pipeline_stage", "deal_owner", F.lit(True).alias("_on"))
+    out = card.join(own.hint("merge"), "entity_id", "left").where(F.col("has_deal") | (F.col("_on") & F.col("pipeline_stage").isNotNull()))
+    return out.select("entity_id", "company_name", F.coalesce("pipeline_stage", F.lit(first)).alias("stage"), F.col("deal_owner").alias("owner"), "ask", "has_deal")
+
+
+def spend_by_model(cost: DataFrame) -> DataFrame:
+    """(day, model, calls, tokens_in, tokens_out, usd) of calls (at, model, tokens_in, tokens_out, usd)."""
+    total = lambda c: F.sum(c).alias(c)
+    return cost.groupBy(F.to_date("at").alias("day"), "model").agg(F.count("*").alias("calls"), total("tokens_in"), total("tokens_out"), total("usd"))
+
+
+def ops_sketches(log: DataFrame, lg_k: int = 12) -> DataFrame:
+    """A row for each source and day of log (source, at, status, content_hash, usd): counts, spend, the newest time and a
+    sketch of the distinct contents of 2^lg_k registers. Rows of other days or of more logs can be added by union."""
+    queued = F.col("status").isin("raw", "normalized", "preprocessed", "extracted", "embedded")
+    return log.groupBy("source", F.to_date("at").alias("day")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(queued).alias("queued"), F.sum("usd").alias("usd"), F.max("at").alias("newest"), F.hll_sketch_agg("content_hash", F.lit(lg_k)).alias("contents"),
+    )
+
+
+def ops_figures(sketches: DataFrame, as_of: str) -> DataFrame:
+    """The five figures of each source, from sketches of any days: the share of rows skipped and of rows whose content came
+    before (estimated: a standard error of 1.04 / sqrt(2^lg_k) of the distinct count), days since the newest row, rows that
+    wait for a stage, and spend."""
+    g = sketches.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("n", "skipped", "queued", "usd")], F.max("newest").alias("newest"), F.hll_sketch_estimate(F.hll_union_agg("contents")).alias("distinct"))
+    rate = lambda x: F.round(x / F.col("n"), 4)
+    return g.select("source", "n", rate(F.col("skipped")).alias("skip_rate"), F.greatest(rate(F.col("n") - F.col("distinct")), F.lit(0.0)).alias("collision_rate"), F.date_diff(F.lit(as_of).cast("date"), F.col("newest").cast("date")).alias("age_days"), "queued", "usd")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .checkpoints import cut
 from .dedup import components
+from .numbering import numbered
 
 
 def neighbors(v: DataFrame, e: DataFrame, ids: DataFrame) -> DataFrame:
@@ -75,8 +76,7 @@ def investor_leaderboard(portfolio: DataFrame, companies: DataFrame) -> DataFram
 def ordered_companies(portfolio: DataFrame, companies: DataFrame, size: int = 10_000) -> DataFrame:
     """(investor, block, companies): every investor's companies by name, in lists of `size` numbered from 0."""
     own = portfolio.select(F.col("src").alias("investor"), F.col("dst").alias("id")).distinct().join(companies.select("id", "canonical").hint("merge"), "id")
-    n = F.row_number().over(Window.partitionBy("investor").orderBy("canonical", "id"))
-    ranked = own.withColumn("n", n).withColumn("block", F.floor((F.col("n") - 1) / size))
+    ranked = numbered(own, ["investor"], ["canonical", "id"]).withColumn("block", F.floor((F.col("n") - 1) / size))
     return ranked.groupBy("investor", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "canonical"))), lambda x: x["canonical"]).alias("companies"))
 
 
@@ -165,8 +165,13 @@ def team_split(works: DataFrame) -> DataFrame:
     return by.groupBy(F.col("dst").alias("id")).agg(F.count_if("current").alias("now"), F.count_if(~F.col("current")).alias("past"))
 
 
-def affiliations(works: DataFrame, schools: DataFrame) -> DataFrame:
-    """Per person: current employers, past ones that are not current, schools."""
+def affiliations(works: DataFrame, schools: DataFrame, companies: DataFrame | None = None) -> DataFrame:
+    """Per person: current employers, past ones that are not current, schools. An unknown `current` counts as true where the
+    employer is one of companies (id), as false else."""
+    if companies is not None:
+        own = companies.select(F.col("id").alias("_c")).distinct()
+        works = works.join(own.hint("merge"), F.col("dst") == F.col("_c"), "left").withColumn("current", F.coalesce("current", F.col("_c").isNotNull())).drop("_c")
+    works = works.withColumn("current", F.coalesce("current", F.lit(False)))
     w = works.groupBy(F.col("src").alias("person")).agg(F.collect_set(F.when(F.col("current"), F.col("dst"))).alias("now"), F.collect_set(F.when(~F.col("current"), F.col("dst"))).alias("was"))
     s = schools.groupBy(F.col("src").alias("person")).agg(F.collect_set("dst").alias("schools"))
     return w.join(s, "person", "full").select("person", F.coalesce("now", F.array()).alias("now"), F.coalesce(F.array_except("was", "now"), F.array()).alias("past"), F.coalesce("schools", F.array()).alias("schools"))

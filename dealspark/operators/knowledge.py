@@ -23,6 +23,45 @@ def fan_out_entities(notes: DataFrame) -> DataFrame:
     return company.unionByName(people).unionByName(investors).unionByName(deals).where("canonical IS NOT NULL").distinct()
 
 
+#: Fields of a note that describe its company.
+COMPANY_FIELDS = ("sector", "sub_sector", "stage", "business_model", "hq", "website", "founded", "poc", "fitment")
+
+
+def fan_out_attributes(notes: DataFrame, order: str = "occurred_at") -> DataFrame:
+    """(type, canonical, attrs): what the notes say of each entity of `fan_out_entities`, field by field the newest value
+    that is not null (then that of the greatest id); an entity of which nothing is said has an empty map.
+
+    Companies have COMPANY_FIELDS as far as the notes have them; people their role, company, address and relation (founders
+    and key_people: arrays of struct(name, role, linkedin)); deals their company, round, ask and that they are active."""
+    at = F.struct(F.col(order), F.col("id")).alias("at")
+    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    pair = lambda k, v: F.struct(F.lit(k).alias("k"), text(v).alias("v"))
+    said = lambda kind, name, pairs, df: df.select(F.lit(kind).alias("type"), F.trim(name).alias("canonical"), at, F.array(*pairs).alias("said"))
+    out = said("company", F.col("company_name"), [pair(c, c) for c in COMPANY_FIELDS if c in notes.columns], notes).where(S.is_company_name("canonical"))
+    for column, relation in (("founders", "founder"), ("key_people", "contact")):
+        if column in notes.columns:
+            each = notes.select("*", F.explode(column).alias("p"))
+            out = out.unionByName(said("person", F.col("p.name"), [pair("role", "p.role"), pair("company", "company_name"), pair("linkedin", "p.linkedin"), pair("relation", F.lit(relation))], each).where(S.is_person_name("canonical")))
+    deals = notes.where("round_type IS NOT NULL OR ask IS NOT NULL")
+    out = out.unionByName(said("deal", deal_name(), [pair("company", "company_name"), pair("round_type", "round_type"), pair("ask", "ask"), pair("status", F.lit("active"))], deals))
+    each = out.where("canonical <> ''").select("type", "canonical", "at", F.explode("said").alias("s")).groupBy("type", "canonical", F.col("s.k").alias("k")).agg(F.max_by("s.v", F.when(F.col("s.v").isNotNull(), F.col("at"))).alias("v"))
+    return each.groupBy("type", "canonical").agg(F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.struct("k", "v")), lambda x: x["v"].isNotNull()))).alias("attrs"))
+
+
+def sender_edges(actors: DataFrame, companies: DataFrame, generic: tuple[str, ...] = ()) -> DataFrame:
+    """(src, rel, dst): a resolved sender (person_id, actor) works at the company of their address's domain; addresses of
+    generic domains, and those that are none, say nothing."""
+    senders = actors.where(F.col("actor").contains("@")).select(F.lower("actor").alias("sender"), "person_id").distinct()
+    homes = resolve_domains(senders.select("sender").distinct(), companies, generic)
+    return senders.join(homes.hint("merge"), "sender").select(F.col("person_id").alias("src"), F.lit("works_at").alias("rel"), F.col("company_id").alias("dst")).distinct()
+
+
+def named_senders(actors: DataFrame) -> DataFrame:
+    """(actor, canonical) of new people: the display name if it is a name, else the address's local part, else the actor."""
+    shown = S.blank_to_null("display")
+    return actors.select("actor", F.coalesce(F.when(S.is_person_name(shown), shown), F.when(F.col("actor").contains("@"), S.name_from_email("actor")), F.col("actor")).alias("canonical"))
+
+
 def fan_out_edges(notes: DataFrame) -> DataFrame:
     works = notes.select(F.explode("founders").alias("src"), F.lit("works_at").alias("rel"), F.col("company_name").alias("dst")).where(S.is_person_name("src"))
     invests = notes.select(F.explode("investors").alias("src"), F.lit("invests_in").alias("rel"), F.col("company_name").alias("dst")).where(S.is_investor_name("src"))

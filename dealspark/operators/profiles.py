@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import scalars as S
+from .checkpoints import cut
 
 AMOUNT = "amount:struct<INR:struct<value:double>,USD:struct<value:double>>"
 DAY = "struct<year:int,month:int,day:int>"
@@ -186,7 +187,15 @@ def person_card(people: DataFrame, profiles: DataFrame) -> DataFrame:
     return out.select("id", F.col("canonical").alias("person"), F.coalesce("_url", "linkedin").alias("linkedin"), "email", "headline", "current_title", "current_company", S.location_text("location_city", "location_country").alias("location"), "followers", F.coalesce("_has", F.lit(False)).alias("has_profile"))
 
 
+def full_profile(entities: DataFrame, profiles: DataFrame, kind: str) -> DataFrame:
+    """Profiles (id, ...) of one kind of entity (id, type, canonical) with its name as `entity_name`, every column of the
+    profile under its own name; entities without a profile, and profiles of no such entity, are left out."""
+    own = entities.where(F.col("type") == kind).select(F.col("id").alias("_id"), F.col("canonical").alias("entity_name"))
+    return profiles.join(own.hint("merge"), F.col("id") == F.col("_id")).drop("_id")
+
+
 def slug_groups(people: DataFrame) -> DataFrame:
     """(id, slug, size): people (id, linkedin) of one profile."""
-    n = F.count("*").over(Window.partitionBy("slug"))
-    return people.select("id", S.profile_slug("linkedin").alias("slug")).where("slug IS NOT NULL").withColumn("size", n).where("size > 1")
+    rows = people.select("id", S.profile_slug("linkedin").alias("slug")).where("slug IS NOT NULL")
+    sizes = cut(rows.groupBy("slug").agg(F.count("*").alias("size")).where("size > 1"))
+    return rows.join(sizes.hint("merge"), "slug").select("id", "slug", "size")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import scalars as S
+from .numbering import numbered
 
 KINDS = ("Financials", "Annual Return", "Charge", "Valuation", "Allotment/Capital", "Deposits")
 
@@ -28,13 +29,15 @@ def email_log(envelopes: DataFrame, attachments: DataFrame) -> DataFrame:
 
 
 def load_filings(rows: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, about edges) of material filings; names (id, name) renames companies. Filings of kind Other are left out."""
+    """(documents, about edges) of material filings; names (id, name) renames companies. Filings of kind Other are left out;
+    of several with one name and day that of the least id is taken."""
     first = names.groupBy(F.col("id").alias("company_id")).agg(F.min("name").alias("_name"))
     df = rows.join(first, "company_id", "left").withColumn("company", F.coalesce("_name", S.blank_to_null("company_name")))
     df = df.withColumn("filing_kind", S.doc_kind("document_type", "name")).where(F.col("company").isNotNull() & F.col("filing_kind").isin(*KINDS))
     day = S.blank_to_null("filing_date")
     node = F.concat(F.col("company"), F.lit(" — "), F.coalesce(S.blank_to_null("name"), F.lit("Filing")), F.coalesce(F.concat(F.lit(" ("), day, F.lit(")")), F.lit("")))
-    docs = df.select(node.alias("canonical"), "company", "filing_kind", day.alias("doc_date"), F.col("viewer_url").alias("source_url"), "registrar", F.col("id").alias("filing_id")).dropDuplicates(["canonical"])
+    docs = df.select(node.alias("canonical"), "company", "filing_kind", day.alias("doc_date"), F.col("viewer_url").alias("source_url"), "registrar", F.col("id").alias("filing_id"))
+    docs = docs.groupBy("canonical").agg(F.min_by(F.struct(*docs.columns[1:]), "filing_id").alias("d")).select("canonical", "d.*")
     return docs, docs.select(F.col("canonical").alias("src"), F.lit("about").alias("rel"), F.col("company").alias("dst"))
 
 
@@ -49,6 +52,16 @@ def recent_filings(docs: DataFrame, per_kind: int = 6) -> DataFrame:
     return docs.withColumn("n", n).where(F.col("n") <= per_kind)
 
 
+def note_filings(docs: DataFrame, most: int = 40) -> DataFrame:
+    """(company_id, n, kind, title, filing_date, filing_id, more): the newest `most` filings of each company, newest first, and
+    how many more there are."""
+    n = F.row_number().over(Window.partitionBy("company_id").orderBy(F.col("filing_date").desc_nulls_last(), "filing_id"))
+    top = docs.withColumn("n", n).where(F.col("n") <= most)
+    every = docs.groupBy("company_id").agg(F.count("*").alias("_all"))
+    out = top.join(every.hint("merge"), "company_id")
+    return out.select("company_id", "n", "kind", "title", "filing_date", "filing_id", F.greatest(F.col("_all") - most, F.lit(0)).alias("more"))
+
+
 def summary_candidates(entities: DataFrame, edges: DataFrame, n: int, titles: int = 6) -> DataFrame:
     """The n most linked organisations (id, type, canonical, summary) without a summary, with up to six distinct role titles of
     edges (src, rel, dst, title). Titles are distinct before they are gathered, and cut to six by rank."""
@@ -64,8 +77,7 @@ def referrers(companies: DataFrame, size: int = 1000) -> DataFrame:
     """(referrer, block, n, companies): who referred which companies (company, referrer), all of them in lists of `size` names
     numbered from 0; n counts all of a referrer."""
     rows = companies.where(S.blank_to_null("referrer").isNotNull()).select("referrer", "company").distinct()
-    w = Window.partitionBy("referrer")
-    ranked = rows.withColumn("block", F.floor((F.row_number().over(w.orderBy("company")) - 1) / size))
+    ranked = numbered(rows, ["referrer"], ["company"], "_n").withColumn("block", F.floor((F.col("_n") - 1) / size))
     lists = ranked.groupBy("referrer", "block").agg(F.array_sort(F.collect_list("company")).alias("companies"))
     return lists.join(rows.groupBy("referrer").agg(F.count("*").alias("n")), "referrer").select("referrer", "block", "n", "companies")
 
@@ -79,10 +91,10 @@ def lookups(log: DataFrame, cap: int) -> DataFrame:
     return log.groupBy(F.to_date("at").alias("day")).agg(F.count("*").alias("n")).withColumn("remaining", F.greatest(F.lit(cap) - F.col("n"), F.lit(0)) if cap else F.lit(None).cast("long"))
 
 
-def load_counts(companies: DataFrame, observations: DataFrame, links: DataFrame, bad: DataFrame) -> DataFrame:
-    """(what, n) of a load."""
+def load_counts(companies: DataFrame, observations: DataFrame, links: DataFrame, bad: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """(what, n) of a load; skipped: rows that were well formed but not wanted."""
     out = None
-    for name, df in (("companies", companies), ("observations", observations), ("links", links), ("errors", bad)):
+    for name, df in (("companies", companies), ("observations", observations), ("links", links), ("errors", bad), *([("skipped", skipped)] if skipped is not None else [])):
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
         out = one if out is None else out.unionByName(one)
     return out
@@ -163,6 +175,23 @@ def coerce_note(c, name: str = "company_name") -> tuple[Column, Column]:
     return F.get(items, F.lit(0)), F.filter(F.transform(rest, lambda x: F.get_json_object(x, f"$.{name}")), lambda x: x.isNotNull())
 
 
-def index_exports(card: DataFrame) -> dict[str, DataFrame]:
-    """companies, deals (an ask or a round) and pipeline (the others), ready for a JSON sink."""
-    return {"companies": card, "deals": card.where("has_deal"), "pipeline": card.where("NOT has_deal")}
+def index_exports(card: DataFrame, people: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
+    """companies, deals (an ask or a round), pipeline (the others), people by name, and log, each mail or deck with its type
+    of meeting; ready for a JSON sink. A card without the flag has no deal.
+
+    people: (canonical, role, company, linkedin); log: (file, date, company, source)."""
+    rows, deal = card.withColumn("sectors", S.sectors_of("sector")), F.coalesce("has_deal", F.lit(False))
+    kept = ["company_name", "sectors", *[c for c in ("stage", "max_revenue", "max_valuation", "ask", "last_interaction") if c in card.columns]]
+    return {
+        "companies": rows.select(kept), "deals": rows.where(deal).select(kept), "pipeline": rows.where(~deal).select(kept),
+        "people": people.select(F.col("canonical").alias("name"), "role", "company", "linkedin"),
+        "log": log.select("file", "date", "company", F.when(F.col("source") == "pdf", "Deck").otherwise("Call").alias("meeting_type")),
+    }
+
+
+def records(envelopes: DataFrame, companies: DataFrame) -> DataFrame:
+    """(id, company, label): what each envelope (id, company_name, kind) records: a deck, or a call with an investor or a
+    founder by the type of the company (canonical, sector, summary) it names."""
+    kinds = companies.select(F.lower("canonical").alias("_k"), S.entity_type("sector", "canonical", "summary").alias("_type")).groupBy("_k").agg(F.min("_type").alias("_type"))
+    out = envelopes.join(kinds.hint("merge"), F.lower("company_name") == F.col("_k"), "left")
+    return out.select("id", F.col("company_name").alias("company"), S.meeting_type("kind", F.coalesce("_type", F.lit("company"))).alias("label"), S.type_category("_type").alias("category"))

@@ -1,5 +1,5 @@
 """The registered queries; importing the package registers all of them."""
 
-from . import flows, landing, profiles, registry
+from . import details, flows, landing, profiles, registry
 
-__all__ = ["flows", "landing", "profiles", "registry"]
+__all__ = ["details", "flows", "landing", "profiles", "registry"]

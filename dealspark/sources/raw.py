@@ -40,11 +40,27 @@ def read_jsonl(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     return kept.where(ok).select(F.from_json("value", schema).alias("r")).select("r.*"), kept.where(~ok)
 
 
+def by_kind(rows: DataFrame, kinds: tuple[str, ...] = ("company", "document"), default: str = "company", column: str = "kind") -> dict[str, DataFrame]:
+    """The rows of each kind, and `skipped`, those of any other; a row without a kind is of the default one. Each is a filter
+    of one scan's rows."""
+    kind = F.coalesce(F.lower(F.trim(column)), F.lit(default))
+    kind = F.when(kind == "", default).otherwise(kind)
+    return {k: rows.where(kind == k) for k in kinds} | {"skipped": rows.where(~kind.isin(*kinds))}
+
+
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Nested profiles of a file or folder, an object or a list each."""
     return spark.read.json(path, multiLine=True)
 
 
+def read_profile_texts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(json): the objects of a file or folder as JSON text, for the profile parsers. Each file is an object or a list of
+    them, or has one on each of its lines; what is no object goes."""
+    v = spark.read.option("singleVariantColumn", "v").option("multiLine", not lines).json(path)
+    each = v.select(F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("v"))
+    return each.where(F.schema_of_variant("v").startswith("OBJECT")).select(F.to_json("v").alias("json"))
+
+
 def incremental(df: DataFrame, since: str | None, landed: DataFrame | None = None) -> DataFrame:
     """Rows at or after the high-water mark that are not landed yet."""
     out = df.where(F.col("at") >= F.lit(since).cast("timestamp_ntz")) if since else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import normalize as N
+from ..operators.numbering import numbered
 
 
 def stream_normalize(raw: DataFrame) -> DataFrame:
@@ -73,5 +74,5 @@ def stuck_items(log: DataFrame, as_of: str, minutes: int = 20, cap: int = 500) -
 
 
 def batches(df: DataFrame, n: int, key: str, order: str) -> DataFrame:
-    """Rows numbered into batches of n within a key."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / n))
+    """Rows numbered into batches of n within a key, by a total order; a hot key is numbered by many tasks."""
+    return numbered(df, [key], [order], "_n").withColumn("batch", F.floor((F.col("_n") - 1) / n)).drop("_n")
