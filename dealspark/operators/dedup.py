@@ -39,7 +39,7 @@ def person_pairs(people: DataFrame) -> DataFrame:
     keys = F.array(*[F.when(c.isNotNull(), F.concat(F.lit(k), c)) for k, c in (("s:", F.col("slug")), ("e:", F.col("email")), ("p:", F.col("phone")), ("n:", F.when(F.col("company").isNotNull(), first)))])
     rows = people.select("*", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("key"))
     heads = rows.groupBy("key").agg(F.min_by(F.struct("id", "name", "slug", "email", "phone", "company"), "id").alias("a"))
-    p = rows.join(heads, "key").where("id > a.id")
+    p = rows.join(heads.hint("merge"), "key").where("id > a.id")
     differ = lambda c: F.col(c).isNotNull() & F.col(f"a.{c}").isNotNull() & (F.col(c) != F.col(f"a.{c}"))
     same = lambda c: F.coalesce(F.col(c) == F.col(f"a.{c}"), F.lit(False))
     la, lb = F.lower(F.trim("name")), F.lower(F.trim("a.name"))

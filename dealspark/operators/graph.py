@@ -12,11 +12,11 @@ from .numbering import numbered
 
 
 def neighbors(v: DataFrame, e: DataFrame, ids: DataFrame) -> DataFrame:
-    """One hop in both directions from ids (id)."""
-    out = e.join(ids.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), "rel", F.col("dst").alias("other"), F.lit("out").alias("direction"))
-    back = e.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("id"), "rel", F.col("src").alias("other"), F.lit("in").alias("direction"))
+    """One hop in both directions from ids (id); the edges are read once, each as a row from either end."""
+    way = lambda a, b, name: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(name).alias("direction"))
+    ends = e.select("rel", F.explode(F.array(way("src", "dst", "out"), way("dst", "src", "in"))).alias("x")).select("x.id", "rel", "x.other", "x.direction")
     names = v.select(F.col("id").alias("other"), F.col("type").alias("other_type"), F.col("canonical").alias("other_name"))
-    return out.unionByName(back).join(names, "other")
+    return ends.join(ids.select("id").distinct().hint("merge"), "id", "left_semi").join(names.hint("merge"), "other")
 
 
 def degrees(e: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def subgraph(e: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Edges within `depth` steps of start (id); the frontier of each step is cut from its lineage."""
     found, frontier = None, start.select("id").distinct()
     for _ in range(depth):
-        a = e.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select("src", "rel", "dst")
-        b = e.join(frontier.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "rel", "dst")
+        a = e.join(frontier.select(F.col("id").alias("src")).hint("merge"), "src", "left_semi").select("src", "rel", "dst")
+        b = e.join(frontier.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_semi").select("src", "rel", "dst")
         found = cut((a.unionByName(b) if found is None else found.unionByName(a).unionByName(b)).distinct())
         frontier = found.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return found
@@ -41,10 +41,11 @@ def company_360(v: DataFrame, e: DataFrame) -> DataFrame:
 
 
 def entity_activity(e: DataFrame, dated: DataFrame) -> DataFrame:
-    """Edges at either end of an entity with their date: two equi joins, a loop once."""
-    a = e.select(F.col("src").alias("id"), "rel", "src", "dst")
-    b = e.where("src <> dst").select(F.col("dst").alias("id"), "rel", "src", "dst")
-    return a.unionByName(b).join(dated, ["src", "dst"], "left")
+    """Edges at either end of an entity with their date, a loop once: the dates are joined to the edges, then each edge is a
+    row of either end."""
+    ends = F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst"))
+    rows = e.select("src", "rel", "dst").join(dated.hint("merge"), ["src", "dst"], "left")
+    return rows.select(F.explode(ends).alias("id"), *rows.columns)
 
 
 def investor_stats(portfolio: DataFrame) -> DataFrame:
@@ -208,4 +209,4 @@ def filter_graph(v: DataFrame, e: DataFrame, types: list[str], relations: list[s
 
 def export_graph(v: DataFrame, e: DataFrame) -> DataFrame:
     """Nodes with their degree, ready for a JSON sink."""
-    return v.join(degrees(e), "id", "left").select("id", "type", "canonical", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return v.join(degrees(e).hint("merge"), "id", "left").select("id", "type", "canonical", F.coalesce("degree", F.lit(0)).alias("degree"))

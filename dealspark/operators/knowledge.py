@@ -127,7 +127,7 @@ def match_company(names: DataFrame, companies: DataFrame, aliases: DataFrame, de
     or 3 look for substrings: for each core and each substring of a core the best company is found first, so each substring
     of a name meets one row."""
     names = names.select("name").where(F.trim("name") != "").distinct().withColumn("low", F.lower(F.trim("name"))).withColumn("c", S.core_key("name"))
-    own = companies.select("id", F.lower("canonical").alias("low"), S.core_key("canonical").alias("c")).join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    own = companies.select("id", F.lower("canonical").alias("low"), S.core_key("canonical").alias("c")).join(degree.hint("merge"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     other = aliases.select("id", F.lower("alias").alias("low"), S.core_key("alias").alias("c"))
     both = own.select("id", "low", "c").unionByName(other)
     core = F.length("c") >= 3

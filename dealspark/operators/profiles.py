@@ -140,7 +140,7 @@ def latest_stint(rows: DataFrame, person: str, target: str, *order: str) -> Data
 def profile_edges(profiles: DataFrame, key: str, known: DataFrame) -> DataFrame:
     """(src, rel, dst, current): jobs at known companies (company_name, id) or at organisations made of the name's core, and
     schools. A target that a person has already is not taken again, jobs before schools."""
-    jobs = profile_roles(profiles, key).join(known.select("company_name", F.col("id").alias("_id")), "company_name", "left")
+    jobs = profile_roles(profiles, key).join(known.select("company_name", F.col("id").alias("_id")).hint("merge"), "company_name", "left")
     org = F.when(S.is_org_name("company_name"), F.concat(F.lit("org|"), S.core_key("company_name")))
     works = jobs.select(F.col(key).alias("src"), F.lit("works_at").alias("rel"), F.coalesce("_id", org).alias("dst"), "current", F.lit(0).alias("kind"), "pos")
     school = F.when(S.is_org_name("school_name"), F.concat(F.lit("school|"), S.school_core("school_name")))
@@ -151,7 +151,7 @@ def profile_edges(profiles: DataFrame, key: str, known: DataFrame) -> DataFrame:
 def rebuild_profile_edges(edges: DataFrame, made: DataFrame) -> DataFrame:
     """Edges of the people in `made` that come from no envelope are replaced; those of envelopes stay."""
     own = made.select("src").distinct().withColumn("_p", F.lit(True))
-    old = edges.join(own, "src", "left").where("_p IS NULL OR envelope_id IS NOT NULL OR rel NOT IN ('works_at', 'studied_at')").drop("_p")
+    old = edges.join(own.hint("merge"), "src", "left").where("_p IS NULL OR envelope_id IS NOT NULL OR rel NOT IN ('works_at', 'studied_at')").drop("_p")
     return old.unionByName(made.select("src", "rel", "dst", F.lit(None).cast("string").alias("envelope_id")))
 
 
@@ -169,13 +169,13 @@ def harvest_company_urls(companies: DataFrame, roles: DataFrame) -> DataFrame:
     """(id, linkedin, logo, found): a company (id, linkedin, logo) without them takes the first role's (id, company_url)."""
     at = F.struct("person_id", "pos")
     best = roles.where("company_url IS NOT NULL").groupBy("id").agg(F.min_by("company_url", at).alias("_url"), F.min_by("company_logo", F.when(F.col("company_logo").isNotNull(), at)).alias("_logo"))
-    return companies.join(best, "id", "left").select("id", F.coalesce("linkedin", "_url").alias("linkedin"), F.coalesce("logo", "_logo").alias("logo"), (F.col("linkedin").isNull() & F.col("_url").isNotNull()).alias("found"))
+    return companies.join(best.hint("merge"), "id", "left").select("id", F.coalesce("linkedin", "_url").alias("linkedin"), F.coalesce("logo", "_logo").alias("logo"), (F.col("linkedin").isNull() & F.col("_url").isNotNull()).alias("found"))
 
 
 def patch_founders(notes: DataFrame, people: DataFrame) -> DataFrame:
     """Notes (id, founders: name, linkedin) whose founders without an address take that of the person (person, linkedin)."""
     known = people.groupBy(F.lower("person").alias("_low")).agg(F.min("linkedin").alias("_url"))
-    each = notes.select("id", F.posexplode("founders").alias("pos", "f")).withColumn("_low", F.lower("f.name")).join(known, "_low", "left")
+    each = notes.select("id", F.posexplode("founders").alias("pos", "f")).withColumn("_low", F.lower("f.name")).join(known.hint("merge"), "_low", "left")
     one = F.struct("pos", F.col("f.name").alias("name"), F.coalesce("f.linkedin", "_url").alias("linkedin"))
     return each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["name"], x["linkedin"])).alias("founders"))
 

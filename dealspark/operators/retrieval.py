@@ -43,5 +43,5 @@ def excerpts(hits: DataFrame, cut: int = 700) -> DataFrame:
 
 def context(questions: DataFrame, notes: DataFrame, hits: DataFrame) -> DataFrame:
     """Questions with their dossier and excerpts; the facts of all companies, the same for every question, stay a table."""
-    out = questions.select("doc_id").join(dossier(questions, notes), "doc_id", "left").join(excerpts(hits), "doc_id", "left")
+    out = questions.select("doc_id").join(dossier(questions, notes).hint("merge"), "doc_id", "left").join(excerpts(hits).hint("merge"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("dossier", F.lit("(the question names no known company)")).alias("dossier"), F.coalesce("excerpts", F.lit("(no matching excerpts)")).alias("excerpts"))

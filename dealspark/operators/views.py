@@ -125,7 +125,7 @@ def canonicalize_names(notes: DataFrame, entities: DataFrame) -> DataFrame:
     own = entities.select(F.lower("canonical").alias("_k"), F.lit(0).alias("p"), F.col("id").alias("e"), "canonical")
     alias = entities.select(F.explode("aliases").alias("a"), F.lit(1).alias("p"), F.col("id").alias("e"), "canonical").select(F.lower("a").alias("_k"), "p", "e", "canonical")
     best = own.unionByName(alias).groupBy("_k").agg(F.min_by("canonical", F.struct("p", "e")).alias("_c"))
-    return notes.join(best, F.lower("company_name") == F.col("_k"), "left").select("id", "company_name", F.coalesce("_c", "company_name").alias("canonical"))
+    return notes.join(best.hint("merge"), F.lower("company_name") == F.col("_k"), "left").select("id", "company_name", F.coalesce("_c", "company_name").alias("canonical"))
 
 
 def material_filings(rows: DataFrame) -> DataFrame:

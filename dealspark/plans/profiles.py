@@ -169,7 +169,7 @@ def upgraded_names(t):
 
 @query("SELECT 'g' || n_nationkey AS id, CASE WHEN n_nationkey = 0 THEN 'known' WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN 'https://www.linkedin.com/company/firm-' || n_nationkey END AS linkedin, n_nationkey <> 0 AND n_nationkey IN (SELECT c_nationkey FROM customer) AS found FROM nation WHERE n_nationkey < 20")
 def harvested_urls(t):
-    roles = profiles.profile_roles(parsed_people(t), "id").withColumnRenamed("id", "person_id").join(firms(t), "company_name")
+    roles = profiles.profile_roles(parsed_people(t), "id").withColumnRenamed("id", "person_id").join(firms(t).hint("merge"), "company_name")
     known = firms(t).select("id", F.when(F.col("id") == "g0", F.lit("known")).alias("linkedin"), F.lit(None).cast("string").alias("logo"))
     return profiles.harvest_company_urls(known, roles).select("id", "linkedin", "found")
 
