@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Characters of chunks that a task holds.
+SENT = 1 << 20
 
 
 def packed(text: str, size: int, sep: str) -> list[str]:
@@ -36,9 +43,30 @@ def pack(text: Column, size: int = 1800, sep: str = "\n\n") -> Column:
 
 
 def chunk(df: DataFrame, text: str = "text", size: int = 1800, sep: str = "\n\n") -> DataFrame:
-    """The other columns and (seq, chunk, token_est)."""
-    rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.posexplode(pack(F.col(text), size, sep)).alias("seq", "chunk")).withColumn("token_est", F.floor(F.length("chunk") / 4).cast("int"))
+    """The other columns and (seq, chunk, token_est), a row a chunk; rows leave a task by about SENT characters, so that long
+    texts cost no more memory than one of them. Null and empty texts have no chunk."""
+    rest = [f for f in df.schema if f.name != text]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, seqs, chunks, held = [], [], [], 0
+            for i, t in enumerate(batch.column(len(rest)).to_pylist()):
+                for seq, one in enumerate(packed(t or "", size, sep)):
+                    rows.append(i)
+                    seqs.append(seq)
+                    chunks.append(one)
+                    held += len(one)
+                if held > SENT:
+                    yield made(batch, rows, seqs, chunks)
+                    rows, seqs, chunks, held = [], [], [], 0
+            yield made(batch, rows, seqs, chunks)
+
+    def made(batch: pa.RecordBatch, rows: list[int], seqs: list[int], chunks: list[str]) -> pa.RecordBatch:
+        kept = batch.take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([*(kept.column(j) for j in range(len(rest))), pa.array(seqs, pa.int32()), pa.array(chunks, pa.string())], [*(f.name for f in rest), "seq", "chunk"])
+
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in rest], T.StructField("seq", T.IntegerType()), T.StructField("chunk", T.StringType())])
+    return df.select(*[f.name for f in rest], text).mapInArrow(run, schema).withColumn("token_est", F.floor(F.length("chunk") / 4).cast("int"))
 
 
 def assemble(chunks: DataFrame, key: str, title: str | None = None, cap: int = 120_000) -> DataFrame:

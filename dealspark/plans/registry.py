@@ -513,7 +513,16 @@ def token_est(t):
     return t.documents.select("doc_id", F.length("text").alias("n"), S.token_est("text").alias("token_est"))
 
 
-@query(None)
+@query(
+    "WITH RECURSIVE pr AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS a FROM documents WHERE text <> ''), "
+    "pc AS (SELECT doc_id, a, p, unnest(range(greatest(1, CAST(ceil(length(p) / 1800.0) AS BIGINT)))) AS j FROM pr), "
+    "pn AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, j) AS i, substr(p, j * 1800 + 1, 1800) AS x, (j + 1) * 1800 < length(p) AS whole FROM pc), "
+    "st AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, CAST(NULL AS BIGINT) AS n, 0::BIGINT AS c, CAST(NULL AS BIGINT) AS own FROM pn "
+    "UNION ALL SELECT doc_id, i, CASE WHEN whole THEN NULL WHEN held THEN n + length(x) + 1 WHEN length(x) > 0 THEN length(x) END, CASE WHEN whole THEN c + 1 ELSE c END, CASE WHEN whole OR held OR length(x) > 0 THEN c END "
+    "FROM (SELECT s.doc_id, p.i, x, whole, s.n, s.c + CASE WHEN s.n IS NOT NULL AND (whole OR s.n + length(x) > 1800) THEN 1 ELSE 0 END AS c, s.n IS NOT NULL AND NOT (whole OR s.n + length(x) > 1800) AS held FROM st s JOIN pn p ON p.doc_id = s.doc_id AND p.i = s.i + 1)), "
+    "ch AS (SELECT st.doc_id, own, trim(string_agg(x, chr(10) ORDER BY st.i), ' ' || chr(9) || chr(10) || chr(13)) AS chunk FROM st JOIN pn USING (doc_id, i) WHERE own IS NOT NULL GROUP BY 1, 2) "
+    "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY own) - 1 AS INTEGER) AS seq, chunk, length(chunk) // 4 AS token_est FROM ch"
+)
 def chunks(t):
     return text.chunk(t.documents.select("doc_id", "text"), sep="\n")
 
