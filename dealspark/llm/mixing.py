@@ -121,13 +121,14 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of documents that the mix takes, with `copies`, how often; one filter over documents, no shuffle of texts
-    while the sources are few enough to broadcast. A column `copies` of documents is replaced."""
+def mixed_documents(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, count: str = "copies") -> DataFrame:
+    """The rows of documents that the mix takes, with `count`, how often; one filter over documents, no shuffle of texts
+    while the sources are few enough to broadcast. A column of documents of that name is replaced, so give another where
+    documents have one called `copies`."""
     state, small = thresholds(sizes(documents), weights, share, most)
     packed = documents.select(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(documents.columns)]).alias("doc"), "source", doc_hash().alias("h"))  # so that no name clashes
     out = by_source(packed, state.select("source", "whole", "threshold"), small).withColumn("copies", copies(F.col("h"))).where("copies > 0")
-    return out.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(documents.columns) if c != "copies"], "copies")
+    return out.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(documents.columns) if c != count], F.col("copies").alias(count))
 
 
 ORACLE = r"""
