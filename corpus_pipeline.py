@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least id (null last); of rows alike one. Null and empty
-    texts are one group. Extra columns come along under their names."""
+    texts are one group, very long ones are fingerprinted whole. Extra columns come along under their names."""
     return simhash.keep_one(docs)
 
 
@@ -33,12 +33,15 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked; every row stays, null texts as null."""
+    """Personal data is masked; every row stays, null texts as null, in the whole of very long texts. Repeated rows are masked
+    alike, an empty table stays empty, extra columns come along under their names."""
     return _counted(docs, pii.redact(docs, pii.train(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with `copies`, how often. Null sources are one source, null texts have no size."""
+    """The documents that the mix takes, with `copies`, how often. Null sources are one source, null texts have no size, rows
+    alike are decided alike. An empty table gives none. Extra columns come along under their names, but for one called
+    `copies`, which is replaced."""
     return mixing.mixed_documents(docs)
 
 
