@@ -262,14 +262,14 @@ def imported_profiles(t):
 
 
 # Rules that the flows use, on rows that reach their branches ---------------------------------------------------------
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1700000000 + doc_id WHEN 1 THEN 1704164645 END AS at, doc_id % 4 < 2 AS known, CASE doc_id % 3 WHEN 0 THEN 'Fintech' WHEN 1 THEN 'SaaS' ELSE 'Mining' END AS sector, doc_id % 4 > 0 AS company, '₹' || CASE doc_id % 3 WHEN 0 THEN '12.5' WHEN 1 THEN '40' ELSE '0.07' END || ' Cr' AS money, CASE doc_id % 3 WHEN 0 THEN lang || ' — Deck p.' || doc_id WHEN 1 THEN lang || ' — Email' ELSE 'Deck' END AS cite FROM documents")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 1700000000 + doc_id WHEN 1 THEN 1704164645 END AS stamp, doc_id % 4 < 2 AS known, CASE doc_id % 3 WHEN 0 THEN 'Fintech' WHEN 1 THEN 'SaaS' ELSE 'Mining' END AS sector, doc_id % 4 > 0 AS company, '₹' || CASE doc_id % 3 WHEN 0 THEN '12.5' WHEN 1 THEN '40' ELSE '0.07' END || ' Cr' AS money, CASE doc_id % 3 WHEN 0 THEN lang || ' — Deck p.' || doc_id WHEN 1 THEN lang || ' — Email' ELSE 'Deck' END AS cite FROM documents")
 def value_details(t):
     k, third = F.col("doc_id") % 4, F.col("doc_id") % 3
     stamp = F.when(k == 0, (F.lit(1_700_000_000) + F.col("doc_id")).cast("string")).when(k == 1, "2024-01-02T03:04:05Z").when(k == 2, "soon")
     pick = lambda *xs: F.when(third == 0, xs[0]).when(third == 1, xs[1]).otherwise(xs[2])
     at: Column = F.unix_timestamp(S.parse_ts(stamp))
     return t.documents.select(
-        "doc_id", at.alias("at"), at.isNotNull().alias("known"), S.primary_sector(pick("banking > Lending", " Software>Tools", "Mining > Iron")).alias("sector"), S.is_company_name(F.when(k == 0, F.when(F.col("doc_id") % 8 == 0, "TBD").otherwise("ab")).otherwise(F.concat(F.lit("firm "), "doc_id"))).alias("company"),
+        "doc_id", at.alias("stamp"), at.isNotNull().alias("known"), S.primary_sector(pick("banking > Lending", " Software>Tools", "Mining > Iron")).alias("sector"), S.is_company_name(F.when(k == 0, F.when(F.col("doc_id") % 8 == 0, "TBD").otherwise("ab")).otherwise(F.concat(F.lit("firm "), "doc_id"))).alias("company"),
         S.fmt_cr(pick(F.lit(12.5), F.lit(40.0), F.lit(0.07))).alias("money"), S.cite(F.when(third < 2, F.col("lang")), pick(F.lit("deck"), F.lit("email"), F.lit("deck")), F.when(third == 0, F.col("doc_id"))).alias("cite"),
     )
 
