@@ -201,10 +201,10 @@ def summary_candidates(t):
     return views.summary_candidates(t.employer().withColumn("summary", F.lit("")), e, 20).select("id", "degree", "context")
 
 
-@query("SELECT 'n' || c_nationkey AS referrer, count(*) AS n, list_sort(list(c_name))[1] AS first FROM customer WHERE c_nationkey <> 3 GROUP BY 1")
+@query("WITH r AS (SELECT 'n' || c_nationkey AS referrer, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) - 1 AS k, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_nationkey <> 3) SELECT referrer, k // 7 AS block, n, list(c_name ORDER BY c_name) AS companies FROM r GROUP BY ALL")
 def referrers(t):
     rows = t.customer.select(F.when(F.col("c_nationkey") != 3, F.concat(F.lit("n"), "c_nationkey")).alias("referrer"), F.col("c_name").alias("company"))
-    return views.referrers(rows).where("block = 0").select("referrer", "n", F.col("companies")[0].alias("first"))
+    return views.referrers(rows, 7)
 
 
 @query("SELECT sector, count(*) AS n FROM company WHERE sector IS NOT NULL GROUP BY sector", "company")

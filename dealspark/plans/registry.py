@@ -481,17 +481,17 @@ def page_domains(t):
     return t.pages.select("page_id", S.domain_of("url").alias("domain"))
 
 
-@query("SELECT doc_id, least(1.0, 0.3 + CASE WHEN regexp_matches(text, '(?i)(^|[^a-z])(the|of)([^a-z]|$)') THEN 0.25 ELSE 0 END - CASE WHEN length(text) < 20 THEN 0.3 ELSE 0 END) >= 0.35 AS passed FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, least(1.0, 0.3 + CASE WHEN regexp_matches(text, '(?i)(^|[^a-z])(the|of)([^a-z]|$)') THEN 0.25 ELSE 0 END - CASE WHEN length(text) < 20 THEN 0.3 ELSE 0 END) >= 0.35 AS passed FROM documents")
 def signal_gate(t):
-    docs = t.documents.where("lang = 'en'").select("doc_id", "source", F.lit(None).cast("string").alias("title"), F.col("text").alias("body_clean"), F.array().cast("array<string>").alias("labels"))
+    docs = t.documents.select("doc_id", "source", F.lit(None).cast("string").alias("title"), F.col("text").alias("body_clean"), F.array().cast("array<string>").alias("labels"))
     score = normalize.signal_score(normalize.R.Rules(deal_terms=("the", "of")))
     return normalize.apply_gate(docs.withColumn("signal_score", score)).select("doc_id", (F.col("status") == "normalized").alias("passed"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'trusted_label' WHEN role = 'assistant' THEN 'automated' ELSE 'low_signal' END AS reason FROM conversations WHERE role IN ('user', 'assistant')")
+@query("SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'trusted_label' WHEN role = 'assistant' THEN 'automated' ELSE 'low_signal' END AS reason FROM conversations")
 def mail_classes(t):
     h = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
-    mails = t.conversations.where("role IN ('user', 'assistant')").select("conv_id", "turn", F.when(F.col("turn") == 0, F.array(F.lit("L1"))).otherwise(F.array().cast("array<string>")).alias("label_ids"), F.array(h("From", F.when(F.col("role") == "assistant", "no-reply@example.com").otherwise("a@example.com")), h("Subject", F.lit("Re: hello"))).alias("headers"), F.lit("").alias("body"))
+    mails = t.conversations.select("conv_id", "turn", F.when(F.col("turn") == 0, F.array(F.lit("L1"))).otherwise(F.array().cast("array<string>")).alias("label_ids"), F.array(h("From", F.when(F.col("role") == "assistant", "no-reply@example.com").otherwise("a@example.com")), h("Subject", F.lit("Re: hello"))).alias("headers"), F.lit("").alias("body"))
     return normalize.classify_mail(mails, normalize.R.Rules(trusted_labels=("L1",))).select("conv_id", "turn", "decision.reason")
 
 
@@ -537,9 +537,9 @@ def text_layer(t):
     return text.has_text_layer(t.conversations, "conv_id", 200)
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5), d AS (SELECT query_id, vec_id, round(1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 3) + 0.0::DOUBLE AS distance FROM embeddings, q) SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 8")
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id, round(1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 3) + 0.0::DOUBLE AS distance FROM embeddings, q) SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 3")
 def knn(t):
-    return search.knn(t.embeddings, t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 8)
+    return search.knn(t.embeddings, t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 3)
 
 
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT query_id, vec_id, round(1 - list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 3) + 0.0::DOUBLE AS distance FROM embeddings, q) SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d QUALIFY rank <= 8")
