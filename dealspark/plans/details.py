@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import scalars as S
-from ..operators import checkpoints, gold, graph, knowledge, normalize, profiles, upsert, views
+from ..operators import checkpoints, dedup, gold, graph, knowledge, normalize, profiles, text, upsert, views
 from ..sources import raw
+from ..streaming import streams
 from .derived import Tables
+from .flows import drained, stream_of
 from .profiles import ABOUT, FILED, filed, obj, parsed_people
 from .registry import CARD, LATEST, card, query
 
@@ -108,8 +110,8 @@ def described(t: Tables) -> DataFrame:
 )
 def note_attributes(t):
     df = knowledge.fan_out_attributes(described(t))
-    text = F.array_join(F.transform(F.filter(F.map_entries("attrs"), lambda e: e["key"] != "ask"), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
-    return df.select("type", "canonical", text.alias("attrs"))
+    shown = F.array_join(F.transform(F.filter(F.map_entries("attrs"), lambda e: e["key"] != "ask"), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    return df.select("type", "canonical", shown.alias("attrs"))
 
 
 @query("SELECT 'p' || o_custkey AS src, 'works_at' AS rel, 'g' || min(s_suppkey) AS dst FROM (SELECT DISTINCT o_custkey, o_custkey % 10 AS k FROM orders) JOIN supplier ON s_suppkey % 10 = k WHERE k <> 3 GROUP BY 1, k")
@@ -256,9 +258,9 @@ def imported_profiles(t):
     home = checkpoints.folder(t.spark)
     t.customer.select(F.concat(F.lit("p"), "c_custkey").alias("publicIdentifier"), F.lit("Asha").alias("firstName"), F.lit("Rao").alias("lastName"), F.col("c_custkey").alias("followerCount")).write.json(f"{home}/people")
     t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("universalName"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("followerCount")).write.json(f"{home}/firms")
-    text = lambda path, key: raw.read_profile_texts(t.spark, f"{home}/{path}", lines=True).select(F.get_json_object("json", f"$.{key}").alias("id"), "json")
-    people = profiles.parse_profile(text("people", "publicIdentifier"), "id").select("id", "name", "followers")
-    return people.unionByName(profiles.parse_company_profile(text("firms", "universalName"), "id").select("id", "name", F.col("followers").cast("long")))
+    items = lambda path, key: raw.read_profile_texts(t.spark, f"{home}/{path}", lines=True).select(F.get_json_object("json", f"$.{key}").alias("id"), "json")
+    people = profiles.parse_profile(items("people", "publicIdentifier"), "id").select("id", "name", "followers")
+    return people.unionByName(profiles.parse_company_profile(items("firms", "universalName"), "id").select("id", "name", F.col("followers").cast("long")))
 
 
 # Rules that the flows use, on rows that reach their branches ---------------------------------------------------------
@@ -287,3 +289,60 @@ def signal_scores(t):
     df = t.documents.select("doc_id", F.element_at(sources, (k % 6 + 1).cast("int")).alias("source"), F.lit(None).cast("string").alias("title"), body.alias("body_clean"), labels.alias("labels"), (k % 5 == 0).alias("known"), (k % 4 == 0).alias("att"))
     scored = df.withColumn("signal_score", normalize.signal_score(R.Rules(deal_terms=("zzdeal",)), known=F.col("known"), attachment=F.col("att")))
     return normalize.apply_gate(scored).select("doc_id", F.col("signal_score").alias("score"), (F.col("status") == "normalized").alias("passed"))
+
+
+# Branches that the plain queries don't reach --------------------------------------------------------------------------
+KINDS = ("company", "investor", "org", "school", "person", "deal")
+
+
+@query("SELECT type, id, canonical, CAST(length(canonical) AS INTEGER) AS size, CAST(NULL AS DOUBLE) AS bad FROM entity", "entity")
+def entity_views(t):
+    """The typed view of each of the six kinds, one below the other; what does not cast is null."""
+    attrs = F.create_map(F.lit("size"), F.length("canonical").cast("string"), F.lit("bad"), F.lit("x"))
+    v, out = t.entity().withColumn("attrs", attrs), None
+    for kind in KINDS:
+        one = views.entity_view(v, kind, {"size": "int", "bad": "double"}).select(F.lit(kind).alias("type"), "id", "canonical", "size", "bad")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT 'p' || c_custkey AS id, 0 AS pos, 'Delhi University' AS school_name, 'BA' AS degree FROM customer")
+def profile_schools(t):
+    return profiles.profile_schools(parsed_people(t), "id").select("id", "pos", "school_name", "degree")
+
+
+@query("WITH c AS (SELECT 'k' || p_partkey AS id, p_partkey % 3 AS t, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS core FROM part) SELECT id, min(id) OVER (PARTITION BY t, core) AS cluster, count(*) OVER (PARTITION BY t, core) AS size FROM c QUALIFY size > 1")
+def core_kinds(t):
+    """Cores by the rule of each type: investors, schools and companies, their names written in two ways."""
+    k, n, odd = F.col("p_partkey"), F.col("p_name"), F.floor(F.col("p_partkey") / 3) % 2 == 1
+    say = lambda a, b: F.when(odd, F.concat(*a)).otherwise(F.concat(*b))
+    name = F.when(k % 3 == 0, say((n, F.lit(" Capital Management")), (F.lit("The "), n, F.lit(" Advisory LLP")))).when(k % 3 == 1, say((F.lit("University of "), n), (n, F.lit(" Polytechnic College")))).otherwise(say((n, F.lit(" Pvt. Ltd")), (F.upper(n), F.lit(" Technologies"))))
+    kind = F.when(k % 3 == 0, "investor").when(k % 3 == 1, "school").otherwise("company")
+    return dedup.core_clusters(t.part.select(F.concat(F.lit("k"), k).alias("id"), kind.alias("type"), name.alias("canonical")))
+
+
+@query("SELECT id AS envelope_id, metric, CAST(v AS DOUBLE) AS value_num, CASE WHEN id % 2 = 0 THEN 'High' ELSE 'Medium' END AS confidence FROM (SELECT id, 'funding_ask' AS metric, ask AS v FROM note UNION ALL SELECT id, 'revenue', CASE WHEN id % 3 = 0 THEN id END FROM note UNION ALL SELECT id, 'ebitda', CASE WHEN id % 4 = 0 THEN -id END FROM note UNION ALL SELECT id, 'valuation', CASE WHEN id % 5 = 0 THEN 10 * id END FROM note) WHERE v IS NOT NULL", "note")
+def all_observations(t):
+    """The four metrics of a note, each where it has a number."""
+    k, n = F.col("id"), t.note()
+    df = n.select("*", F.when(k % 3 == 0, k).alias("revenue"), F.when(k % 4 == 0, -k).alias("ebitda"), F.when(k % 5 == 0, (10 * k).cast("string")).alias("valuation"), F.when(k % 2 == 0, "HIGH").otherwise("low").alias("confidence"))
+    return knowledge.fan_out_observations(df, {"ask": "funding_ask", "revenue": "revenue", "ebitda": "ebitda", "valuation": "valuation"}).select("envelope_id", "metric", "value_num", "confidence")
+
+
+@query("WITH own AS (SELECT id FROM company WHERE sector = 'BUILDING'), kept AS (SELECT id FROM own UNION SELECT src FROM involves WHERE dst IN (SELECT id FROM own) UNION SELECT id FROM investor) SELECT src, rel, dst FROM edge WHERE rel IN ('involves', 'invests_in') AND src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)", "edge", "company", "investor")
+def sector_graph(t):
+    """Companies of a sector, the deals tied to them and all investors."""
+    e = checkpoints.cut(t.edge())
+    return graph.filter_graph(t.entity(), e, ["company", "deal", "investor"], ["involves", "invests_in"], ["BUILDING"]).select("src", "rel", "dst")
+
+
+@query("SELECT conv_id, 'Talk' || chr(10) || chr(10) || array_to_string(list(text ORDER BY turn), chr(10) || chr(10))[:120000] AS text FROM conversations GROUP BY conv_id")
+def titled_docs(t):
+    return text.assemble(t.conversations.select("conv_id", F.col("turn").alias("seq"), F.col("text").alias("chunk")), "conv_id", "Talk")
+
+
+@query("SELECT conv_id || '-' || turn AS id, 'preprocessed' AS status FROM conversations WHERE turn % 3 = 0")
+def stream_stage(t):
+    """A stage on a stream: it takes the rows of its status and leaves the others to theirs."""
+    rows = stream_of(t, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.when(F.col("turn") % 3 == 0, "normalized").otherwise("raw").alias("status"))
+    return drained(t, streams.stage_stream(rows, "normalized", lambda d: d.withColumn("status", F.lit("preprocessed"))))
