@@ -134,8 +134,7 @@ def test_orphans_of_streams_and_batches(spark, tmp_path, cuts):
     assert rows_of(drain(out, tmp_path)) == got and {r["source_id"] for r in want.collect()} == {None, *(str(i) for i in range(60) if i % 4 > 1)}
 
 
-@pytest.mark.parametrize("cuts", [[], [7, 8, 30, 55]])
-@pytest.mark.parametrize("cap", [0, 1.0, 2.5])
+@pytest.mark.parametrize(("cap", "cuts"), [(0, [7, 8, 30, 55]), (1.0, []), (1.0, [7, 8, 30, 55]), (2.5, [7, 8, 30, 55])])
 def test_budget_of_a_stream(spark, tmp_path, cuts, cap):
     rows = [(i, T0 + timedelta(minutes=40 * (i // 2)), Decimal(i * 7 % 5) / 10) for i in range(80)]
     rows = rows[:20][::-1] + rows[20:] if not cuts else rows  # within a batch in any order
