@@ -125,9 +125,10 @@ def mentions(docs: DataFrame, spine: DataFrame, least: int = 4, small: int = 100
 
     Up to `small` names (counted, and within `matching.MAX_CHARS`) are one broadcast automaton, and the texts are read once,
     without a shuffle. Beyond that a name is blocked by its first or last `least`, 8 or 16 characters (the most it has),
-    whichever fewer names share, so that a common beginning is no hot key; the texts' distinct windows of these sizes meet
-    the names on an equi join that carries ids but no text, and the texts are read once more to verify the candidates."""
-    from . import matching  # it uses this module
+    whichever fewer names share, so that a common beginning is no hot key. The texts are read once for the windows that
+    pass a filter of these keys (`windows`), so that only likely hits are shuffled; they meet the names on an equi join that
+    carries ids but no text, and the texts are read once more to verify the candidates."""
+    from . import matching, windows  # matching uses this module
 
     names = spine.where(F.length("canonical") >= least).select("id", F.lower("canonical").alias("name"))
     low = docs.select("doc_id", F.lower("text").alias("text")).where(F.length("text") >= least)
@@ -136,13 +137,12 @@ def mentions(docs: DataFrame, spine: DataFrame, least: int = 4, small: int = 100
         met = matching.with_names(low, "text", few).select("doc_id", F.explode("names").alias("name"))
         ids = F.broadcast(names) if names.count() <= small else names.hint("merge")
         return met.join(ids, "name").select("doc_id", "id").distinct()
-    windows = lambda n: F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
     sizes = sorted({least, *(n for n in (8, 16) if n > least)})
     size = F.greatest(*[F.when(F.length("name") >= n, n).otherwise(least) for n in sizes]) if len(sizes) > 1 else F.lit(least)
     ends = cut(names.withColumn("size", size).select("id", "name", "size", F.explode(F.array(F.expr("substring(name, 1, size)"), F.expr("substring(name, length(name) - size + 1, size)"))).alias("key")))
     shared = ends.groupBy("key").agg(F.count("*").alias("n"))
-    best = ends.join(shared.hint("merge"), "key").groupBy("id", "name").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
-    each = F.array_distinct(F.flatten(F.array(*[windows(n) for n in sizes])))
-    met = cut(low.select("doc_id", F.explode(each).alias("key")).join(best.hint("merge"), "key").select("doc_id", "id", "name"))
+    best = cut(ends.join(shared.hint("merge"), "key").groupBy("id", "name").agg(F.min_by("key", F.struct("n", "key")).alias("key")))
+    seen = windows.key_windows(low, "doc_id", "text", windows.key_filter(best))
+    met = cut(seen.join(best.hint("merge"), "key").select("doc_id", "id", "name"))
     pairs = met.join(low.hint("merge"), "doc_id")
     return pairs.where(F.contains("text", F.col("name"))).select("doc_id", "id").distinct()
