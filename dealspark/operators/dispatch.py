@@ -130,6 +130,8 @@ def map_items(raw: DataFrame, mappers: dict[str, Callable[[str], Column]] = MAPP
     it maps to an envelope without them. Null and unknown sources are generic."""
     kept = [c for c in raw.columns if c not in {"source", "source_id", "payload", "body_clean", "content_hash", "idempotency_key", *FIELDS}]
     text = raw.schema["payload"].dataType.simpleString() != "variant"
+    if not raw.isStreaming:  # mapping is the work, however few files or row groups the rows lie in
+        raw = raw.repartition(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df = raw.withColumn("_p", F.try_parse_json("payload") if text else F.col("payload"))
     own = generic("_p")
     for source, mapper in reversed(mappers.items()):

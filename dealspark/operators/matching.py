@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import rules as R
 from ..functions import scalars as S
 from . import normalize as N
+from .checkpoints import cut
 
 #: Names, and characters of them, up to which they are one broadcast automaton (some 40 bytes a character).
 MAX_NAMES, MAX_CHARS = 200_000, 4_000_000
@@ -64,15 +65,17 @@ def decide(envelopes: DataFrame, senders: DataFrame, names: DataFrame, rules: R.
 
     Mails follow the mail rules, with known senders (key) and names (canonical) of the spine joined in: indexed ones get
     0.95 and their label, skipped ones 0, and confidential ones lose their body. All other items follow the gate's score.
-    More names than the automaton may hold meet the texts by `normalize.mentions`, in a batch only."""
+    More names than the automaton may hold meet the texts by `normalize.mentions`, in a batch, or in each micro-batch of a
+    stream by `streams.run_batches`."""
     subject = F.coalesce(N.header("Subject"), F.lit(""))
     df = known_senders(envelopes, senders).withColumn("_text", F.when(F.col("source") == "gmail", F.lower(F.concat_ws("\n", subject, F.coalesce("body_clean", F.lit(""))))))
     found = fetched_names(names, "canonical", least, most)
     if found is not None:
         df = with_names(df, "_text", found, "_names").withColumn("_mention", F.size("_names") > 0).drop("_names")
     elif df.isStreaming:
-        raise ValueError(f"a stream can't search for more than {most} names")
+        raise ValueError(f"a stream can't search for more than {most} names of {MAX_CHARS} characters in all; decide its micro-batches (streams.run_batches)")
     else:
+        df = cut(df)  # three reads follow, and the mapping of a payload costs more than they do
         hits = N.mentions(df.where("_text IS NOT NULL").select(F.col("idempotency_key").alias("doc_id"), F.col("_text").alias("text")), names.select(F.lit("").alias("id"), "canonical"), least, 0)
         hits = hits.select(F.col("doc_id").alias("_hit")).distinct()
         df = df.join(hits.hint("merge"), F.col("idempotency_key") == F.col("_hit"), "left").withColumn("_mention", F.col("_hit").isNotNull()).drop("_hit")
