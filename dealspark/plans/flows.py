@@ -135,7 +135,10 @@ def mail_decisions(t):
 
 @query(DECIDED)
 def stream_decisions(t):
-    return drained(t, decided(t, stream_of(t, "conversations")))
+    """The same rows as a stream, whose micro-batches are decided as batches, so that the spine may have any number of names."""
+    home = checkpoints.folder(t.spark)
+    streams.run_batches(stream_of(t, "conversations"), lambda batch: decided(Tables(batch.sparkSession, t.dir), batch), f"{home}/out", f"{home}/log")
+    return t.spark.read.schema("source_id string, reason string, label string, status string, body_kept boolean").parquet(f"{home}/out").drop("batch")
 
 
 # Streams with state -------------------------------------------------------------------------------------------------

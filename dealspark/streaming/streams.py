@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -63,6 +65,20 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     return q
 
 
+def run_batches(df: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """All that is there now, each micro-batch as a batch through `step`, for what a stream can't join or group by itself. A
+    micro-batch has its own folder of Parquet under path (`batch=`), so one that is replayed replaces itself."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).mkdirs(at)
+    q = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 NEXT_STAGE = {"raw": "normalize", "normalized": "preprocess", "preprocessed": "extract", "extracted": "embed", "embedded": "resolve", "resolved": "resolve"}
 
 

@@ -2,9 +2,19 @@
 
 from pyspark.sql import functions as F
 
-from dealspark.operators import dispatch
+from dealspark.operators import dispatch, matching
+from dealspark.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_mapping_is_spread_over_tasks(spark):
     raw = spark.range(0, 400, 1, 1).select(F.lit("gmail").alias("source"), F.col("id").cast("string").alias("source_id"), F.lit('{"text":"x"}').alias("payload"))
     assert dispatch.map_items(raw).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_a_stream_beyond_the_bound_of_names(spark, monkeypatch):
+    monkeypatch.setattr(matching, "fetched_names", lambda *a: None)
+    rows = lambda name: sorted(map(tuple, registry.QUERIES[name](spark, SF).collect()))
+    got = rows("stream_decisions")
+    assert got == rows("mail_decisions") and {"mention", "low_signal"} & {x[1] for x in got}
