@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dealspark.operators import dispatch, matching
+from dealspark.operators import dispatch, graph, matching
 from dealspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +18,12 @@ def test_a_stream_beyond_the_bound_of_names(spark, monkeypatch):
     rows = lambda name: sorted(map(tuple, registry.QUERIES[name](spark, SF).collect()))
     got = rows("stream_decisions")
     assert got == rows("mail_decisions") and {"mention", "low_signal"} & {x[1] for x in got}
+
+
+def test_a_hot_company_is_dealt_over_tasks(spark):
+    """Every end of a hot company goes by its neighbour; neighbours that are no entity count, as in SQL."""
+    e = spark.range(0, 2000, 1, 1).select(F.concat(F.lit("p"), F.col("id") % 1500).alias("src"), F.lit("works_at").alias("rel"), F.lit("g").alias("dst"))
+    v = spark.createDataFrame([("g", "company"), ("g", "company")], "id string, type string").withColumn("canonical", F.lit("G"))
+    out = graph.company_360(v, e)
+    assert [tuple(x) for x in out.collect()] == [("g", "works_at", "in", 2000, 1500)]
+    assert "hashpartitioning(id" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
