@@ -27,3 +27,12 @@ def test_a_hot_company_is_dealt_over_tasks(spark):
     out = graph.company_360(v, e)
     assert [tuple(x) for x in out.collect()] == [("g", "works_at", "in", 2000, 1500)]
     assert "hashpartitioning(id" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
+
+
+def test_coinvestors_deal_their_pairs(spark):
+    """Tasks grow with the pairs, not with the rows that make them."""
+    p = spark.range(0, 1200, 1, 1).select(F.concat(F.lit("s"), F.col("id") % 40).alias("src"), F.concat(F.lit("c"), F.floor(F.col("id") / 40)).alias("dst"))
+    out = graph.coinvestors(p, 500)
+    assert {x["shared"] for x in out.collect()} == {30} and out.count() == 780
+    assert graph.coinvestors(p, 500).select(F.spark_partition_id()).distinct().count() > 4
+    assert graph.coinvestors(p.where("false")).count() == 0
