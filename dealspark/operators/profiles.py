@@ -42,10 +42,11 @@ def day_text(d: Column) -> Column:
 
 
 def full_name(c: Column) -> Column:
-    """A name that is a text, or an object of its parts."""
-    parts = F.from_json(c, "firstName string, middleName string, lastName string, name string")
-    joined = F.nullif(F.concat_ws(" ", *[F.nullif(parts[p], F.lit("")) for p in ("firstName", "middleName", "lastName")]), F.lit(""))
-    return F.nullif(F.when(c.startswith("{"), F.coalesce(joined, parts["name"])).otherwise(c), F.lit(""))
+    """A name that is a text, or an object of its parts; the object is parsed once, as the item of a list of one."""
+    blank = lambda x: F.when(x != "", x)
+    whole = lambda p: F.coalesce(blank(F.concat_ws(" ", *[blank(p[k]) for k in ("firstName", "middleName", "lastName")])), blank(p["name"]))
+    parsed = F.transform(F.array(F.from_json(c, "firstName string, middleName string, lastName string, name string")), whole)
+    return F.when(c.startswith("{"), F.get(parsed, F.lit(0))).otherwise(blank(c))
 
 
 def first_names(items: Column, label, n: int = 5) -> Column:

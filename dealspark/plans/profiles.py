@@ -31,7 +31,8 @@ def nested_companies(t: Tables) -> DataFrame:
         investors=F.array(obj(name=F.lit("Fund A"), institutionalInvestor=F.lit(None).cast("struct<name:string>")), obj(name=F.lit(None).cast("string"), institutionalInvestor=obj(name="Fund B"))), keyPeople=F.array(obj(name=name, designation="Founder")),
         totalEquityFunding=F.when(even("c_custkey"), obj(amount=obj(USD=obj(value=(F.col("c_custkey") % 1000) * 1e6)))),
     )
-    return t.customer.select("c_custkey", F.to_json(rec).alias("json"))
+    rows = t.customer.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")))  # JSON is the work, however few row groups the rows lie in
+    return rows.select("c_custkey", F.to_json(rec).alias("json"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'https://c' || c_custkey || '.com' AS website, CAST(c_nationkey AS VARCHAR) AS city, c_mktsegment || ' > Parts' AS sector, 'makes ' || c_mktsegment AS short_description, round(CAST(c_acctbal AS DOUBLE) / 1000, 2) + 0.0::DOUBLE AS revenue_inr_cr, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS has_usd, '2020-03-31' AS revenue_as_on, 'Fund A; Fund B' AS investors, CASE WHEN c_custkey % 3 = 0 THEN 'Asha Rao (Founder)' ELSE 'Ravi Sen (Founder)' END AS key_people FROM customer")

@@ -36,3 +36,16 @@ def test_coinvestors_deal_their_pairs(spark):
     assert {x["shared"] for x in out.collect()} == {30} and out.count() == 780
     assert graph.coinvestors(p, 500).select(F.spark_partition_id()).distinct().count() > 4
     assert graph.coinvestors(p.where("false")).count() == 0
+
+
+def test_companies_are_spread_and_their_names_parsed_once(spark):
+    from dealspark.operators import profiles
+    from dealspark.plans.derived import Tables
+    from dealspark.plans.profiles import nested_companies
+
+    assert nested_companies(Tables(spark, SF)).select(F.spark_partition_id()).distinct().count() > 1
+    names = ['{"firstName":"A","middleName":"","lastName":"B","name":"C"}', '{"name":"C"}', '{"name":""}', "{}", "{bad", "Plain", "", None]
+    df = spark.createDataFrame([(x,) for x in names], "x string").select(profiles.full_name(F.col("x")).alias("y"))
+    assert [r["y"] for r in df.collect()] == ["A B", "C", None, None, None, "Plain", None, None]
+    plan = spark.range(1).select(profiles.full_name(F.col("id").cast("string")).alias("y"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json") == 1
