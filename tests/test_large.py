@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dealspark.operators import dispatch, graph, matching
+from dealspark.operators import dedup, dispatch, graph, matching
 from dealspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +49,9 @@ def test_companies_are_spread_and_their_names_parsed_once(spark):
     assert [r["y"] for r in df.collect()] == ["A B", "C", None, None, None, "Plain", None, None]
     plan = spark.range(1).select(profiles.full_name(F.col("id").cast("string")).alias("y"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("from_json") == 1
+
+
+def test_people_are_dealt_before_they_are_multiplied(spark):
+    """A task's rows of shared things are bounded: tasks grow with the people, however few files they lie in."""
+    people = spark.range(0, 1000, 1, 1)
+    assert dedup.dealt(people, "id", rows=10).select(F.spark_partition_id()).distinct().count() > 50
