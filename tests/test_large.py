@@ -55,3 +55,14 @@ def test_people_are_dealt_before_they_are_multiplied(spark):
     """A task's rows of shared things are bounded: tasks grow with the people, however few files they lie in."""
     people = spark.range(0, 1000, 1, 1)
     assert dedup.dealt(people, "id", rows=10).select(F.spark_partition_id()).distinct().count() > 50
+
+
+def test_a_common_name_is_a_grid_of_cells(spark):
+    """Classes of one name are judged by many tasks, with the same result for any size of a block."""
+    people = spark.range(0, 240, 1, 1).select(
+        F.concat(F.lit("p"), "id").alias("id"), F.when(F.col("id") % 3 == 0, "asha").otherwise("asha rao").alias("name"), F.concat(F.lit("s"), F.col("id") % 120).alias("slug"), F.lit(None).cast("string").alias("email"),
+        F.lit(None).cast("string").alias("phone"), F.array(F.lit("c")).alias("companies"), F.array().cast("array<string>").alias("threads"), (F.col("id") % 2).alias("degree"),
+    )
+    rows = lambda block: sorted(map(tuple, dedup.kept_distinct(people, block).collect()))
+    assert rows(16) == rows(1000) and len(rows(16)) > 5000
+    assert dedup.kept_distinct(people, 16).select(F.spark_partition_id()).distinct().count() > 2
