@@ -66,3 +66,16 @@ def test_a_common_name_is_a_grid_of_cells(spark):
     rows = lambda block: sorted(map(tuple, dedup.kept_distinct(people, block).collect()))
     assert rows(16) == rows(1000) and len(rows(16)) > 5000
     assert dedup.kept_distinct(people, 16).select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_many_names_take_few_tasks_and_lists_are_compared_whole(spark):
+    """Tasks grow with the pairs, not with the names; lists whose bits agree by chance are no shared item; an id is needed."""
+    none = F.lit(None).cast("string")
+    person = lambda k, name, company: k.select(F.concat(F.lit("p"), "id").alias("id"), name.alias("name"), none.alias("slug"), none.alias("email"), none.alias("phone"), F.array(company).alias("companies"), F.array(F.lit("t")).alias("threads"), F.lit(1).alias("degree"))
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
+    assert dedup.kept_distinct(person(spark.range(400), letters, F.lit("c"))).rdd.getNumPartitions() == 4
+    company = F.concat(F.lit("c"), F.col("id") % 150)
+    rows = dedup.kept_distinct(person(spark.range(200), F.lit("asha"), company), 64).collect()
+    assert len({(r["a"], r["b"]) for r in rows}) == len(rows) == 150 * 149 // 2 and sum(r["pairs"] for r in rows) == 200 * 199 // 2 - 50
+    longer = person(spark.range(1), F.lit("asha rao"), F.lit("d")).withColumn("id", none)
+    assert dedup.kept_distinct(person(spark.range(1), F.lit("asha"), F.lit("c")).unionByName(longer)).count() == 0
